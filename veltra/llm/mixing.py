@@ -80,7 +80,8 @@ def planned(targets: DataFrame, block: int) -> DataFrame:
     """Adds ``blocks`` (of the source) and ``slots`` (block slots that the mix gives it)."""
     t = targets.withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
     share = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(F.lit(0.0))
-    return t.withColumn("slots", F.floor(share + F.lit(0.5)).cast("long"))
+    t = t.withColumn("slots", F.floor(share + F.lit(0.5)).cast("long"))
+    return t.withColumn("all_slots", F.sum("slots").over(W.partitionBy()))
 
 
 def slots(plan: DataFrame, shard: int, seed: int) -> DataFrame:
@@ -89,11 +90,9 @@ def slots(plan: DataFrame, shard: int, seed: int) -> DataFrame:
     Each source's slots get uniform places over the mix. For a shard, how many of them fall into it is then a
     multinomial draw over the target shares, given the totals.
     """
-    total = plan.agg(F.sum("slots").alias("all_slots"))
     per = 4096  # slots that one row of the generator expands to
     runs = plan.where("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / per))))
-    s = runs.crossJoin(F.broadcast(total))  # one row of totals
-    s = s.repartition(F.col("source"), F.col("run"))
+    s = runs.repartition(F.col("source"), F.col("run"))
     s = s.withColumn("rank", F.explode(F.sequence(F.col("run") * per, F.least(F.col("run") * per + per, F.col("slots")) - 1)))
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("all_slots") / F.lit(shard)))
@@ -126,6 +125,6 @@ def mix_documents(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int
     placed, plan, pieces = mix_plan(docs, block, shard, seed)
     took = pieces.groupBy(F.col("source").alias("t_source"), F.col("first").alias("t_first")).agg(F.sum(F.col("to") - F.col("from")).alias("words"))
     out = placed.join(took, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("first") == F.col("t_first")) & (F.col("size") > 0), "left")
-    p = F.broadcast(plan.select(F.col("source").alias("p_source"), "source_size", "target")) if False else plan.select(F.col("source").alias("p_source"), "source_size", "target")
+    p = plan.select(F.col("source").alias("p_source"), "source_size", "target")
     out = out.join(p, F.col("source").eqNullSafe(F.col("p_source")))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "source")
