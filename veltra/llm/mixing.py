@@ -116,7 +116,8 @@ def mix_plan(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 17
     lo = F.greatest(F.lit(0).cast("long"), F.col("index") * block - F.col("first"))
     hi = F.least(F.col("size"), (F.col("index") + 1) * block - F.col("first"))
     spans = spans.select("doc_id", "source", "first", "size", F.col("index").alias("b"), lo.alias("from"), hi.alias("to"))
-    pieces = spans.join(drawn, F.col("source").eqNullSafe(F.col("d_source")) & (F.col("b") == F.col("index"))).drop("d_source", "b")
+    # merge: the slots look small before they expand, and would be broadcast
+    pieces = spans.hint("merge").join(drawn.hint("merge"), F.col("source").eqNullSafe(F.col("d_source")) & (F.col("b") == F.col("index"))).drop("d_source", "b")
     return placed, plan, pieces
 
 
