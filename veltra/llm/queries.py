@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veltra.llm import mixing, packing, secrets, tokenfiles, warc
+from veltra.llm import mixing, packing, secrets, tokenfiles, toxicity, warc
 from veltra.llm.common import default_tokenizer
 
 
@@ -23,6 +24,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_spans")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -36,7 +43,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_warc, op6_mix_sources, op9_token_files, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_warc, op5_toxicity, op6_mix_sources, op9_token_files, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
