@@ -154,6 +154,16 @@ class TokenIds:
         return [b"".join(map(known.__getitem__, c)) for c in cut]
 
 
+_own: dict = {}
+
+
+def word_hashes() -> WordHashes:
+    """This Python process's word hashes: they outlive tasks."""
+    if "words" not in _own:
+        _own["words"] = WordHashes()
+    return _own["words"]
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veltra.llm import mixing, packing, secrets, tokenfiles, toxicity, warc
+from veltra.llm import embeddings, mixing, packing, quality, secrets, tokenfiles, toxicity, warc
 from veltra.llm.common import default_tokenizer
 
 
@@ -34,6 +34,14 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(tokenfiles.write_token_files(table(spark, sf_dir, "documents"), default_tokenizer()))
 
@@ -43,11 +51,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_warc, op5_toxicity, op6_mix_sources, op9_token_files, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_warc, op5_toxicity, op6_mix_sources, op7_quality_rules, op8_near_vectors, op9_token_files, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL}
+    return {"op3_warc": OP3_SQL, "op8_near_vectors": OP8_SQL}
 
 
 OP3_SQL = """
@@ -58,3 +66,22 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first < page_id THEN first END AS refers_to, url FROM f
 """
+
+#: Links by brute force over all pairs of a label; components by repeated minimum over linked vectors.
+OP8_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+r(id, c) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT x.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, m.component_id, x.vec_id = m.component_id AS kept
+FROM embeddings x JOIN m ON m.id = x.vec_id LEFT JOIN n ON n.a = x.vec_id
+"""
