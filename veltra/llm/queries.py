@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veltra.llm import embeddings, mixing, neardup, packing, quality, secrets, tokenfiles, toxicity, warc
+from veltra.llm import embeddings, mixing, neardup, packing, quality, secrets, substrings, tokenfiles, toxicity, warc
 from veltra.llm.common import default_tokenizer
 
 
@@ -28,6 +28,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op4_duplicate_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
@@ -55,7 +59,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_near_duplicates, op3_warc, op5_toxicity, op6_mix_sources, op7_quality_rules, op8_near_vectors, op9_token_files, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_near_duplicates, op3_warc, op4_duplicate_substrings, op5_toxicity, op6_mix_sources, op7_quality_rules, op8_near_vectors, op9_token_files, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
