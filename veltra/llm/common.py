@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space, as ``bytes.split()`` sees them.
 WORD = r"[^\x20\x09-\x0D]+"
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 # ---------------------------------------------------------------- staged tables
@@ -37,9 +37,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and rereads it: lineage ends there, and lost executors lose nothing."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # this write's shuffle files go when it is done
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession, df: DataFrame) -> None:

@@ -66,7 +66,7 @@ def positions(sizes: DataFrame, partitions: int | None = None) -> DataFrame:
     own = W.partitionBy("part", "source").orderBy(F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
     local = ranged.withColumn("ahead", F.coalesce(F.sum("size").over(own), F.lit(0)))
     both = local.join(carried, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("part") == F.col("c_part")))
-    return both.select("doc_id", "source", "size", (F.col("ahead") + F.col("carried")).alias("first"))
+    return both.select(*sizes.columns, (F.col("ahead") + F.col("carried")).alias("first"))
 
 
 def _multiplier(blocks: Column, epoch: Column, key: Column, seed: int) -> Column:
@@ -103,16 +103,16 @@ def slots(plan: DataFrame, shard: int, seed: int) -> DataFrame:
     return s.select("source", "shard", "place", "rank", epoch.alias("epoch"), index.alias("index"))
 
 
-def mix_plan(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents with their place, the sources' plan, and the pieces the mix takes.
+def mix_plan(sizes: DataFrame, block: int = 64, shard: int = 4096, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (with doc_id, source, size and more) with their place, the sources' plan, and the pieces the mix takes.
 
     Pieces: doc_id, source, first, size, epoch, from and to (words of the document, end exclusive), one row for
     each block of a document and time that it is taken.
     """
-    placed = staged(positions(sized(docs)), "placed")
+    placed = staged(positions(sizes), "placed")
     plan = staged(planned(source_targets(placed), block), "plan")
     drawn = slots(plan, shard, seed).select(F.col("source").alias("d_source"), "epoch", F.col("index"), "shard", "place")
-    spans = placed.where("size > 0").withColumn("index", F.explode(F.sequence(F.floor(F.col("first") / block).cast("long"), F.floor((F.col("first") + F.col("size") - 1) / block).cast("long"))))
+    spans = placed.select("doc_id", "source", "size", "first").where("size > 0").withColumn("index", F.explode(F.sequence(F.floor(F.col("first") / block).cast("long"), F.floor((F.col("first") + F.col("size") - 1) / block).cast("long"))))
     lo = F.greatest(F.lit(0).cast("long"), F.col("index") * block - F.col("first"))
     hi = F.least(F.col("size"), (F.col("index") + 1) * block - F.col("first"))
     spans = spans.select("doc_id", "source", "first", "size", F.col("index").alias("b"), lo.alias("from"), hi.alias("to"))
@@ -123,9 +123,26 @@ def mix_plan(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 17
 
 def mix_documents(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 17) -> DataFrame:
     """How many words of each document the mix takes: doc_id, size, source_size, target, taken, source."""
-    placed, plan, pieces = mix_plan(docs, block, shard, seed)
+    placed, plan, pieces = mix_plan(sized(docs), block, shard, seed)
     took = pieces.groupBy(F.col("source").alias("t_source"), F.col("first").alias("t_first")).agg(F.sum(F.col("to") - F.col("from")).alias("words"))
     out = placed.join(took, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("first") == F.col("t_first")) & (F.col("size") > 0), "left")
     p = plan.select(F.col("source").alias("p_source"), "source_size", "target")
     out = out.join(p, F.col("source").eqNullSafe(F.col("p_source")))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "source")
+
+
+def mixed_documents(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 17) -> DataFrame:
+    """The mix as documents with the columns of ``docs``: one row for each document and epoch that takes words of it.
+
+    A document taken whole keeps its text; of one taken in part the taken words stay, in order, with single spaces.
+    A column n_chars gets the length of the new text.
+    """
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.struct(*docs.columns).alias("row"))
+    placed, _, pieces = mix_plan(rows, block, shard, seed)
+    took = pieces.groupBy(F.col("source").alias("t_source"), F.col("first").alias("t_first"), "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"), F.sum(F.col("to") - F.col("from")).alias("words"))
+    both = placed.where("size > 0").join(took, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("first") == F.col("t_first")))
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0))
+    part = F.array_join(F.flatten(F.transform("spans", lambda x: F.slice(words, (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int")))), " ")
+    out = both.withColumn("new", F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(part))
+    col = lambda c: F.col("new").alias(c) if c == "text" else F.length("new").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col("row")[c].alias(c)
+    return out.select(*map(col, docs.columns))

@@ -22,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veltra.llm.common import components, mix, shingle_hashes, slices, staged, word_hashes
@@ -209,3 +210,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     out = out.join(comp, F.col("rep") == F.col("id"), "left")
     component = F.coalesce("component", "rep")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: of its smallest doc_id, of equal ids the least text."""
+    found = staged(near_duplicates(docs, **options), "found")
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if twice.isEmpty():
+        return left
+    one = left.join(twice, "doc_id", "left_semi").withColumn("__k", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("__k = 1").select(*docs.columns)
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)

@@ -108,13 +108,13 @@ def entropy_spans(text: Column, allowed: tuple[str, ...] = ALLOWED, allowed_stri
     return F.concat(of("entropy_hex", 3, HEX_ALPHABET, hex_bits, is_hex), of("entropy_text", 4, TEXT_ALPHABET, text_bits, lambda c: ~is_hex(c)))
 
 
-def scan(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with ``secrets``: an array of (start, rank, end, kind), by start, then kind as listed."""
+def scan(docs: DataFrame, text: str = "text", to: str = "secrets", **options) -> DataFrame:
+    """``docs`` with a column ``to`` (replaced if there is one): an array of (start, rank, end, kind), by start, then kind as listed."""
     t = F.coalesce(F.col(text), F.lit(""))
     assign = F.filter(matches(t, ASSIGN), lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= 6)
     access = F.filter(matches(t, ACCESS), lambda x: x["end"] - x["start"] >= 20)
     base = F.concat(_spans(assign, "assign", 0), _spans(access, "access", 1), _spans(matches(t, HEX), "hex", 2))
-    return docs.withColumn("secrets", F.array_sort(F.concat(base, entropy_spans(t, **options))))
+    return docs.withColumn(to, F.array_sort(F.concat(base, entropy_spans(t, **options))))
 
 
 def listed(spans: Column) -> Column:
@@ -132,7 +132,7 @@ def secret_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every secret span of the text replaced by ``mark``; overlapping spans become one. A null text stays null."""
-    d = scan(docs, text, **options)
+    d = scan(docs, text, "__secrets", **options)
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     t = F.col(text)
 
@@ -140,5 +140,5 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", **opti
         kept = F.substring(t, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], kept, F.when(x["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit(""))).alias("out"))
 
-    done = F.aggregate("secrets", zero, cut, lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
-    return d.withColumn(text, F.when(F.size("secrets") > 0, done).otherwise(t)).drop("secrets")
+    done = F.aggregate("__secrets", zero, cut, lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
+    return d.withColumn(text, F.when(F.size("__secrets") > 0, done).otherwise(t)).drop("__secrets")

@@ -267,7 +267,9 @@ def fitted(docs: DataFrame, labels: DataFrame, most_rows: int = 1500) -> Model |
 
 
 def scored(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
-    """``docs`` (doc_id, text) with score, predicted and toxic_spans: code points start:end of toxic tokens, comma-joined."""
+    """``docs`` with score, predicted and toxic_spans (code points start:end of toxic tokens, comma-joined); columns of
+    these names are replaced."""
+    docs = docs.drop("score", "predicted", "toxic_spans")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
