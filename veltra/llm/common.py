@@ -125,15 +125,22 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 
-class TokenIds:
+#: Letters whose class no Unicode version disputes.
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af"
+
+
+class TokenIds(dict):
     """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit bytes.
 
-    A pre-token of the byte-level kind never crosses from a non-space to a space, so a text is cut there and
-    each distinct piece is encoded once; the ids of the pieces in order are those of the text. ``most`` bounds
-    the remembered pieces.
+    A pre-token of the byte-level kind never crosses from a non-space to a space, from a letter to a full stop
+    or comma, or from a line end to a letter, so a text is cut there, each distinct piece is encoded once and
+    remembered, and the ids of the pieces in order are those of the text. A word of plain letters is one
+    pre-token and goes to the library's model without another search for pre-tokens. ``most`` bounds the
+    remembered pieces; beyond it all are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_200_000):
+        super().__init__()
         import os
         import re
 
@@ -142,29 +149,48 @@ class TokenIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.cut = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
+        self.word = re.compile(f" ?[{_LETTERS}]+").fullmatch
+        self.tail = re.compile(f"[^{_SPACE}]*[{_LETTERS}][.,]").fullmatch
+        self.line = re.compile(f"\n[^{_SPACE}]+").fullmatch
         self.most = most
+        # byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.word(piece):
+            ids = [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+            value = np.array(ids, "<u4").tobytes()
+        elif self.tail(piece[1:] if piece[0] == " " else piece):
+            value = self[piece[:-1]] + self[piece[-1]]
+        elif self.line(piece):
+            value = self["\n"] + self[piece[1:]] if len(piece) > 1 else b""
+        else:
+            value = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= self.most:
+            self.clear()
+        self[piece] = value
+        return value
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        new = list(set().union(*cut).difference(self.known))
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = list(set().union(*cut))
-        known = self.known
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[piece] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        return [b"".join(map(self.__getitem__, self.cut(t))) if t else b"" for t in texts]
 
 
 _own: dict = {}
 
 
+def token_ids(path: str) -> TokenIds:
+    """This Python process's ids for a tokenizer file: they outlive tasks, so a worker learns a piece once."""
+    if ("ids", path) not in _own:
+        _own["ids", path] = TokenIds(path)
+    return _own["ids", path]
+
+
 def word_hashes() -> WordHashes:
-    """This Python process's word hashes: they outlive tasks."""
+    """This Python process's word hashes."""
     if "words" not in _own:
         _own["words"] = WordHashes()
     return _own["words"]

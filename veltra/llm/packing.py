@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veltra.llm.common import TokenIds, slices, staged
+from veltra.llm.common import slices, staged, token_ids
 
 Pattern = tuple[tuple[int, ...], int]  # lengths, descending, and the number of sequences filled so
 
@@ -198,7 +198,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     """doc_id, piece, start, length, ids_crc32 of every piece, and its part and rank among the part's pieces of its length."""
 
     def cut(batches):
-        known = TokenIds(tokenizer)
+        known = token_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()

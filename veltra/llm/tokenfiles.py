@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veltra.llm.common import TokenIds, file_system, shared_dir, slices, staged
+from veltra.llm.common import file_system, shared_dir, slices, staged, token_ids
 
 MAGIC = b"VLTHUF1\n"
 NO_ID = -(2**63)
@@ -182,7 +182,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0, ranges: int | No
     bounds = np.array(_ranges(docs, n), np.float64)
 
     def tokens(batches):
-        known = TokenIds(tokenizer)
+        known = token_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         wide = known.tokenizer.get_vocab_size() > 1 << 16
         for b in slices(batches):
