@@ -61,12 +61,13 @@ def candidate(buf: bytes, at: int) -> bool | None:
     z = zlib.decompressobj(31)
     try:
         head = z.decompress(buf[at : at + 4096], 4096)
-        if len(head) < len(VERSION):
-            return None if len(buf) - at < 4096 else False
-        if not head.startswith(VERSION):
+        short = not z.eof and len(buf) - at < 4096  # more bytes may tell more
+        if not head.startswith(VERSION[: len(head)]):
             return False
         first = head[len(VERSION) :].split(b"\r\n")
-        return bool(re.fullmatch(rb"[0-9]", first[0])) and len(first) > 1 and (len(first) == 2 or b":" in first[1])
+        if len(first) < 3 and short:
+            return None
+        return head.startswith(VERSION) and bool(re.fullmatch(rb"[0-9]", first[0])) and len(first) > 1 and (len(first) == 2 or b":" in first[1])
     except zlib.error:
         return False
 
