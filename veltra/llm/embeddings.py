@@ -38,8 +38,9 @@ def axes(vectors: DataFrame, most: int = 10_000) -> np.ndarray:
     if not len(x):
         return np.eye(1)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    _, _, vt = np.linalg.svd(x - x.mean(0), full_matrices=True)
-    return vt.T
+    x -= x.mean(0)
+    _, vectors = np.linalg.eigh(x.T @ x)
+    return vectors[:, ::-1].copy()  # the largest first
 
 
 def union_find(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
