@@ -10,6 +10,17 @@ from veltra.plans.binding import Expr
 from veltra.types import INT64_MAX, INT64_MIN, Type
 
 
+#: Bits at which a LONG is cut for exact sums.
+HIGH, LOW = 43, 22
+
+
+def width(e: Expr) -> int:
+    """How many partial results an aggregate has."""
+    if e.op in ("count", "min", "max"):
+        return 1
+    return (3 if e.args[0].type is Type.INT64 else 1) + (e.op == "avg")
+
+
 def partials(e: Expr, value: Column | None, ordinal: Column | None) -> list[Column]:
     """The Spark aggregates behind one aggregate. ``ordinal``: fold DOUBLE sums in this order, in the group's memory."""
     if e.op == "count":
@@ -17,8 +28,10 @@ def partials(e: Expr, value: Column | None, ordinal: Column | None) -> list[Colu
     if e.op in ("min", "max"):
         return [F.min(value) if e.op == "min" else F.max(value)]
     if e.args[0].type is Type.INT64:
-        total = F.sum(value.cast("decimal(20,0)"))
-    elif ordinal is None:
+        # three sums of LONG parts: exact for 2**41 rows, and much faster than sums of wide decimals
+        limbs = [F.sum(F.shiftright(value, HIGH)), F.sum(F.shiftright(value, LOW).bitwiseAND(F.lit((1 << (HIGH - LOW)) - 1))), F.sum(value.bitwiseAND(F.lit((1 << LOW) - 1)))]
+        return limbs if e.op == "sum" else [*limbs, F.count(value)]
+    if ordinal is None:
         total = F.sum(value)
     else:
         rows = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(ordinal.alias("o"), value.alias("d")))))
@@ -36,7 +49,9 @@ def finished(e: Expr, parts: list[Column]) -> Lane:
         bad = total.isNotNull() & ~finite(total)
         value = F.when(parts[1] > 0, F.try_divide(total, parts[1].cast("double"))) if e.op == "avg" else value
         return Lane(F.when(~bad, value), F.when(bad, F.lit(3)))
+    high, mid, low = (p.cast("decimal(20,0)") for p in parts[:3])
+    total = (high * F.lit(1 << HIGH).cast("decimal(14,0)") + mid * F.lit(1 << LOW).cast("decimal(7,0)") + low).cast("decimal(38,0)")
     if e.op == "avg":
-        return Lane(F.try_divide(total.cast("double"), parts[1].cast("double")))
+        return Lane(F.try_divide(total.cast("double"), parts[3].cast("double")))
     inside = total.between(F.lit(INT64_MIN).cast("decimal(20,0)"), F.lit(INT64_MAX).cast("decimal(20,0)"))
     return Lane(F.when(inside, total.cast("long")), F.when(~inside, F.lit(5)))

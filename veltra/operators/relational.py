@@ -11,9 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veltra.functions.aggregates import finished, partials
+from veltra.functions.aggregates import finished, partials, width
 from veltra.functions.lanes import Lane, first_fault, lower
-from veltra.plans.binding import Bound, Expr
+from veltra.plans.binding import Bound
 
 ROW_NUMBER = "__row"
 
@@ -85,16 +85,12 @@ def grouped(q: Bound, rows: DataFrame, order: Column | None = None, carry: Colum
     return by.agg(*aggs) if aggs else by.agg(F.count(F.lit(1)).alias("n"))
 
 
-def _parts(a: Expr) -> int:
-    return 2 if a.op == "avg" else 1
-
-
 def output_lanes(q: Bound) -> list[Lane]:
     """Every output expression over surviving rows, or over groups; a group's aggregates bring their own faults."""
     if not q.aggregation:
         return [lower(e, column) for e in q.outputs]
     keys = _key_names(q)
-    done = [finished(a, [F.col(f"a{i}_{j}") for j in range(_parts(a))]) for i, a in enumerate(q.aggregates)]
+    done = [finished(a, [F.col(f"a{i}_{j}") for j in range(width(a))]) for i, a in enumerate(q.aggregates)]
     own = first_fault(*(d.fault for d in done))
     lanes = [lower(e, lambda c: F.col(keys[c]), lambda i: done[i].value) for e in q.outputs]
     return [Lane(x.value, first_fault(own, x.fault)) for x in lanes]
