@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space, as ``bytes.split()`` sees them.
 WORD = r"[^\x20\x09-\x0D]+"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is staged: shuffle files go when it is written, and Arrow batches of whole texts stay small.
+STAGED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 # ---------------------------------------------------------------- staged tables
@@ -39,12 +40,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and rereads it: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # this write's shuffle files go when it is done
+    before = {k: spark.conf.get(k, None) for k in STAGED}
+    for k, v in STAGED.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -85,7 +88,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered; it forgets all beyond ``most`` words, so memory is bounded."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -139,7 +142,7 @@ class TokenIds(dict):
     remembered pieces; beyond it all are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         super().__init__()
         import os
         import re
@@ -190,10 +193,29 @@ def token_ids(path: str) -> TokenIds:
 
 
 def word_hashes() -> WordHashes:
-    """This Python process's word hashes."""
-    if "words" not in _own:
-        _own["words"] = WordHashes()
-    return _own["words"]
+    """Word hashes for a task: quick to learn again, so nothing is kept in idle workers."""
+    return WordHashes()
+
+
+def tidy(batches_of):
+    """A task function that gives freed memory back to the system at its end: workers wait idle beside later stages."""
+    import functools
+
+    @functools.wraps(batches_of)
+    def run(batches):
+        try:
+            yield from batches_of(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
 
 
 def default_tokenizer() -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltra.llm.common import mix, slices, staged
+from veltra.llm.common import mix, slices, staged, tidy
 
 GRAM = 32
 
@@ -73,7 +73,7 @@ def _anchored(docs: DataFrame, least: int) -> DataFrame:
             start = np.concatenate([[0], ends])[doc]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b["ord"].take(pa.array(doc)), pa.array((at - start).astype(np.int32))], ["h", "ord", "pos"])
 
-    return docs.mapInArrow(find, "h long, ord long, pos int")
+    return docs.mapInArrow(tidy(find), "h long, ord long, pos int")
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def _with_contexts(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
                     seen.add((k, x))
             yield pa.RecordBatch.from_arrays([pa.array(h), b["ord"].take(pa.array(np.repeat(np.arange(len(texts)), n))), pa.array(pos), pa.array(ck, pa.int64()), pa.array(left, pa.int32()), pa.array(size, pa.int32()), pa.array(ctx, pa.binary())], ["h", "ord", "pos", "ck", "left", "size", "ctx"])
 
-    return docs.join(at, "ord").select("ord", "text", "at").mapInArrow(cut, "h long, ord long, pos int, ck long, left int, size int, ctx binary")
+    return docs.join(at, "ord").select("ord", "text", "at").mapInArrow(tidy(cut), "h long, ord long, pos int, ck long, left int, size int, ctx binary")
 
 
 def _hot_windows(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
@@ -245,7 +245,7 @@ def _hot_windows(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
                     lo.append((x & (1 << 64) - 1) - ((x >> 63 & 1) << 64))
             yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), pa.array(starts, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["ord", "start", "hi", "lo"])
 
-    w = staged(docs.join(at, "ord").select("ord", "text", "at").mapInArrow(cut, "ord long, start int, hi long, lo long"), "windows")
+    w = staged(docs.join(at, "ord").select("ord", "text", "at").mapInArrow(tidy(cut), "ord long, start int, hi long, lo long"), "windows")
     first = w.groupBy("hi", "lo").agg(F.min(F.struct("ord", "start")).alias("first"))
     return w.join(first, ["hi", "lo"]).where(F.struct("ord", "start") != F.col("first")).select("ord", "start")
 
@@ -309,5 +309,5 @@ def deduplicated(docs: DataFrame, least: int = 100, most_contexts: int = 100_000
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = out.select("doc_id", "text", "marks", "starts").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = out.select("doc_id", "text", "marks", "starts").mapInArrow(tidy(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done if keep_text else done.drop("kept")

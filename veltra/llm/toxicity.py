@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veltra.llm.common import slices
+from veltra.llm.common import slices, tidy
 
 FEATURE_BITS = 18
 DOCUMENT_FEATURES = 5
@@ -110,7 +110,7 @@ class Model:
 class WordScores(dict):
     """Scores of words (bytes), remembered; bounded as it forgets all beyond ``most``."""
 
-    def __init__(self, model: Model, most: int = 600_000):
+    def __init__(self, model: Model, most: int = 300_000):
         super().__init__()
         self.model, self.most = model, most
 
@@ -291,4 +291,4 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> Data
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("toxic_spans", T.StringType())])
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(tidy(score), schema)
