@@ -7,10 +7,11 @@ keeps the darts up to a rank at which about ``k ln k`` hit, each dart belongs to
 earliest of a coordinate is its value. Two documents agree in a coordinate with a chance of their weighted
 Jaccard similarity. Bands of coordinates become join keys; found pairs are compared exactly.
 
-Equal texts are one class from the start. In a band's bucket the most central document (the one in most shared
-buckets) is compared with all others; small buckets also compare their other pairs. Larger buckets repeat with
-further central documents among those not yet connected, and at last compare whatever still lies in different
-components, so no bucket is cut short and none is expanded into all pairs while it hangs together.
+Equal texts are one class from the start. In a large bucket the most central document (the one that meets most
+others) is compared with all others; that connects families of copies. Small buckets then compare their pairs of
+different components. What still lies apart in large buckets meets in blocks of bounded size, where signatures
+rule out most pairs, the others are compared exactly, each pair in the first bucket that it shares, and only links
+that join components leave the task: no bucket is cut short, and none is expanded into pairs.
 
 Edge cases: a null text counts as empty; texts without words are near-duplicates of equal texts only; rows with
 equal ids are versions of one document; a null id's row stays alone with a null component and is kept; an empty
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veltra.llm.common import components, mix, shingle_hashes, slices, staged, word_hashes
+from veltra.llm.common import components, mix, shingle_hashes, slices, staged, tidy, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6  # a pair at 0.8 shares no band with a chance of 6e-5
@@ -116,7 +117,7 @@ def signed(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, words: int =
 
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
-    return d.mapInArrow(sign, "doc_id long, key binary, n double, bands array<long>")
+    return d.mapInArrow(tidy(sign), "doc_id long, key binary, n double, bands array<long>")
 
 
 # ---------------------------------------------------------------- pairs
@@ -133,7 +134,7 @@ def jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray])
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int, weights: str) -> DataFrame:
     """The pairs (a, b) of at least that similarity, by their whole texts."""
     t = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.select("a", "b").join(t("b"), "b").join(t("a"), "a").select("a", "text_a", "b", "text_b")
+    both = pairs.select("a", "b").hint("merge").join(t("b").hint("merge"), "b").hint("merge").join(t("a").hint("merge"), "a").select("a", "text_a", "b", "text_b")
 
     def compare(batches):
         known = word_hashes()
@@ -148,65 +149,135 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int,
             keep = np.flatnonzero(ok)
             yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(keep)), batch["b"].take(pa.array(keep))], ["a", "b"])
 
-    return both.mapInArrow(compare, "a long, b long")
+    return both.mapInArrow(tidy(compare), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, weights: str = "binary", n_bands: int = BANDS, rows: int = ROWS, small: int = SMALL, rounds: int = 2) -> DataFrame:
+def _compared_in_blocks(rest: DataFrame, texts: DataFrame, similarity: float, words: int, weights: str, n_bands: int, n_rows: int, block: int = 1024) -> DataFrame:
+    """Links (a, b) between different components c within the buckets of ``rest`` (band, rep, c)."""
+    blocks = rest.groupBy("band").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    r = rest.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    r = r.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("rep").alias("doc_id"), "c")
+    met = r.hint("merge").join(texts.hint("merge"), "doc_id").select("band", "x", "y", "own", "doc_id", "c", "text")
+    k = n_bands * n_rows
+    least = similarity - 4.0 * float(np.sqrt(similarity * (1 - similarity) / k))  # a pair at the limit falls below with a chance of 3e-5
+
+    def compare(batches):
+        known, seen = word_hashes(), {}
+
+        def profiles(ids, found):
+            new = [i for i in range(len(ids)) if (ids[i], found[i]) not in seen]
+            for at in range(0, len(new), 256):
+                part = new[at : at + 256]
+                sets = [shingles(known.of((found[i] or "").encode().split()), words, weights) for i in part]
+                sig = dart_minhash(np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets]), np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets]), len(sets), k)
+                keys = bands(sig, n_bands, n_rows)
+                for n, i in enumerate(part):
+                    seen[ids[i], found[i]] = (sets[n], sig[n], keys[n])
+            return [seen[ids[i], found[i]] for i in range(len(ids))]
+
+        def solve(group):
+            band, x, y = group[0][:3]
+            own, ids, c = (np.array([g[n] for g in group]) for n in (3, 4, 5))
+            p = profiles([g[4] for g in group], [g[6] for g in group])
+            if len(seen) > 4 * block:
+                seen.clear()
+            sig, keys = np.stack([q[1] for q in p]), np.stack([q[2] for q in p])
+            at = int(np.flatnonzero(keys[0] == band)[0])
+            a, b = [], []
+            for i in range(len(ids)):
+                js = np.flatnonzero((c != c[i]) & ((own != own[i]) if x != y else (np.arange(len(ids)) > i)) & (own >= own[i]))
+                if not len(js):
+                    continue
+                js = js[(sig[js] == sig[i]).mean(1) >= least]
+                js = js[(keys[js, :at] != keys[i, :at]).all(1)] if at else js  # an earlier common bucket compares them
+                for j in js.tolist():
+                    if c[j] != c[i] and jaccard(p[i][0], p[j][0]) >= similarity - 1e-12:
+                        a.append(min(ids[i], ids[j]))
+                        b.append(max(ids[i], ids[j]))
+                        c[c == c[j]] = c[i]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch[n].to_pylist() for n in ("band", "x", "y", "own", "doc_id", "c", "text")), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    yield solve(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield solve(held)
+
+    n = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(n, "band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(tidy(compare), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, weights: str = "binary", n_bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """doc_id, component_id (smallest doc_id of the group) and kept (whether the row's document is that one)."""
+    spark = docs.sparkSession
     base = staged(signed(docs, n_bands, rows, words, weights), "signed")
     classes = base.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = staged(classes, "classes")
     in_band = classes.select("rep", "n", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    member = in_band.join(shared, "band")
-    central = member.groupBy("rep").agg(F.count("*").alias("degree"))
+    member = staged(in_band.join(shared, "band"), "in_band")
+    central = member.groupBy("rep").agg(F.sum("size").alias("degree"))  # documents that a document meets, with repeats
     member = staged(member.join(central, "rep").select("band", "size", "rep", "n", "degree"), "member")
+    # texts move once, those that have a candidate; by merge at every size, so that small inputs show what large ones do
+    ids = member.select(F.col("rep").alias("doc_id")).distinct()
+    texts = staged(docs.select(F.col("doc_id").cast("long"), "text").hint("merge").join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
 
     close = (F.least("a_n", "b_n") >= F.lit(similarity - 1e-9) * F.greatest("a_n", "b_n")) & (F.col("a") != F.col("b"))
     ordered = lambda p: p.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    best = F.max_by(F.struct("rep", "n"), F.struct("degree", -F.col("rep"))).alias("lead")
+    rank = F.struct("degree", -F.col("rep"))
+    done = links = None  # pairs compared, and those found similar
+    comp = spark.createDataFrame([], "id long, component long")
+
+    def compared(pairs: DataFrame) -> None:
+        nonlocal done, links, comp
+        new = staged(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        if new.isEmpty():
+            return
+        done = new if done is None else done.unionByName(new)
+        found = staged(verified(new, texts, similarity, words, weights), "verified")
+        links = found if links is None else links.unionByName(found)
+        comp = staged(components(links), "components")
+
+    def apart(m: DataFrame) -> DataFrame:
+        """Rows, with their component c, of buckets that hold several components."""
+        labelled = m.join(comp, m["rep"] == comp["id"], "left").select("band", "rep", "n", "degree", F.coalesce("component", "rep").alias("c"))
+        split = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by("c", rank).alias("main")).where("low <> high").select("band", "main")
+        return labelled.join(split, "band")
 
     def star(m: DataFrame) -> DataFrame:
-        lead = m.groupBy("band").agg(best)
-        return ordered(m.join(lead, "band").select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("a_n"), F.col("rep").alias("b"), F.col("n").alias("b_n")))
-
-    few = member.where((F.col("size") > 2) & (F.col("size") <= small))
-    side = lambda m, c: m.select("band", F.col("rep").alias(c), F.col("n").alias(f"{c}_n"))
-    inner = ordered(side(few, "a").join(side(few, "b"), "band").where("a < b"))
-    pairs = staged(star(member).unionByName(inner).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(member.where(F.col("size") > small).select(F.col("rep").alias("doc_id"))).distinct()
-    # texts move once, those that have a candidate
-    own = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    texts = staged(own, "texts")
-    links = staged(verified(pairs, texts, similarity, words, weights), "verified")
-    comp = staged(components(links), "components")
+        """The most central document of each bucket against those of other components."""
+        lead = m.groupBy("band").agg(F.max_by(F.struct("rep", "n", "c"), rank).alias("lead"))
+        both = m.join(lead, "band").where(F.col("c") != F.col("lead.c"))
+        return ordered(both.select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("a_n"), F.col("rep").alias("b"), F.col("n").alias("b_n")))
+
+    def across(m: DataFrame) -> DataFrame:
+        """All pairs of different components in a bucket."""
+        side = lambda c: m.select("band", F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), F.col("c").alias(f"{c}_c"))
+        return ordered(side("a").join(side("b"), "band").where("a < b and a_c <> b_c"))
 
     large = member.where(F.col("size") > small)
-    for i in range(rounds + 1):
-        labelled = large.join(comp, large["rep"] == comp["id"], "left").select("band", "rep", "n", "degree", F.coalesce("component", "rep").alias("c"))
-        split = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by("c", F.struct("degree", -F.col("rep"))).alias("main")).where("low <> high").select("band", "main")
-        split = staged(split, "split")
-        if split.isEmpty():
-            break
-        rest = labelled.join(split, "band")
-        if i < rounds:  # the most central document outside the main component, against all that is not connected to it
-            lead = rest.where("c <> main").groupBy("band").agg(F.max_by(F.struct("rep", "n", "c"), F.struct("degree", -F.col("rep"))).alias("lead"))
-            more = rest.join(lead, "band").where(F.col("c") != F.col("lead.c")).select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("a_n"), F.col("rep").alias("b"), F.col("n").alias("b_n"))
-        else:  # what still lies apart; pairs of one component need no comparison
-            s = lambda c: rest.select("band", F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), F.col("c").alias(f"{c}_c"))
-            more = s("a").join(s("b"), "band").where("a < b and a_c <> b_c").drop("band")
-        more = staged(ordered(more).join(pairs, ["a", "b"], "left_anti"), "more")
-        pairs = staged(pairs.unionByName(more), "pairs")
-        found = staged(verified(more, texts, similarity, words, weights), "verified")
-        if not found.isEmpty():
-            links = staged(links.unionByName(found), "links")
-            comp = staged(components(links), "components")
+    any_large = not large.isEmpty()
+    if any_large:
+        compared(star(apart(large)))
+    compared(across(apart(member.where(F.col("size") <= small))))
+    if any_large:
+        rest = staged(apart(large).select("band", "rep", "c"), "apart")
+        if not rest.isEmpty():
+            found = staged(_compared_in_blocks(rest, texts, similarity, words, weights, n_bands, rows), "verified")
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                comp = staged(components(links), "components")
 
     # equal ids or texts may still join classes: ids with several texts
     out = base.select("doc_id", "key").join(classes.select("key", "rep"), "key", "left")
     versions = out.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(classes.select(F.col("rep").alias("a")).distinct(), "a", "left_semi")
     if not versions.isEmpty():
-        comp = staged(components(links.unionByName(versions.select("a", "b"))), "components")
+        versions = versions.select("a", "b")
+        comp = staged(components(versions if links is None else links.unionByName(versions)), "components")
     out = out.join(comp, F.col("rep") == F.col("id"), "left")
     component = F.coalesce("component", "rep")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
