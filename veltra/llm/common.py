@@ -197,6 +197,18 @@ def word_hashes() -> WordHashes:
     return WordHashes()
 
 
+def release() -> None:
+    """Gives freed memory of this Python process back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(batches_of):
     """A task function that gives freed memory back to the system at its end: workers wait idle beside later stages."""
     import functools
@@ -206,14 +218,7 @@ def tidy(batches_of):
         try:
             yield from batches_of(batches)
         finally:
-            import ctypes
-            import gc
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            release()
 
     return run
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veltra.llm.common import slices, tidy
+from veltra.llm.common import release, slices, tidy
 
 FEATURE_BITS = 18
 DOCUMENT_FEATURES = 5
@@ -150,7 +150,9 @@ def toxic_stems(texts: list[list[str]], labels: np.ndarray, rows: int = 3) -> se
 
 def fit(texts: list[str], labels: np.ndarray, rates: tuple[float, float] = (1.0, 1.0), epochs: int = 12, span: int = 64) -> Model | None:
     """The chain and the document function. ``rates``: how many documents a clean and a toxic row stand for."""
-    words = [[form(w) for w in t.encode().split()] for t in texts]
+    forms: dict[bytes, str] = {}  # a form is one object, however many tokens have it
+    words = [[forms[w] if w in forms else forms.setdefault(w, form(w)) for w in t.encode().split()] for t in texts]
+    del forms
     marked = toxic_stems(words, labels)
     if not marked:
         return None
@@ -263,7 +265,13 @@ def fitted(docs: DataFrame, labels: DataFrame, most_rows: int = 1500) -> Model |
     y = np.array([r["toxic"] for r in sample], np.int64)
     if not len(y) or y.min() == y.max():
         return None
-    return fit([r["text"] or "" for r in sample], y, (rows[0] / max(1, (y == 0).sum()), rows[1] / max(1, (y == 1).sum())))
+    texts = [r["text"] or "" for r in sample]
+    del sample
+    try:
+        return fit(texts, y, (rows[0] / max(1, (y == 0).sum()), rows[1] / max(1, (y == 1).sum())))
+    finally:  # the driver goes on with other work
+        del texts
+        release()
 
 
 def scored(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
