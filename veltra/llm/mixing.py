@@ -140,7 +140,8 @@ def mixed_documents(docs: DataFrame, block: int = 64, shard: int = 4096, seed: i
     rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.struct(*docs.columns).alias("row"))
     placed, _, pieces = mix_plan(rows, block, shard, seed)
     took = pieces.groupBy(F.col("source").alias("t_source"), F.col("first").alias("t_first"), "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"), F.sum(F.col("to") - F.col("from")).alias("words"))
-    both = placed.where("size > 0").join(took, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("first") == F.col("t_first")))
+    # by merge at every size, so that small inputs show what large ones do
+    both = placed.where("size > 0").hint("merge").join(took.hint("merge"), F.col("source").eqNullSafe(F.col("t_source")) & (F.col("first") == F.col("t_first")))
     words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0))
     part = F.array_join(F.flatten(F.transform("spans", lambda x: F.slice(words, (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int")))), " ")
     out = both.withColumn("new", F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(part))
