@@ -1,6 +1,7 @@
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -489,6 +490,31 @@ def test_secrets(spark, odd):
     assert secrets.secret_report(odd.limit(0)).count() == 0
 
 
+def test_random_keys_of_each_alphabet_are_found(spark):
+    rng = random.Random(17)
+    pick = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    digits, low = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    classes = {
+        "upper hex": (digits + "ABCDEF", 32, 3, ""), "mixed hex": (digits + "abcdefABCDEF", 24, 3, ""), "prefixed hex": (digits + "abcdef", 23, 3, "key_"), "0x": (digits + "ABCDEF", 40, 3, "0x"),
+        "base32": (low.upper() + "234567", 32, 5, ""), "lower": (low + digits, 32, 5, "sk_"), "base62": (low + low.upper() + digits, 24, 6, ""),
+    }
+    keys = [(name, k, before, pick(a, n)) for name, (a, n, k, before) in classes.items() for _ in range(60)]
+    allowed = re.compile("|".join(f"(?:{a})" for a in secrets.ALLOWED))
+    keys = [x for x in keys if not allowed.fullmatch(x[3])]
+    got = {r["doc_id"]: r for r in secrets.secret_report(documents(spark, [f"see {before}{key} there" for _, _, before, key in keys])).collect()}
+    clear = {r["doc_id"]: r["text"] for r in secrets.redacted(documents(spark, [f"see {before}{key} there" for _, _, before, key in keys])).collect()}
+    limits = {3: (secrets.HEX_ALPHABET, secrets.HEX_BITS), 5: (secrets.BASE62, secrets.ONE_CASE_BITS), 6: (secrets.BASE62, secrets.BASE62_BITS)}
+    missed = dict.fromkeys(classes, 0)
+    for i, (name, k, before, key) in enumerate(keys):
+        at = 4 + len(before)
+        want = [f"{secrets.KINDS[k]}:{at + x}:{at + y}" for x, y in brute_entropy(key, *limits[k][:1], secrets.WINDOW, limits[k][1])]
+        assert [s for s in got[i]["spans"].split(",") if s.startswith(secrets.KINDS[k])] == want, key
+        missed[name] += not want or key in clear[i]
+    assert max(missed.values()) <= 1, missed
+    words = ["see /usr/lib/some_path-with/words_in here", "id_20231105123456789012 there", "internationalizations2024 x", "DEADBEEF" * 4]
+    assert [r["spans"] for r in secrets.secret_report(documents(spark, words)).orderBy("doc_id").collect()] == [""] * 4
+
+
 # ---------------------------------------------------------------- pipeline
 
 

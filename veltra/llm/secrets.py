@@ -2,10 +2,14 @@
 
 Base kinds (leftmost, non-overlapping per kind): ``assign`` (a keyword, a separator and a value of 6 or more
 characters), ``access`` (access key ids of 20 or more characters) and ``hex`` (runs of 24 or more hex digits).
-The method adds ``entropy_hex`` and ``entropy_text`` spans: over every candidate string, a window slides by one
-character, the counts of the character entering and leaving change, and with them the sum of ``n log2 n`` from
-which the window's entropy follows. Runs of windows at or over the class's threshold become spans, unless an
-allow-list pattern covers the whole candidate or the candidate is an allowed string.
+The method adds ``entropy_...`` spans: over every candidate string, a window slides by one character, the counts of
+the character entering and leaving change, and with them the sum of ``n log2 n`` from which the window's entropy
+follows. Runs of windows at or over the class's threshold become spans, unless an allow-list pattern covers the
+whole candidate or the candidate is an allowed string. A small alphabet bounds the entropy of a window, so each has
+its class and threshold: ``hex`` in either case, ``one_case`` (digits and letters of one case, base32 among them),
+``base62`` (digits and letters of both cases) and ``text`` (whole candidates that are not all hex). The first three
+look at the longest runs of their characters in a candidate, so that ``key_`` before a key hides nothing; a run that
+is allowed by itself counts as words or digits. Spans of different classes may overlap.
 
 Offsets count code points, end exclusive. Positions come from the texts between matches, so no match is looked
 up again. Edge cases: a null text counts as empty and has no spans; rows with equal or null ids are scanned one
@@ -21,13 +25,23 @@ from pyspark.sql import functions as F
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_text")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_text", "entropy_one_case", "entropy_base62")
 
 #: Character classes of candidates, their windows and thresholds in bits.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-HEX_ALPHABET = "0123456789abcdef"
+HEX_ALPHABET = "0123456789abcdefABCDEF"
 TEXT_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW, HEX_BITS, TEXT_BITS = 20, 3.0, 3.9
+#: Of random keys of 20 characters, one in 200 or fewer have no such window.
+ONE_CASE_BITS, BASE62_BITS = 3.25, 3.5
+UPPER, LOWER, BASE62 = TEXT_ALPHABET[:26] + TEXT_ALPHABET[52:62], TEXT_ALPHABET[26:62], TEXT_ALPHABET[:62]
+#: Each class of runs: its name, the runs in a candidate, what a run must hold, and its alphabet.
+RUNS = (
+    ("hex", r"[0-9a-fA-F]{20,}", r"", HEX_ALPHABET),
+    ("one_case", r"[A-Z0-9]{20,}", r"[G-Z]", UPPER),
+    ("one_case", r"[a-z0-9]{20,}", r"[g-z]", LOWER),
+    ("base62", r"[A-Za-z0-9]{20,}", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).*[g-zG-Z]", BASE62),
+)
 
 #: Whole candidates that are no secrets: UUIDs, words with separators, digits, paths, rulers.
 ALLOWED = (
@@ -95,17 +109,23 @@ def entropy_runs(s: Column, alphabet: str, window: int, bits: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, step, lambda acc: acc["out"])
 
 
-def entropy_spans(text: Column, allowed: tuple[str, ...] = ALLOWED, allowed_strings: tuple[str, ...] = (), window: int = WINDOW, hex_bits: float = HEX_BITS, text_bits: float = TEXT_BITS) -> Column:
+def entropy_spans(text: Column, allowed: tuple[str, ...] = ALLOWED, allowed_strings: tuple[str, ...] = (), window: int = WINDOW, hex_bits: float = HEX_BITS, text_bits: float = TEXT_BITS, one_case_bits: float = ONE_CASE_BITS, base62_bits: float = BASE62_BITS) -> Column:
     """Spans that the entropy of a candidate's windows gives, by class."""
     ok = lambda c: ~c["found"].rlike("^(?:" + "|".join(f"(?:{a})" for a in allowed) + ")$") & (~c["found"].isin(*allowed_strings) if allowed_strings else F.lit(True))
-    cand = F.filter(matches(text, CANDIDATE), ok)
+    bits = {"hex": hex_bits, "one_case": one_case_bits, "base62": base62_bits}
+
+    def of(c: Column, found: Column, name: str, alphabet: str, least: float) -> Column:
+        """Spans of the strings ``found`` in candidate ``c``."""
+        kind = f"entropy_{name}"
+        span = lambda x, r: F.struct((c["start"] + x["start"] + r["from"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (c["start"] + x["start"] + r["to"]).alias("end"), F.lit(kind).alias("kind"))
+        return F.flatten(F.transform(found, lambda x: F.transform(entropy_runs(x["found"], alphabet, window, least), lambda r: span(x, r))))
 
-    def of(kind: str, rank: int, alphabet: str, bits: float, mine) -> Column:
-        each = F.transform(F.filter(cand, mine), lambda c: F.transform(entropy_runs(c["found"], alphabet, window, bits), lambda r: F.struct((c["start"] + r["from"]).alias("start"), F.lit(rank).alias("rank"), (c["start"] + r["to"]).alias("end"), F.lit(kind).alias("kind"))))
-        return F.flatten(each)
+    def each(c: Column) -> Column:
+        whole = F.filter(F.array(F.struct(F.lit(0).cast("bigint").alias("start"), c["found"].alias("found"))), lambda x: ~x["found"].rlike("^[0-9a-fA-F]+$"))
+        runs = lambda pattern, holds: F.filter(matches(c["found"], pattern), lambda x: ok(x) & x["found"].rlike(holds))
+        return F.concat(of(c, whole, "text", TEXT_ALPHABET, text_bits), *(of(c, runs(pattern, holds), name, alphabet, bits[name]) for name, pattern, holds, alphabet in RUNS))
 
-    is_hex = lambda c: c["found"].rlike("^[0-9a-f]+$")
-    return F.concat(of("entropy_hex", 3, HEX_ALPHABET, hex_bits, is_hex), of("entropy_text", 4, TEXT_ALPHABET, text_bits, lambda c: ~is_hex(c)))
+    return F.flatten(F.transform(F.filter(matches(text, CANDIDATE), ok), each))
 
 
 def scan(docs: DataFrame, text: str = "text", to: str = "secrets", **options) -> DataFrame:
