@@ -304,6 +304,28 @@ def test_toxicity_on_held_out_documents(spark, odd):
     assert all(r["score"] == 0 for r in toxicity.scored(odd, toxicity.fitted(odd, labels.limit(0))).collect())
 
 
+def test_toxic_words_count_anywhere_in_a_text(spark):
+    rng = random.Random(18)
+    clean = [words(rng, 80) for _ in range(120)]
+    toxic = [f"{words(rng, 40)} worthless idiot {words(rng, 40)}" for _ in range(120)]
+    model = toxicity.fit(clean + toxic, np.array([0] * 120 + [1] * 120))
+    said = ["this", "much", "longer", "beginning", "says", "worthless", "idiot"]
+    cases = [s.join(said) for s in " \u00a0\u3000-_/\u2014."] + ["".join(said)]
+    cases += [x.replace("worthless", "wonderful").replace("idiot", "w17") for x in cases]
+    rows = [r for r in sorted(toxicity.scored(documents(spark, cases), model).collect(), key=lambda r: r["doc_id"])]
+    assert [r["predicted"] for r in rows] == [1] * 9 + [0] * 9
+    for r in rows[:8]:
+        a, b = map(int, r["toxic_spans"].split(",")[-1].split(":"))
+        assert r["text"][a:b] == "idiot"
+    for w in ["", "a", "wor", "word", "worthless", "x" * 15]:  # short forms: one beginning
+        f = toxicity.Features([w])
+        assert sorted(i for i in f.used(f.start)[0].tolist() if i < toxicity.NONE) == sorted(toxicity.features(w) if w else [])
+    # a mark behind many others is learned from too
+    late = [" ".join(f"worthless {words(rng, 70)}" for _ in range(10)) + " scoundrel" for _ in range(120)]
+    model = toxicity.fit([words(rng, 80) for _ in range(120)] + late, np.array([0] * 120 + [1] * 120))
+    assert model.word_score("scoundrel") > 0 > model.word_score("w17")
+
+
 # ---------------------------------------------------------------- mixing
 
 

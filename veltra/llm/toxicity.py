@@ -9,6 +9,13 @@ the offending offsets.
 The fit uses at most ``most_rows`` labelled documents of each class outside fold 2 of crc32(doc_id) mod 4; labels,
 language, source and id are no inputs of a score. All documents are scored over their whole text.
 
+Tokens are cut at ASCII white space and at every inner character that is no letter, mark, digit, format character or
+apostrophe in Unicode. A form longer than 15 characters may be text without spaces: each of its characters may begin a
+word, features are those of the 15 characters from there, and the beginning that favours toxic most gives its score.
+
+Fitting cuts documents into runs of 64 tokens and uses all runs of clean documents, and all runs with a labelled token
+of toxic ones; their other runs are left out, since what is toxic there is not known.
+
 Edge cases: null and empty texts score the logistic's value for no toxic token; with no toxic or no clean label
 to learn from every score is 0; a null id has no label and is not held out; repeated ids are scored one by one,
 and of repeated labels the higher counts; other columns are ignored.
@@ -17,9 +24,11 @@ and of repeated labels the higher counts; other columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +39,8 @@ from veltra.llm.common import release, slices, tidy
 
 FEATURE_BITS = 18
 DOCUMENT_FEATURES = 5
+GRAMS = 12  # 4-grams of a word, from its beginning
+NONE = 1 << FEATURE_BITS  # a feature that weighs nothing
 
 
 def held_out(doc_id: Column) -> Column:
@@ -39,6 +50,49 @@ def held_out(doc_id: Column) -> Column:
 # ---------------------------------------------------------------- features
 
 
+def _joins(c: str) -> bool:
+    return c in "'\u2019" or unicodedata.category(c)[0] in "LMN" or unicodedata.category(c) == "Cf"
+
+
+def cuts_of(word: str) -> list[tuple[int, int]]:
+    """Where the tokens of a word between ASCII white space start and end; what is at its ends stays with them."""
+    if word.isalnum():
+        return [(0, len(word))]
+    runs, start = [], None
+    for i, c in enumerate(word):
+        if not _joins(c):
+            start = None
+        elif start is None:
+            start = i
+            runs.append([i, i + 1])
+        else:
+            runs[-1][1] = i + 1
+    runs = [r for r in runs if any(c.isalnum() for c in word[r[0] : r[1]])]
+    if len(runs) < 2:
+        return [(0, len(word))]
+    runs[0][0], runs[-1][1] = 0, len(word)
+    return [(a, b) for a, b in runs]
+
+
+class Pieces(dict):
+    """The tokens (bytes) of words between ASCII white space, remembered; bounded as it forgets all beyond ``most``."""
+
+    def __init__(self, most: int = 300_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        w = word.decode("utf-8", "replace")
+        cuts = cuts_of(w)
+        value = self[word] = (word,) if len(cuts) == 1 else tuple(w[a:b].encode() for a, b in cuts)
+        return value
+
+    def tokens(self, text: str) -> list[bytes]:
+        return list(chain.from_iterable(map(self.__getitem__, text.encode().split())))
+
+
 def form(word: bytes) -> str:
     """The word in lower case without what is no letter or digit at its ends."""
     return re.sub(r"^[\W_]+|[\W_]+$", "", word.decode("utf-8", "replace").lower())
@@ -49,11 +103,58 @@ def stems(w: str) -> list[str]:
     return [w] + [f"{w[:n]}~" for n in (4, 5, 6) if len(w) > n]
 
 
-def features(w: str) -> np.ndarray:
-    """Hashed features of a form."""
+def _hash(name: str) -> int:
+    return zlib.crc32(name.encode()) & (NONE - 1)
+
+
+def features(w: str) -> list[int]:
+    """Hashed features of a form that only begins at its first character."""
     names = [f"w:{w}"] + [f"p:{w[:n]}" for n in (4, 5, 6) if len(w) >= n]
-    names += [f"g:{w[i : i + 4]}" for i in range(0, min(len(w) - 3, 12))]
-    return np.array([zlib.crc32(x.encode()) & ((1 << FEATURE_BITS) - 1) for x in names], np.int64)
+    return [_hash(x) for x in names + [f"g:{w[i : i + 4]}" for i in range(len(w) - 3)]]
+
+
+class Features:
+    """Hashed features of forms: the form, beginnings of 4 to 6 characters, and 4-grams, by each place a word may begin."""
+
+    def __init__(self, forms: list[str]):
+        whole, prefixes, grams, last, size = [], [], [], [], []
+        for w in forms:
+            n = max(1, len(w) - 3)  # grams, or one place for what is shorter
+            whole.append(_hash(f"w:{w}") if w else NONE)
+            grams += [_hash(f"g:{w[i : i + 4]}") for i in range(n)] if len(w) > 3 else [NONE]
+            begins = n if n > GRAMS else 1
+            size.append(begins)
+            for i in range(begins):
+                prefixes += [_hash(f"p:{w[i : i + k]}") if len(w) >= i + k else NONE for k in (4, 5, 6)]
+            last.append(n)
+        self.whole, self.grams = np.array(whole, np.int32), np.array(grams, np.int32)
+        self.prefixes = np.array(prefixes, np.int32).reshape(-1, 3)
+        size, last = np.array(size, np.int64), np.array(last, np.int64)
+        self.start = np.cumsum(size) - size  # of each form's beginnings
+        self.owner = np.repeat(np.arange(len(forms)), size)
+        first = np.cumsum(last) - last
+        self.at = first[self.owner] + np.arange(len(self.owner)) - self.start[self.owner]  # the first gram of a beginning
+        self.end = np.minimum(self.at + GRAMS, (first + last)[self.owner])
+        self.several = bool((size > 1).any())
+
+    def scores(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The score of each form, and the beginning that gives it."""
+        sums = np.concatenate([[0.0], np.cumsum(weights[self.grams])])
+        by_place = weights[self.prefixes].sum(1) + sums[self.end] - sums[self.at]
+        best = self.start
+        if self.several:
+            top = np.maximum.reduceat(by_place, self.start)
+            hits = np.flatnonzero(by_place == top[self.owner])
+            best = hits[np.searchsorted(self.owner[hits], np.arange(len(self.start)))]
+        return weights[self.whole] + by_place[best], best
+
+    def used(self, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features of each form from the given beginning, and their forms."""
+        n = self.end[best] - self.at[best]
+        forms = np.arange(len(best))
+        owner = np.repeat(forms, n)
+        grams = self.grams[self.at[best][owner] + np.arange(len(owner)) - (np.cumsum(n) - n)[owner]]
+        return np.concatenate([self.whole, self.prefixes[best].ravel(), grams]), np.concatenate([forms, np.repeat(forms, 3), owner])
 
 
 # ---------------------------------------------------------------- the chain
@@ -98,13 +199,15 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> np.nd
 
 @dataclass
 class Model:
-    weights: np.ndarray  # by hashed feature
+    weights: np.ndarray  # by hashed feature, and 0 for NONE
     bias: float
     trans: np.ndarray
     document: np.ndarray  # intercept, and factors of document_features()
 
     def word_score(self, w: str) -> float:
-        return float(self.weights[features(w)].sum() + self.bias) if w else self.bias
+        if len(w) < GRAMS + 4:
+            return float(self.weights[features(w)].sum() + self.bias) if w else self.bias
+        return float(Features([w]).scores(self.weights)[0][0] + self.bias)
 
 
 class WordScores(dict):
@@ -151,7 +254,8 @@ def toxic_stems(texts: list[list[str]], labels: np.ndarray, rows: int = 3) -> se
 def fit(texts: list[str], labels: np.ndarray, rates: tuple[float, float] = (1.0, 1.0), epochs: int = 12, span: int = 64) -> Model | None:
     """The chain and the document function. ``rates``: how many documents a clean and a toxic row stand for."""
     forms: dict[bytes, str] = {}  # a form is one object, however many tokens have it
-    words = [[forms[w] if w in forms else forms.setdefault(w, form(w)) for w in t.encode().split()] for t in texts]
+    pieces = Pieces()
+    words = [[forms[w] if w in forms else forms.setdefault(w, form(w)) for w in pieces.tokens(t)] for t in texts]
     del forms
     marked = toxic_stems(words, labels)
     if not marked:
@@ -159,36 +263,33 @@ def fit(texts: list[str], labels: np.ndarray, rates: tuple[float, float] = (1.0,
     bad = {w: any(s in marked for s in stems(w)) for ws, y in zip(words, labels.tolist(), strict=True) if y for w in set(ws) if w}
     vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
     names = list(vocabulary)
-    feats = [features(w) if w else np.zeros(0, np.int64) for w in names]
-    size = np.fromiter(map(len, feats), np.int64, len(feats))
-    flat, owner = np.concatenate(feats), np.repeat(np.arange(len(feats)), size)
-    # runs of tokens around toxic ones and from clean documents; whole documents would mostly repeat the same
+    feats = Features(names)
+    # runs of tokens around toxic ones, and all of clean documents
     ids, gold, cuts = [], [], []
-    rng = np.random.default_rng(7)
     for ws, y in zip(words, labels.tolist(), strict=True):
         g = np.array([y and bad.get(w, False) for w in ws], bool)
-        starts = sorted({int(k) // span * span for k in np.flatnonzero(g)})[:8] or ([] if y else sorted(rng.permutation(np.arange(0, len(ws), span))[:16].tolist()))
-        for s in starts:
-            ids.append(np.array([vocabulary[w] for w in ws[s : s + span]]))
+        for s in sorted({int(k) // span * span for k in np.flatnonzero(g)}) if y else range(0, len(ws), span):
+            ids.append(np.array([vocabulary[w] for w in ws[s : s + span]], np.int32))
             gold.append(g[s : s + span])
             cuts.append(len(ids[-1]))
     ids, gold, cuts = np.concatenate(ids), np.concatenate(gold).astype(float), np.array(cuts)
     first = np.zeros(len(ids), bool)
     first[np.cumsum(cuts) - cuts] = True
-    model = Model(np.zeros(1 << FEATURE_BITS), -2.0, np.zeros((2, 2)), np.zeros(1 + DOCUMENT_FEATURES))
-    used = np.unique(flat)
-    squares, s_bias, s_trans = np.full(1 << FEATURE_BITS, 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    model = Model(np.zeros(NONE + 1), -2.0, np.zeros((2, 2)), np.zeros(1 + DOCUMENT_FEATURES))
+    squares, s_bias, s_trans = np.full(NONE + 1, 1e-8), 1e-8, np.full((2, 2), 1e-8)
     goal = np.zeros((2, 2))
     a, b = gold[:-1][~first[1:]].astype(int), gold[1:][~first[1:]].astype(int)
     np.add.at(goal, (a, b), 1)
     for _ in range(epochs):
-        by_word = np.bincount(owner, weights=model.weights[flat], minlength=len(names)) + model.bias
-        scores = by_word[ids]
+        by_word, best = feats.scores(model.weights)
+        flat, owner = feats.used(best)
+        scores = by_word[ids] + model.bias
         p = marginals(scores, cuts, model.trans)
         g_word = np.bincount(ids, weights=gold - p, minlength=len(names))
-        g = np.bincount(flat, weights=g_word[owner], minlength=1 << FEATURE_BITS)[used] - 0.05 * model.weights[used]
-        squares[used] += g * g
-        model.weights[used] += 0.5 * g / np.sqrt(squares[used])
+        g = np.bincount(flat, weights=g_word[owner], minlength=NONE + 1) - 0.05 * model.weights
+        g[NONE] = 0
+        squares += g * g
+        model.weights += 0.5 * g / np.sqrt(squares)
         s_bias += (gb := float((gold - p).sum())) ** 2
         model.bias += 0.3 * gb / np.sqrt(s_bias)
         # expected transitions: the pair's weight given both neighbours' marginals, from one more pass
@@ -198,7 +299,7 @@ def fit(texts: list[str], labels: np.ndarray, rates: tuple[float, float] = (1.0,
         model.trans = model.trans + 0.2 * gt / np.sqrt(s_trans)
     # the document function, by Newton steps on the weighted logistic loss
     known = WordScores(model)
-    x = document_features([t.encode().split() for t in texts], known, model)[0]
+    x = document_features([pieces.tokens(t) for t in texts], known, model)[0]
     x = np.column_stack([np.ones(len(x)), x])
     w = np.where(labels == 1, rates[1], rates[0]) / max(rates)
     beta = np.zeros(1 + DOCUMENT_FEATURES)
@@ -282,17 +383,17 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> Data
 
     def score(batches):
         own = sent.value
-        known = WordScores(own) if own else None
+        known, pieces = WordScores(own) if own else None, Pieces()
         token = re.compile(r"[^\x20\x09-\x0D]+").finditer
         for b in slices(batches, 1024):
             texts = [t or "" for t in b["text"].to_pylist()]
             s, spans = np.zeros(len(texts)), [""] * len(texts)
             if own:
-                x, p, sizes = document_features([t.encode().split() for t in texts], known, own)
+                x, p, sizes = document_features([pieces.tokens(t) for t in texts], known, own)
                 s = 1 / (1 + np.exp(-np.clip(own.document[0] + x @ own.document[1:], -700, 700)))
                 start = np.cumsum(sizes) - sizes
                 for i in np.flatnonzero(x[:, 0] >= 0.5).tolist():
-                    at = [m.span() for m in token(texts[i])]
+                    at = [(m.start() + a, m.start() + b) for m in token(texts[i]) for a, b in cuts_of(m.group())]
                     spans[i] = ",".join("%d:%d" % at[k] for k in np.flatnonzero(p[start[i] : start[i] + sizes[i]] >= 0.5).tolist())
             yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(spans)], [*b.schema.names, "score", "predicted", "toxic_spans"])
 
