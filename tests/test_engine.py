@@ -374,3 +374,20 @@ def test_plans_reach_the_scan(spark):
 
     text = catalogue.queries()["bench_scan_selective"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "l_comment" not in text and "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double>" in text
+
+
+def test_whole_tables_are_sorted_and_joined(spark):
+    from veltra import catalogue
+
+    sf, run = "/root/testdata/sf0.001", catalogue.queries()
+    rows = {n: [tuple(r) for r in run[f"{n}_all"](spark, sf).collect()] for n in ("order_name", "order_position", "order_nulls_first", "order_nulls_last", "order_multi", "join_self")}
+    buys = catalogue.engine(spark, sf, {"buys"}).frame("SELECT oid, cust, ncust, price, status, prio FROM buys").collect()
+    assert rows["order_name"] == sorted(((r.oid, r.price) for r in buys), key=lambda x: (-x[1], x[0]))
+    assert rows["order_position"] == sorted(((r.status, r.oid) for r in buys), key=lambda x: -x[1])
+    nulls = sorted((None, r.oid) for r in buys if r.ncust is None)
+    some = [(r.ncust, r.oid) for r in buys if r.ncust is not None]
+    assert nulls and some
+    assert rows["order_nulls_first"] == nulls + sorted(some)
+    assert rows["order_nulls_last"] == sorted(some, key=lambda x: (-x[0], x[1])) + nulls
+    assert [r[0] for r in rows["order_multi"]] == sorted(r.prio for r in buys) and len(set(rows["order_multi"])) == len(buys)
+    assert sorted(rows["join_self"]) == sorted((a.oid, z.oid) for a in buys for z in buys if a.cust == z.cust)

@@ -125,6 +125,12 @@ QUERIES: dict[str, str] = {
     "order_nulls_first": "SELECT ncust, oid FROM buys ORDER BY ncust NULLS FIRST, oid LIMIT 40",
     "order_nulls_last": "SELECT ncust, oid FROM buys ORDER BY ncust DESC NULLS LAST, oid LIMIT 40",
     "order_multi": "SELECT prio, status, oid FROM buys ORDER BY prio, status DESC, oid LIMIT 60",
+    # whole tables in order
+    "order_name_all": "SELECT oid, price FROM buys ORDER BY price DESC, oid",
+    "order_position_all": "SELECT status, oid FROM buys ORDER BY 2 DESC",
+    "order_nulls_first_all": "SELECT ncust, oid FROM buys ORDER BY ncust NULLS FIRST, oid",
+    "order_nulls_last_all": "SELECT ncust, oid FROM buys ORDER BY ncust DESC NULLS LAST, oid",
+    "order_multi_all": "SELECT prio, status, oid FROM buys ORDER BY prio, status DESC, oid",
     "limit_plain": "SELECT COUNT(*) AS n FROM buys LIMIT 5",
     "limit_zero": "SELECT oid FROM buys LIMIT 0",
     # joins
@@ -135,6 +141,7 @@ QUERIES: dict[str, str] = {
     "join_string_key": "SELECT COUNT(*) AS n FROM people AS p INNER JOIN people AS z ON p.seg = z.nseg AND p.nation = z.nation",
     "join_bool_key": "SELECT COUNT(*) AS n, ISUM(a.line) AS lines FROM items AS a INNER JOIN items AS z ON a.id = z.id AND a.r = z.b",
     "join_self": "SELECT a.pid AS one, z.pid AS two FROM people AS a INNER JOIN people AS z ON a.nation = z.nation WHERE a.pid < 40 AND z.pid < 40",
+    "join_self_all": "SELECT a.oid AS one, z.oid AS two FROM buys AS a INNER JOIN buys AS z ON a.cust = z.cust",
     "join_star": "SELECT * FROM people AS p INNER JOIN lands AS l ON p.nation = l.land",
     "join_alias_star": "SELECT l.*, p.pid FROM people AS p INNER JOIN lands AS l ON p.nation = l.land",
     "join_filter_residual": "SELECT a.id, a.line AS x, z.line AS y FROM items AS a INNER JOIN items AS z ON a.id = z.id WHERE a.line < z.line AND a.q > 25e0",
