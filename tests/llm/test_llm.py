@@ -3,6 +3,7 @@ import io
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -29,7 +30,6 @@ def words(rng, n, vocabulary=400):
 @pytest.fixture(scope="module")
 def ids_of():
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -50,7 +50,8 @@ def test_pieces_are_the_librarys(ids_of):
     rng = random.Random(1)
     known = common.TokenIds(TOKENIZER, most=200)
     alphabet = list(" \n\t.,!abzéñß's'll012-_#$\x1c\xa0　漢\U0001f600ʼ\r\x85²ªk̈") + ["<|endoftext|>", "don't", " We'll", "  "]
-    for _ in range(3000):
+    alphabet += [" word", "Été", " naïve", "***", "(", ")", "abcж", "e\u0301", "A"]
+    for _ in range(6000):
         x = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
         assert np.frombuffer(known.of([x])[0], "<u4").tolist() == ids_of(x), repr(x)
 
@@ -155,8 +156,13 @@ def family(rng, size, n=120, edits=6):
 
 
 def brute_components(texts, weights="binary", ids=None):
+    """Components by plain Counters of word tuples, without the operator's functions."""
     ids = list(range(len(texts))) if ids is None else ids
-    sets = [neardup.shingles(common.word_hashes().of((t or "").encode().split()), 5, weights) for t in texts]
+    sets = []
+    for t in texts:
+        ws = (t or "").encode().split()
+        c = Counter(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else Counter()
+        sets.append(c if weights == "count" else Counter(set(c)))
     parent = list(range(len(texts)))
 
     def root(x):
@@ -167,7 +173,7 @@ def brute_components(texts, weights="binary", ids=None):
     for i in range(len(texts)):
         for j in range(i):
             same = (texts[i] or "") == (texts[j] or "") or ids[i] == ids[j]
-            if same or len(sets[i][0]) and len(sets[j][0]) and neardup.jaccard(sets[i], sets[j]) >= 0.8 - 1e-12:
+            if same or sets[i] and sets[j] and 10 * (sets[i] & sets[j]).total() >= 8 * (sets[i] | sets[j]).total():
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
     groups = {}
@@ -176,17 +182,28 @@ def brute_components(texts, weights="binary", ids=None):
     return {ids[i]: min(groups[root(i)]) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize(("weights", "small"), [("binary", 12), ("count", 3)])
-def test_near_duplicates_match_brute_force(spark, weights, small):
+@pytest.mark.parametrize(("weights", "block"), [("binary", 1024), ("count", 8)])
+def test_near_duplicates_match_brute_force(spark, weights, block):
     rng = random.Random(6)
-    texts = family(rng, 60) + family(rng, 5) + family(rng, 25, 40, 3) + [words(rng, 80) for _ in range(20)] + ["too short", "too short", "", None, words(rng, 9) * 3]
+    texts = family(rng, 60) + family(rng, 5) + family(rng, 25, 40, 3) + family(rng, 40, 300, 25) + [words(rng, 80) for _ in range(20)] + ["too short", "too short", "", None, words(rng, 9) * 3, words(rng, 40_000)]
     rng.shuffle(texts)
-    got = neardup.near_duplicates(documents(spark, texts), weights=weights, small=small).collect()
+    got = neardup.near_duplicates(documents(spark, texts), weights=weights, block=block).collect()
     want = brute_components(texts, weights)
     assert {r["doc_id"]: r["component_id"] for r in got} == want
     assert all(r["kept"] == (r["doc_id"] == want[r["doc_id"]]) for r in got) and len(got) == len(texts)
 
 
+def test_word_hashes():
+    rng = random.Random(19)
+    words_ = [bytes(rng.choice(b"ab\xc3\xa9") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    raw = b"".join(w + rng.choice([b" ", b"\n", b" \t", b"\x0b\r "]) for w in words_)
+    by = {}
+    for step in (64, 1 << 20):
+        got = common.word_hashes(b" " + raw, step).tolist()
+        assert len(got) == len(words_) and all(by.setdefault(w, h) == h for w, h in zip(words_, got, strict=True))
+    assert len(set(by.values())) == len(by) and not len(common.word_hashes(b"")) and not len(common.word_hashes(b" \n "))
+
+
 def test_near_duplicates_odd(spark, odd):
     got = neardup.near_duplicates(odd).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 0), (1, 1), (2, 1), (3, 3), (4, 4), (4, 4), (5, 5), (6, 5), (8, 8), (9, 8)]
@@ -451,12 +468,15 @@ def test_token_file_round_trip():
 
 
 def test_token_tables(spark, odd, ids_of):
-    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokenfiles.read_token_files(tokenfiles.write_token_files(odd, TOKENIZER, file_ids=2000)).collect())
+    odd = odd.unionByName(documents(spark, ["a <|endoftext|> b", "x" * 5000], ids=[20, 21]), allowMissingColumns=True)
+    segments = tokenfiles.write_token_files(odd, TOKENIZER, segment=500, file_ids=40_000)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokenfiles.read_token_files(segments).collect())
+    assert segments.count() > segments.select("path").distinct().count() > 1
     at = 0
     for start, _, n, _ in got:
         assert start == at
         at += n
-    assert [i for _, i, *_ in got] == [None, None, 1, 2, 3, 4, 4, 5, 6, 8, 9]
+    assert [i for _, i, *_ in got] == [None, None, 1, 2, 3, 4, 4, 5, 6, 8, 9, 20, 21]
     want = sorted(zlib.crc32(np.array([*ids_of(r["text"]), 0], "<u4").tobytes()) for r in odd.collect())
     assert sorted(c for *_, c in got) == want
     assert tokenfiles.read_token_files(tokenfiles.write_token_files(odd.limit(0), TOKENIZER)).count() == 0

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +55,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def removed(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a staged table that is no longer needed."""
+    """Deletes the files of a staged table when its last reader is done. Tables that stay go with ``spark.checkpoint.dir``."""
     jvm = spark.sparkContext._jvm
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
         p = jvm.org.apache.hadoop.fs.Path(f)
@@ -85,23 +88,49 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered; it forgets all beyond ``most`` words, so memory is bounded."""
+#: ASCII white space, as a table over bytes.
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_BASE = 0x9E3779B97F4A7C15
+_LETTER = mix(np.arange(256, dtype=np.uint64), 99)  # what a byte adds to its word's hash
+_powers: list[np.ndarray] = []
 
-    def __init__(self, most: int = 200_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _powers_of_base(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the hash base and of its inverse; the longest asked for are kept."""
+    if not _powers or len(_powers[0]) < n:
+        most = max(1 << 16, 1 << (n - 1).bit_length())
+        _powers[:] = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(most, base, np.uint64)
+            x[0] = 1
+            _powers.append(np.multiply.accumulate(x))
+    return _powers[0][:n], _powers[1][:n]
 
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(raw: bytes, step: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of all words of a text, in order, without an object for each word.
+
+    A word's hash is a polynomial of its bytes, taken as a difference of running sums, then mixed. The text is
+    worked through in steps that end between words, so memory does not follow the longest text.
+    """
+    found = []
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + step)
+        if end < len(raw):  # move to the end of the word
+            tail = re.compile(rb"[\x20\x09-\x0D]").search(raw, end)
+            end = tail.start() if tail else len(raw)
+        u = np.frombuffer(raw, np.uint8, end - at, at)
+        edge = np.flatnonzero(np.diff(_BLANK[u], prepend=True, append=True))
+        s, e = edge[::2], edge[1::2]
+        up, down = _powers_of_base(len(u))
+        sums = np.zeros(len(u) + 1, np.uint64)
+        np.cumsum(_LETTER[u] * up, out=sums[1:])
+        found.append(mix((sums[e] - sums[s]) * down[s]))
+        at = end
+    if len(_powers) and len(_powers[0]) > 4 * step:  # a word of many megabytes
+        _powers[:] = []
+    return found[0] if len(found) == 1 else np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -115,11 +144,21 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out, n)
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches cut to a few rows each, so that long texts do not add up."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most so many rows and bytes of text each (a longer text comes alone)."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        size = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        end = np.cumsum(size)
+        at = 0
+        while at < b.num_rows:
+            before = int(end[at - 1]) if at else 0
+            n = int(np.searchsorted(end, before + most_bytes, "right")) - at
+            n = max(1, min(n, rows))
+            yield b.slice(at, n)
+            at += n
 
 
 # ---------------------------------------------------------------- token ids
@@ -132,54 +171,80 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af"
 
 
+#: ASCII characters that are no letters; after a word of plain letters a pre-token ends before them.
+_AFTER = r"\x00-\x40\x5b-\x60\x7b-\x7f"
+
+
 class TokenIds(dict):
     """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit bytes.
 
-    A pre-token of the byte-level kind never crosses from a non-space to a space, from a letter to a full stop
-    or comma, or from a line end to a letter, so a text is cut there, each distinct piece is encoded once and
-    remembered, and the ids of the pieces in order are those of the text. A word of plain letters is one
-    pre-token and goes to the library's model without another search for pre-tokens. ``most`` bounds the
-    remembered pieces; beyond it all are forgotten.
+    A pre-token of the byte-level kind never crosses from a non-space to a space, from a plain letter to an ASCII
+    character that is none, or from a line end to a letter, so a text is cut there, each distinct piece is encoded
+    once and remembered, and the ids of the pieces in order are those of the text. A word of plain letters is one
+    pre-token and goes to the library's model without another search for pre-tokens. A text that holds an added
+    token of the tokenizer's is encoded by the library as a whole. Two generations of at most ``most`` pieces are
+    remembered: when the younger is full, the older is forgotten; long pieces are not remembered.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    LONG = 40
+
+    def __init__(self, path: str, most: int = 300_000):
         super().__init__()
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.cut = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
+        self.cut = re.compile(f" ?[{_LETTERS}]+(?=[{_AFTER}]|\\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
+        self.plain = re.compile(" ?[A-Za-z]+").fullmatch
         self.word = re.compile(f" ?[{_LETTERS}]+").fullmatch
-        self.tail = re.compile(f"[^{_SPACE}]*[{_LETTERS}][.,]").fullmatch
         self.line = re.compile(f"\n[^{_SPACE}]+").fullmatch
-        self.most = most
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.most, self.older = most, {}
         # byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = [b for b in range(256) if b not in plain]
-        self.alphabet = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+        bytes_as = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.space = bytes_as[32]
+        letters = [c for c in map(chr, range(0x80, 0x2B0)) if self.word(c)]
+        self.alphabet = str.maketrans({c: "".join(bytes_as[b] for b in c.encode()) for c in letters} | {" ": self.space})
 
     def __missing__(self, piece: str) -> bytes:
-        if self.word(piece):
-            ids = [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
-            value = np.array(ids, "<u4").tobytes()
-        elif self.tail(piece[1:] if piece[0] == " " else piece):
-            value = self[piece[:-1]] + self[piece[-1]]
-        elif self.line(piece):
-            value = self["\n"] + self[piece[1:]] if len(piece) > 1 else b""
-        else:
-            value = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = value
+        value = self.older.get(piece)
+        if value is None:
+            if self.plain(piece):
+                value = self._of_word(self.space + piece[1:] if piece[0] == " " else piece)
+            elif self.word(piece):
+                value = self._of_word(piece.translate(self.alphabet))
+            elif self.line(piece):
+                value = self["\n"] + self._joined(piece[1:])
+            else:
+                value = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(piece) <= self.LONG:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = value
         return value
 
+    def _of_word(self, word: str) -> bytes:
+        return array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
+
+    def _joined(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.cut(text)))
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def of(self, texts: list[str | None]) -> list[bytes]:
-        return [b"".join(map(self.__getitem__, self.cut(t))) if t else b"" for t in texts]
+        return [(self._whole(t) if self.added(t) else self._joined(t)) if t else b"" for t in texts]
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
 
 
 _own: dict = {}
@@ -192,11 +257,6 @@ def token_ids(path: str) -> TokenIds:
     return _own["ids", path]
 
 
-def word_hashes() -> WordHashes:
-    """Word hashes for a task: quick to learn again, so nothing is kept in idle workers."""
-    return WordHashes()
-
-
 def release() -> None:
     """Gives freed memory of this Python process back to the system."""
     import ctypes
@@ -209,12 +269,22 @@ def release() -> None:
         trim(0)
 
 
-def tidy(batches_of):
-    """A task function that gives freed memory back to the system at its end: workers wait idle beside later stages."""
+def tidy(batches_of, keep_ids: bool = False):
+    """A task function that gives freed memory back to the system at its end: workers wait idle beside later stages.
+
+    Pieces that a worker has learned for token ids stay only between tasks that ask for it.
+    """
     import functools
 
+    def forget() -> None:
+        for x in _own.values():
+            x.forget()
+
     @functools.wraps(batches_of)
     def run(batches):
+        if not keep_ids and _own:
+            forget()
+            release()
         try:
             yield from batches_of(batches)
         finally:
@@ -232,7 +302,7 @@ def default_tokenizer() -> str:
 # ---------------------------------------------------------------- connected components
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Smallest id reachable from each id of ``links`` (a, b): rows (id, component) for ids with a link.
 
     Alternates large-star and small-star steps, each a pre-aggregated minimum and a join, over tables in the
@@ -242,7 +312,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = staged(e, "links")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -256,6 +326,4 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))

@@ -7,11 +7,12 @@ keeps the darts up to a rank at which about ``k ln k`` hit, each dart belongs to
 earliest of a coordinate is its value. Two documents agree in a coordinate with a chance of their weighted
 Jaccard similarity. Bands of coordinates become join keys; found pairs are compared exactly.
 
-Equal texts are one class from the start. In a large bucket the most central document (the one that meets most
-others) is compared with all others; that connects families of copies. Small buckets then compare their pairs of
-different components. What still lies apart in large buckets meets in blocks of bounded size, where signatures
-rule out most pairs, the others are compared exactly, each pair in the first bucket that it shares, and only links
-that join components leave the task: no bucket is cut short, and none is expanded into pairs.
+Equal texts are one class from the start. Every bucket of a band is treated alike, whatever its size: its most central
+document (the one that meets most others) is compared with all others, which connects families of copies; what still
+lies in several components then meets in blocks of bounded size. There an upper bound of the intersection, from
+histograms of both shingle sets, rules out most pairs, the others are compared exactly, each pair in the first bucket
+that it shares, and only links that join components leave the task. No bucket is cut short, none is expanded into rows
+of pairs, and the only pairs that can be missed are those that share no band.
 
 Edge cases: a null text counts as empty; texts without words are near-duplicates of equal texts only; rows with
 equal ids are versions of one document; a null id's row stays alone with a null component and is kept; an empty
@@ -26,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veltra.llm.common import components, mix, shingle_hashes, slices, staged, tidy, word_hashes
+from veltra.llm.common import components, mix, removed, shingle_hashes, slices, staged, tidy, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6  # a pair at 0.8 shares no band with a chance of 6e-5
-SMALL = 12  # buckets of up to so many documents compare all their pairs
+CELLS = 256  # of the histograms that bound intersections
+SALT = 512  # rows of a bucket under one key of a join
 
 
 # ---------------------------------------------------------------- signatures
@@ -46,48 +48,57 @@ def _uniform(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def dart_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndarray:
+def _darts(seed: np.ndarray, low: np.ndarray, width: np.ndarray, weight: np.ndarray, reach: np.ndarray, coordinate: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coordinates, ranks and values of the darts that hit, up to each region's ``reach`` in rank.
+
+    ``coordinate``: where the coordinates of a region's set begin.
+    """
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    at, rank, step = np.arange(len(seed)), np.zeros(len(seed)), 0
+    while len(at):
+        h = mix(seed[at] + np.uint64(step), 5)
+        rank = rank - np.log(_uniform(h)) / width[at]
+        near = rank <= reach[at]
+        at, rank, h = at[near], rank[near], h[near]
+        dart = mix(h, 7)
+        hit = low[at] + width[at] * _uniform(mix(dart, 11)) < weight[at]
+        found.append((coordinate[at[hit]] + (dart[hit] % np.uint64(k)).astype(np.int64), rank[hit], dart[hit]))
+        step += 1
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint64))
+
+
+def dart_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, k: int, step: int = 1 << 16) -> np.ndarray:
     """Signatures (n, k) of n weighted sets, given as all their elements with weights and owners (0 to n - 1).
 
-    Sets without elements keep zeros.
+    Sets without elements keep zeros. Elements are worked through in steps, so memory follows the signatures only.
     """
-    out = np.zeros((n, k), np.uint64)
     norm = np.bincount(owner, weights=weights, minlength=n)
-    # cells of the weight axis: [0, 1), [1, 2), [2, 4), ... as far as the weight reaches
-    level = np.where(weights > 1, np.ceil(np.log2(np.maximum(weights, 1))).astype(np.int64), 0)
-    rep = np.repeat(np.arange(len(elements)), level + 1)
-    cell = np.arange(len(rep)) - np.repeat(np.cumsum(level + 1) - level - 1, level + 1)
-    low = np.where(cell == 0, 0.0, 2.0 ** (cell - 1))
-    width = np.where(cell == 0, 1.0, low)
-    seed = mix(elements[rep] ^ (cell.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), 3)
-    whose, most = owner[rep], weights[rep]
     reach = k * (np.log(k) + 3.0) / np.maximum(norm, 1e-300)
+    best, value = np.full(n * k, np.inf), np.zeros(n * k, np.uint64)
     todo = norm > 0
     while todo.any():
-        at = np.flatnonzero(todo[whose])
-        rank, step = np.zeros(len(at)), 0
-        keys, ranks, ids = [], [], []
-        while len(at):
-            h = mix(seed[at] + np.uint64(step), 5)
-            rank = rank - np.log(_uniform(h)) / width[at]
-            near = rank <= reach[whose[at]]
-            at, rank, h = at[near], rank[near], h[near]
-            dart = mix(h, 7)
-            hit = low[at] + width[at] * _uniform(mix(dart, 11)) < most[at]
-            keys.append(whose[at[hit]] * k + (dart[hit] % np.uint64(k)).astype(np.int64))
-            ranks.append(rank[hit])
-            ids.append(dart[hit])
-            step += 1
-        key, r, dart = np.concatenate(keys), np.concatenate(ranks), np.concatenate(ids)
-        late = np.argsort(-r, kind="stable")
-        got = np.zeros(n * k, np.uint64)
-        got[key[late]] = dart[late] | np.uint64(1)  # of equal keys the last stays: the earliest dart
-        got = got.reshape(n, k)
-        full = todo & (got != 0).all(1)
-        out[full] = got[full]
-        todo &= ~full
-        reach = np.where(todo, reach * 2, reach)  # an empty coordinate: look further up
-    return out
+        for i in range(0, len(elements), step):
+            on = todo[owner[i : i + step]]
+            if not on.any():
+                continue
+            e, w, o = (x[i : i + step][on] for x in (elements, weights, owner))
+            # cells of the weight axis: [0, 1), [1, 2), [2, 4), ... as far as the weight reaches
+            cells = np.where(w > 1, np.ceil(np.log2(np.maximum(w, 1))).astype(np.int64), 0) + 1
+            rep = np.repeat(np.arange(len(e)), cells)
+            cell = np.arange(len(rep)) - np.repeat(np.cumsum(cells) - cells, cells)
+            low = np.where(cell == 0, 0.0, 2.0 ** (cell - 1))
+            width = np.where(cell == 0, 1.0, low)
+            seed = mix(e[rep] ^ (cell.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), 3)
+            key, rank, dart = _darts(seed, low, width, w[rep], reach[o[rep]], o[rep] * k, k)
+            # the earliest dart of each coordinate; of equal keys the last write stays
+            late = np.argsort(-rank, kind="stable")
+            key, rank, dart = key[late], rank[late], dart[late]
+            new = rank < best[key]
+            best[key[new]], value[key[new]] = rank[new], dart[new] | np.uint64(1)
+        open_ = todo & np.isinf(best.reshape(n, k)).any(1)  # an empty coordinate: look further up
+        reach = np.where(open_, reach * 2, reach)
+        todo = open_
+    return value.reshape(n, k)
 
 
 def bands(signatures: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -103,9 +114,8 @@ def signed(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, words: int =
     """doc_id, key (of the whole text), n (the set's total weight) and the band keys of every document."""
 
     def sign(batches):
-        known = word_hashes()
         for b in slices(batches):
-            sets = [shingles(known.of(t.encode().split()), words, weights) if t else (np.zeros(0, np.uint64), np.zeros(0)) for t in b["text"].to_pylist()]
+            sets = [shingles(word_hashes((t or "").encode()), words, weights) for t in b["text"].to_pylist()]
             size = np.array([len(e) for e, _ in sets])
             owner = np.repeat(np.arange(len(sets)), size)
             elements, w = (np.concatenate([x[i] for x in sets]) for i in (0, 1))
@@ -137,8 +147,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int,
     both = pairs.select("a", "b").hint("merge").join(t("b").hint("merge"), "b").hint("merge").join(t("a").hint("merge"), "a").select("a", "text_a", "b", "text_b")
 
     def compare(batches):
-        known = word_hashes()
-        of = lambda s: shingles(known.of((s or "").encode().split()), words, weights)
+        of = lambda s: shingles(word_hashes((s or "").encode()), words, weights)
         last = left = None
         for batch in slices(batches):
             ok = []
@@ -152,58 +161,55 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int,
     return both.mapInArrow(tidy(compare), "a long, b long")
 
 
-def _compared_in_blocks(rest: DataFrame, texts: DataFrame, similarity: float, words: int, weights: str, n_bands: int, n_rows: int, block: int = 1024) -> DataFrame:
-    """Links (a, b) between different components c within the buckets of ``rest`` (band, rep, c)."""
-    blocks = rest.groupBy("band").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-    r = rest.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    r = r.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("rep").alias("doc_id"), "c")
-    met = r.hint("merge").join(texts.hint("merge"), "doc_id").select("band", "x", "y", "own", "doc_id", "c", "text")
-    k = n_bands * n_rows
-    least = similarity - 4.0 * float(np.sqrt(similarity * (1 - similarity) / k))  # a pair at the limit falls below with a chance of 3e-5
+def by_bucket(rows: DataFrame, info: DataFrame) -> DataFrame:
+    """``rows`` (band, size, rep, ...) with the columns of their bucket's row in ``info`` (band, size, ...).
+
+    A bucket's rows are dealt over as many keys as its size asks for, and its row of ``info`` goes to each of them.
+    """
+    salts = F.ceil(F.col("size") / SALT).cast("long")
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), salts))
+    right = info.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("size")
+    return left.hint("merge").join(right.hint("merge"), ["band", "salt"]).drop("salt")
 
-    def compare(batches):
-        known, seen = word_hashes(), {}
-
-        def profiles(ids, found):
-            new = [i for i in range(len(ids)) if (ids[i], found[i]) not in seen]
-            for at in range(0, len(new), 256):
-                part = new[at : at + 256]
-                sets = [shingles(known.of((found[i] or "").encode().split()), words, weights) for i in part]
-                sig = dart_minhash(np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets]), np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets]), len(sets), k)
-                keys = bands(sig, n_bands, n_rows)
-                for n, i in enumerate(part):
-                    seen[ids[i], found[i]] = (sets[n], sig[n], keys[n])
-            return [seen[ids[i], found[i]] for i in range(len(ids))]
 
+def _compared_in_blocks(rest: DataFrame, texts: DataFrame, similarity: float, words: int, weights: str, block: int = 1024, block_words: int = 1 << 20) -> DataFrame:
+    """Links (a, b) between different components c within the buckets of ``rest`` (band, size, rep, n, c, bands)."""
+    many = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / block_words)).cast("long")
+    blocks = rest.groupBy("band").agg(F.first("size").alias("size"), F.greatest(many, F.lit(1).cast("long")).alias("blocks"))
+    r = by_bucket(rest, blocks).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    r = r.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("rep").alias("doc_id"), "c", "bands")
+    met = r.hint("merge").join(texts.hint("merge"), "doc_id").select("band", "x", "y", "own", "doc_id", "c", "bands", "text")
+
+    def compare(batches):
         def solve(group):
             band, x, y = group[0][:3]
             own, ids, c = (np.array([g[n] for g in group]) for n in (3, 4, 5))
-            p = profiles([g[4] for g in group], [g[6] for g in group])
-            if len(seen) > 4 * block:
-                seen.clear()
-            sig, keys = np.stack([q[1] for q in p]), np.stack([q[2] for q in p])
-            at = int(np.flatnonzero(keys[0] == band)[0])
+            keys, sets = np.stack([g[6] for g in group]), [g[7] for g in group]
+            at = int(np.nonzero(keys == band)[1][0])
+            total = np.array([w.sum() for _, w in sets])
+            hist = np.stack([np.bincount((e & np.uint64(CELLS - 1)).astype(np.int64), weights=w, minlength=CELLS) for e, w in sets]).astype(np.float32)
             a, b = [], []
             for i in range(len(ids)):
                 js = np.flatnonzero((c != c[i]) & ((own != own[i]) if x != y else (np.arange(len(ids)) > i)) & (own >= own[i]))
-                if not len(js):
-                    continue
-                js = js[(sig[js] == sig[i]).mean(1) >= least]
-                js = js[(keys[js, :at] != keys[i, :at]).all(1)] if at else js  # an earlier common bucket compares them
+                if len(js) and at:
+                    js = js[(keys[js, :at] != keys[i, :at]).all(1)]  # an earlier common bucket compares them
+                if len(js):  # at most what the cells have in common can be shared
+                    most = np.minimum(hist[js], hist[i]).sum(1)
+                    js = js[most >= (similarity - 1e-4) * (total[js] + total[i] - most)]
                 for j in js.tolist():
-                    if c[j] != c[i] and jaccard(p[i][0], p[j][0]) >= similarity - 1e-12:
+                    if c[j] != c[i] and jaccard(sets[i], sets[j]) >= similarity - 1e-12:
                         a.append(min(ids[i], ids[j]))
                         b.append(max(ids[i], ids[j]))
                         c[c == c[j]] = c[i]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch[n].to_pylist() for n in ("band", "x", "y", "own", "doc_id", "c", "text")), strict=True):
-                if held and held[0][:3] != row[:3]:
+        for batch in slices(batches):
+            for *row, bands_, text in zip(*(batch[n].to_pylist() for n in ("band", "x", "y", "own", "doc_id", "c", "bands", "text")), strict=True):
+                if held and held[0][:3] != tuple(row[:3]):
                     yield solve(held)
                     held = []
-                held.append(row)
+                held.append((*row, np.array(bands_, np.int64), shingles(word_hashes((text or "").encode()), words, weights)))
         if held:
             yield solve(held)
 
@@ -211,7 +217,7 @@ def _compared_in_blocks(rest: DataFrame, texts: DataFrame, similarity: float, wo
     return met.repartition(n, "band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(tidy(compare), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, weights: str = "binary", n_bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, weights: str = "binary", n_bands: int = BANDS, rows: int = ROWS, block: int = 1024) -> DataFrame:
     """doc_id, component_id (smallest doc_id of the group) and kept (whether the row's document is that one)."""
     spark = docs.sparkSession
     base = staged(signed(docs, n_bands, rows, words, weights), "signed")
@@ -219,65 +225,41 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     classes = staged(classes, "classes")
     in_band = classes.select("rep", "n", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    member = staged(in_band.join(shared, "band"), "in_band")
-    central = member.groupBy("rep").agg(F.sum("size").alias("degree"))  # documents that a document meets, with repeats
-    member = staged(member.join(central, "rep").select("band", "size", "rep", "n", "degree"), "member")
+    met = staged(in_band.join(shared, "band"), "in_band")
+    central = met.groupBy("rep").agg(F.sum("size").alias("degree"))  # documents that a document meets, with repeats
+    member = staged(met.join(central, "rep").select("band", "size", "rep", "n", "degree"), "member")
+    removed(spark, met)
     # texts move once, those that have a candidate; by merge at every size, so that small inputs show what large ones do
     ids = member.select(F.col("rep").alias("doc_id")).distinct()
     texts = staged(docs.select(F.col("doc_id").cast("long"), "text").hint("merge").join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
 
-    close = (F.least("a_n", "b_n") >= F.lit(similarity - 1e-9) * F.greatest("a_n", "b_n")) & (F.col("a") != F.col("b"))
-    ordered = lambda p: p.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # the most central document of each bucket against the others
     rank = F.struct("degree", -F.col("rep"))
-    done = links = None  # pairs compared, and those found similar
-    comp = spark.createDataFrame([], "id long, component long")
-
-    def compared(pairs: DataFrame) -> None:
-        nonlocal done, links, comp
-        new = staged(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            return
-        done = new if done is None else done.unionByName(new)
-        found = staged(verified(new, texts, similarity, words, weights), "verified")
-        links = found if links is None else links.unionByName(found)
+    lead = staged(member.groupBy("band").agg(F.first("size").alias("size"), F.max_by(F.struct("rep", "n"), rank).alias("lead")), "leads")
+    others = by_bucket(member, lead).where(F.col("rep") != F.col("lead.rep"))
+    close = F.least("n", "lead.n") >= F.lit(similarity - 1e-9) * F.greatest("n", "lead.n")
+    pairs = staged(others.where(close).select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct(), "pairs")
+    links = staged(verified(pairs, texts, similarity, words, weights), "verified")
+    removed(spark, pairs)
+    comp = staged(components(links), "components")
+
+    # the others of each bucket that holds several components of them
+    labelled = staged(others.drop("lead", "degree").join(comp, F.col("rep") == F.col("id"), "left").select("band", "size", "rep", "n", F.coalesce("component", "rep").alias("c")), "labelled")
+    removed(spark, member)
+    split = labelled.groupBy("band").agg(F.first("size").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band", "size")
+    rest = by_bucket(labelled, staged(split, "split")).join(classes.select("rep", "bands"), "rep")
+    found = staged(_compared_in_blocks(staged(rest, "apart"), texts, similarity, words, weights, block), "verified")
+    if not found.isEmpty():
+        links = links.unionByName(found)
         comp = staged(components(links), "components")
-
-    def apart(m: DataFrame) -> DataFrame:
-        """Rows, with their component c, of buckets that hold several components."""
-        labelled = m.join(comp, m["rep"] == comp["id"], "left").select("band", "rep", "n", "degree", F.coalesce("component", "rep").alias("c"))
-        split = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by("c", rank).alias("main")).where("low <> high").select("band", "main")
-        return labelled.join(split, "band")
-
-    def star(m: DataFrame) -> DataFrame:
-        """The most central document of each bucket against those of other components."""
-        lead = m.groupBy("band").agg(F.max_by(F.struct("rep", "n", "c"), rank).alias("lead"))
-        both = m.join(lead, "band").where(F.col("c") != F.col("lead.c"))
-        return ordered(both.select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("a_n"), F.col("rep").alias("b"), F.col("n").alias("b_n")))
-
-    def across(m: DataFrame) -> DataFrame:
-        """All pairs of different components in a bucket."""
-        side = lambda c: m.select("band", F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), F.col("c").alias(f"{c}_c"))
-        return ordered(side("a").join(side("b"), "band").where("a < b and a_c <> b_c"))
-
-    large = member.where(F.col("size") > small)
-    any_large = not large.isEmpty()
-    if any_large:
-        compared(star(apart(large)))
-    compared(across(apart(member.where(F.col("size") <= small))))
-    if any_large:
-        rest = staged(apart(large).select("band", "rep", "c"), "apart")
-        if not rest.isEmpty():
-            found = staged(_compared_in_blocks(rest, texts, similarity, words, weights, n_bands, rows), "verified")
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                comp = staged(components(links), "components")
+    removed(spark, labelled)
+    removed(spark, texts)
 
     # equal ids or texts may still join classes: ids with several texts
     out = base.select("doc_id", "key").join(classes.select("key", "rep"), "key", "left")
     versions = out.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(classes.select(F.col("rep").alias("a")).distinct(), "a", "left_semi")
     if not versions.isEmpty():
-        versions = versions.select("a", "b")
-        comp = staged(components(versions if links is None else links.unionByName(versions)), "components")
+        comp = staged(components(links.unionByName(versions.select("a", "b"))), "components")
     out = out.join(comp, F.col("rep") == F.col("id"), "left")
     component = F.coalesce("component", "rep")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltra.llm.common import mix, shingle_hashes, slices, word_hashes
+from veltra.llm.common import mix, shingle_hashes, slices, tidy, word_hashes
 
 #: What the base rules count as symbols, and ASCII white space.
 SYMBOLS = b"#*$%&|<>"
@@ -64,19 +64,19 @@ def ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, smoothi
     rows = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("trusted", F.lit(True))), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
     def count(batches):
-        known, total = word_hashes(), np.zeros((2, n_buckets), np.int64)
+        total = np.zeros((2, n_buckets), np.int64)
         for b in slices(batches):
             held = [[], []]
             for t, y in zip(b["text"].to_pylist(), b["trusted"].to_pylist(), strict=True):
                 if t:
-                    held[y].append(buckets(known.of(t.encode().split()), n_buckets))
+                    held[y].append(buckets(word_hashes(t.encode()), n_buckets))
             for y in (0, 1):
                 if held[y]:
                     total[y] += np.bincount(np.concatenate(held[y]), minlength=n_buckets)
         used = np.flatnonzero(total.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["bucket", "other", "trusted"])
 
-    found = rows.mapInArrow(count, "bucket long, other long, trusted long").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("trusted").alias("trusted")).toArrow()  # a row for each bucket at most
+    found = rows.mapInArrow(tidy(count), "bucket long, other long, trusted long").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("trusted").alias("trusted")).toArrow()  # a row for each bucket at most
     trusted, raw = np.zeros(n_buckets), np.zeros(n_buckets)
     at = found["bucket"].to_numpy()
     trusted[at] = found["trusted"].to_numpy()
@@ -95,13 +95,13 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_b
     sent = docs.sparkSession.sparkContext.broadcast(ratios(docs, labels, n_buckets, most_trusted=most_trusted))
 
     def judge(batches):
-        known, ratio = word_hashes(), sent.value
+        ratio = sent.value
         for b in slices(batches):
             out = []
             for t in b["text"].to_pylist():
                 t = t or ""
                 raw = t.encode()
-                words = known.of(raw.split())
+                words = word_hashes(raw)
                 n = len(words)
                 chars = len(t) - (len(raw) - len(raw.translate(None, SPACE)))
                 repeats = repeat_words(words)
@@ -112,4 +112,4 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_b
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True))], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(judge), schema)

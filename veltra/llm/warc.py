@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltra.llm.common import file_system, shared_dir, slices, staged
+from veltra.llm.common import file_system, shared_dir, slices, staged, tidy
 
 GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -179,7 +179,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "bytes", "n_records"])
 
-    return staged(revisits(pages, least).mapInArrow(write, "path string, bytes long, n_records long"), "warcfiles")
+    return staged(revisits(pages, least).mapInArrow(tidy(write), "path string, bytes long, n_records long"), "warcfiles")
 
 
 def read_archives(files: DataFrame, split_bytes: int = 1 << 23) -> DataFrame:
@@ -206,4 +206,4 @@ def read_archives(files: DataFrame, split_bytes: int = 1 << 23) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return ranges.repartition(n, "path", "from").mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return ranges.repartition(n, "path", "from").mapInArrow(tidy(read), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
