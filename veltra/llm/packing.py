@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veltra.llm.common import slices, staged, token_ids
+from veltra.llm.common import slices, staged, tidy, token_ids
 
 Pattern = tuple[tuple[int, ...], int]  # lengths, descending, and the number of sequences filled so
 
@@ -216,7 +216,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, types, strict=True)), pa.array([part] * len(out[0]), pa.int32())], ["doc_id", "piece", "start", "length", "ids_crc32", "local", "part"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, local long, part int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(cut, keep_ids=True), "doc_id long, piece int, start long, length long, ids_crc32 long, local long, part int")
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nodes: int = 20_000) -> DataFrame:
@@ -259,5 +259,6 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 seq[idx], off[idx] = sequence[at] + d // k[at], offset[at] + d % k[at] * x
             yield pa.RecordBatch.from_arrays([b[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")] + [pa.array(seq), pa.array(off)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = rows.join(by_part.select("part", "length", "before"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "local", "before")
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # by merge at every size: the ranks are few for each part, but there are as many parts as the input has
+    ranked = rows.hint("merge").join(by_part.select("part", "length", "before").hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "local", "before")
+    return ranked.mapInArrow(tidy(place, keep_ids=True), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
