@@ -4,7 +4,8 @@ Format (all little-endian). A file starts with ``MAGIC``, the number of ids n (u
 0: unused), zlib-compressed behind their size (u32); canonical codes follow from the lengths. Then segments: five
 u32 (documents, ids, ids in a block, blocks, payload bytes), doc_ids (i64; ``NO_ID`` for null), ids in each
 document (u32), the first bit of each block (u32) and the payload, bits from the highest of each byte on. A block
-decodes without the others, so a reader can start anywhere, and many blocks decode side by side by table.
+decodes without the others, and many blocks decode side by side by table; the list of segments with their offsets
+lets many tasks read one file. Codes have up to 16 bits, or more where more ids are in use than these can tell apart.
 
 Files hold documents in ascending doc_id order, nulls first, and so does the sequence of files by first doc_id.
 Edge cases: a null or empty text has only the end id; documents with equal ids all stay, in the order of their
@@ -20,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veltra.llm.common import file_system, shared_dir, slices, staged, token_ids
+from veltra.llm.common import file_system, removed, shared_dir, slices, staged, tidy, token_ids
 
 MAGIC = b"VLTHUF1\n"
 NO_ID = -(2**63)
@@ -92,22 +94,29 @@ def decoding_table(lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarr
 
 
 def encoded(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int) -> tuple[np.ndarray, bytes]:
-    """The first bit of each block and the payload."""
+    """The first bit of each block and the payload. Codes of at most 32 bits gather in words of 64, highest bit first."""
+    if not len(ids):
+        return np.zeros(0, "<u4"), b""
     n = lengths[ids].astype(np.int64)
     end = np.cumsum(n)
     at = end - n
-    value = codes[ids].astype(np.int64) << (24 - n - (at & 7))
-    byte, size = at >> 3, int(end[-1] + 7 >> 3) + 3 if len(ids) else 3
-    out = np.zeros(size, np.int64)
-    for k, shift in enumerate((16, 8, 0)):
-        out += np.bincount(byte + k, weights=(value >> shift & 255).astype(np.float64), minlength=size).astype(np.int64)
-    return at[::block].astype("<u4"), out.astype(np.uint8).tobytes()
+    word = at >> 6
+    room = 64 - (at & 63) - n  # bits left in the word; below 0: the code goes on in the next
+    code = codes[ids].astype(np.uint64)
+    over = np.flatnonzero(room < 0)
+    here = code << np.maximum(room, 0).astype(np.uint64)
+    here[over] = code[over] >> (-room[over]).astype(np.uint64)
+    starts = np.flatnonzero(np.diff(word, prepend=-1))  # a code begins in every word
+    out = np.zeros(int(word[-1]) + 2, np.uint64)
+    out[: len(starts)] = np.bitwise_or.reduceat(here, starts)
+    out[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
+    return at[::block].astype("<u4"), out.astype(">u8").tobytes()[: int(end[-1] + 7) >> 3]
 
 
 def decoded(n: int, block: int, first: np.ndarray, payload: bytes, table: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
     """All ids of a segment: every block moves on by one id at a time, side by side."""
     ids, size = table
-    raw = np.frombuffer(payload + b"\0\0\0\0", np.uint8).astype(np.uint32)
+    raw = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.uint32)
     ahead = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
     at = first.astype(np.int64)
     most = (len(ahead) - 1) * 8
@@ -120,16 +129,27 @@ def decoded(n: int, block: int, first: np.ndarray, payload: bytes, table: tuple[
     return np.ascontiguousarray(out.T).reshape(-1)[:n] if len(first) else np.zeros(0, np.uint32)
 
 
+def code_limit(used: int) -> int:
+    """Bits that codes may have: 16, or two more than the ids in use ask for."""
+    return max(16, max(1, used - 1).bit_length() + 2)
+
+
 class FileWriter:
-    """Writes one file; memory holds one segment."""
+    """Writes one file; memory holds one segment. ``segments``: offset, ids before it, documents, ids, first and last doc_id of each."""
 
     def __init__(self, out, lengths: np.ndarray, codes: np.ndarray, block: int = 512, segment: int = 1 << 20):
         self.out, self.lengths, self.codes, self.block, self.segment = out, lengths, codes, block, segment
         packed = zlib.compress(lengths.astype(np.uint8).tobytes(), 6)
-        out.write(MAGIC + struct.pack("<II", len(lengths), len(packed)) + packed)
+        self.at = self.before = 0
+        self._write(MAGIC + struct.pack("<II", len(lengths), len(packed)) + packed)
         self.docs: list[int] = []
         self.parts: list[np.ndarray] = []
         self.held = 0
+        self.segments: list[tuple[int, int, int, int, int | None, int | None]] = []
+
+    def _write(self, raw: bytes) -> None:
+        self.out.write(raw)
+        self.at += len(raw)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append(NO_ID if doc_id is None else doc_id)
@@ -144,26 +164,43 @@ class FileWriter:
         ids = np.concatenate(self.parts)
         first, payload = encoded(ids, self.lengths, self.codes, self.block)
         sizes = np.fromiter(map(len, self.parts), "<u4", len(self.parts))
-        self.out.write(struct.pack("<IIIII", len(self.docs), len(ids), self.block, len(first), len(payload)))
-        self.out.write(np.array(self.docs, "<i8").tobytes() + sizes.tobytes() + first.tobytes() + payload)
+        ends = [None if x == NO_ID else x for x in (self.docs[0], self.docs[-1])]
+        self.segments.append((self.at, self.before, len(self.docs), len(ids), *ends))
+        self._write(struct.pack("<IIIII", len(self.docs), len(ids), self.block, len(first), len(payload)))
+        self._write(np.array(self.docs, "<i8").tobytes() + sizes.tobytes() + first.tobytes() + payload)
+        self.before += len(ids)
         self.docs, self.parts, self.held = [], [], 0
 
 
-def read_file(src) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """doc_ids, ids in each and all ids, segment by segment."""
+def read_header(src) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """The decoding table of a file and the bits that it looks at."""
     if src.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token file")
     n, packed = struct.unpack("<II", src.read(8))
     lengths = np.frombuffer(zlib.decompress(src.read(packed)), np.uint8)
-    assert len(lengths) == n
+    if len(lengths) != n:
+        raise ValueError("a token file's code lengths are cut short")
     bits = max(1, int(lengths.max(initial=1)))
-    table = decoding_table(lengths, bits)
-    while head := src.read(20):
-        docs, ids, block, blocks, size = struct.unpack("<IIIII", head)
-        doc_ids = np.frombuffer(src.read(8 * docs), "<i8")
-        sizes = np.frombuffer(src.read(4 * docs), "<u4")
-        first = np.frombuffer(src.read(4 * blocks), "<u4")
-        yield doc_ids, sizes, decoded(ids, block, first, src.read(size), table, bits)
+    return decoding_table(lengths, bits), bits
+
+
+def read_segment(src, table: tuple[np.ndarray, np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """doc_ids, ids in each and all ids of the segment that starts here; None at the end of the file."""
+    head = src.read(20)
+    if not head:
+        return None
+    docs, ids, block, blocks, size = struct.unpack("<IIIII", head)
+    doc_ids = np.frombuffer(src.read(8 * docs), "<i8")
+    sizes = np.frombuffer(src.read(4 * docs), "<u4")
+    first = np.frombuffer(src.read(4 * blocks), "<u4")
+    return doc_ids, sizes, decoded(ids, block, first, src.read(size), table, bits)
+
+
+def read_file(src) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_ids, ids in each and all ids, segment by segment."""
+    table, bits = read_header(src)
+    while (found := read_segment(src, table, bits)) is not None:
+        yield found
 
 
 # ---------------------------------------------------------------- tables
@@ -175,118 +212,143 @@ def _ranges(docs: DataFrame, n: int) -> list[int]:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0, ranges: int | None = None) -> DataFrame:
-    """bucket, doc_id, n and ids (u16 or u32 bytes, with the end id), staged by ranges of ascending ids."""
+    """bucket, doc_id, n, ids (u16 or u32 bytes, with the end id) and wide, by ranges of ascending ids.
+
+    A task adds one row for all its documents: how often it met each id, as ``counts``; that row has no ids.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     bounds = np.array(_ranges(docs, n), np.float64)
+    names = ["bucket", "doc_id", "n", "ids", "wide", "counts"]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary())
 
     def tokens(batches):
         known = token_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        wide = known.tokenizer.get_vocab_size() > 1 << 16
+        wide = max(known.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
+        total = np.zeros(1, np.int64)
         for b in slices(batches):
             ids = [x + end for x in known.of(b["text"].to_pylist())]
-            size = [len(x) // 4 for x in ids]
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            met = np.bincount(flat, minlength=len(total))
+            met[: len(total)] += total
+            total = met
             if not wide:
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+                flat = flat.astype("<u2")
+            width = flat.itemsize
+            offsets = np.concatenate([[0], np.cumsum(size * width)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
             bucket = np.searchsorted(bounds, b["doc_id"].cast(pa.float64()).fill_null(float("-inf")).to_numpy(zero_copy_only=False), "right")
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), b["doc_id"], pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array([wide] * len(ids))], ["bucket", "doc_id", "n", "ids", "wide"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), b["doc_id"], pa.array(size), packed, pa.array([wide] * len(ids)), pa.nulls(len(ids), pa.binary())], names)
+        used = np.flatnonzero(total)
+        if len(used):
+            row = (TaskContext.get().partitionId() % (len(bounds) + 1), None, 0, None, wide, used.astype("<i8").tobytes() + total[used].astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
-    rows = docs.mapInArrow(tokens, "bucket int, doc_id long, n long, ids binary, wide boolean")
+    rows = docs.mapInArrow(tidy(tokens, keep_ids=True), "bucket int, doc_id long, n long, ids binary, wide boolean, counts binary")
     parts = len(bounds) + 1
     rows = rows.repartitionById(parts, F.col("bucket")) if hasattr(rows, "repartitionById") else rows.repartition(parts, "bucket")
     return rows.sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n", "ids")
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
-    """How often each id occurs: counted in tasks, summed by id. The driver gets one row for each id of the vocabulary."""
+    """How often each id occurs: the tasks' counts, summed by id. The driver gets one row for each id of the vocabulary."""
 
     def count(batches):
-        total = np.zeros(1, np.int64)
+        total: dict[int, int] = {}
         for b in batches:
-            for x, wide in zip(b["ids"], b["wide"].to_pylist(), strict=True):
-                c = np.bincount(np.frombuffer(x.as_buffer(), "<u4" if wide else "<u2"))
-                if len(c) > len(total):
-                    total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-                total[: len(c)] += c
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+            for x in b["counts"].to_pylist():
+                ids, n = np.frombuffer(x, "<i8").reshape(2, -1).tolist()
+                for i, k in zip(ids, n, strict=True):
+                    total[i] = total.get(i, 0) + k
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], ["id", "n"])
 
-    rows = tokens.select("ids", "wide").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.where("counts is not null").select("counts").mapInArrow(tidy(count, keep_ids=True), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(max(rows["id"].to_numpy(), default=0) + 1, np.int64)
     counts[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return counts
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, limit: int = 16, block: int = 512, file_ids: int = 1 << 26) -> DataFrame:
-    """Writes the ids of ``docs`` and returns the list of files: path, first (doc_id), last, n_docs, n_ids.
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, block: int = 512, segment: int = 1 << 20, file_ids: int = 1 << 26) -> DataFrame:
+    """Writes the ids of ``docs`` and returns the list of segments: path, bucket, offset, before, n_docs, n_ids, first, last.
 
-    A repeated or lost task writes files of other names; only those on the list count.
+    ``offset``: the segment's first byte; ``before``: ids before it in its file; first and last: doc_ids. A repeated or
+    lost task writes files of other names; only those on the list count.
     """
     spark = docs.sparkSession
-    tokens = tokenized(docs, tokenizer, end_id)
-    path = shared_dir(spark, "tokens")
-    tokens.write.option("compression", "zstd").parquet(path)
-    tokens = spark.read.schema(tokens.schema).parquet(path)
-    lengths = code_lengths(id_counts(tokens), limit)
+    tokens = staged(tokenized(docs, tokenizer, end_id), "tokens")
+    counts = id_counts(tokens)
+    lengths = code_lengths(counts, code_limit(int(np.count_nonzero(counts))))
     folder = folder or shared_dir(spark, "tokenfiles")
     sent = spark.sparkContext.broadcast(zlib.compress(lengths.tobytes()))  # one byte for each id of the vocabulary
+    kinds = (pa.string(), pa.int32(), *(pa.int64(),) * 6)
 
     def write(batches):
         own = np.frombuffer(zlib.decompress(sent.value), np.uint8)
         codes = canonical_codes(own)
         fs, at = file_system(folder)
         fs.create_dir(at, recursive=True)
-        out = writer = None
+        out = writer = key = name = None
         done: list[tuple] = []
-        name = first = last = None
-        n_docs = n_ids = 0
 
         def close():
             writer.flush()
             out.close()
-            done.append((f"{folder}/{name}", first, last, n_docs, n_ids))
+            done.extend((f"{folder}/{name}", key[0], *s) for s in writer.segments)
 
-        key = None
-        for b in slices(batches, 4096):
+        for b in slices(batches, 4096, 1 << 23):
             wide = b["wide"].to_pylist()
             for k, (doc_id, bucket, ids) in enumerate(zip(b["doc_id"].to_pylist(), b["bucket"].to_pylist(), b["ids"], strict=True)):
                 order = (bucket, NO_ID if doc_id is None else doc_id)
-                if writer is None or order < key or bucket != key[0] or n_ids >= file_ids:
+                if writer is None or order < key or bucket != key[0] or writer.before + writer.held >= file_ids:
                     if writer is not None:
                         close()
-                    name, first, n_docs, n_ids = f"{uuid.uuid4().hex}.tok", doc_id, 0, 0
+                    name = f"{uuid.uuid4().hex}.tok"
                     out = fs.open_output_stream(f"{at}/{name}", compression=None)
-                    writer = FileWriter(out, own, codes, block)
-                key, last = order, doc_id
-                x = np.frombuffer(ids.as_buffer(), "<u4" if wide[k] else "<u2")
-                writer.add(doc_id, x)
-                n_docs, n_ids = n_docs + 1, n_ids + len(x)
+                    writer = FileWriter(out, own, codes, block, segment)
+                key = order
+                writer.add(doc_id, np.frombuffer(ids.as_buffer(), "<u4" if wide[k] else "<u2"))
         if writer is not None:
             close()
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["path", "first", "last", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], ["path", "bucket", "offset", "before", "n_docs", "n_ids", "first", "last"])
 
-    return staged(tokens.mapInArrow(write, "path string, first long, last long, n_docs long, n_ids long"), "files")
+    rows = tokens.where("counts is null").select("doc_id", "bucket", "ids", "wide")
+    segments = staged(rows.mapInArrow(tidy(write, keep_ids=True), "path string, bucket int, offset long, before long, n_docs long, n_ids long, first long, last long"), "segments")
+    removed(spark, tokens)
+    return segments
 
 
-def read_token_files(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document in the listed files, decoded."""
-    order = W.orderBy(F.col("first").asc_nulls_first(), F.col("last").asc_nulls_first(), F.col("path")).rowsBetween(W.unboundedPreceding, -1)
-    base = files.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))  # one row for each file
+def read_token_files(segments: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document in the listed segments, decoded.
+
+    A task reads the segments dealt to it: each from its own offset, its blocks from their bit offsets.
+    """
+    files = segments.groupBy("path").agg(F.first("bucket").alias("bucket"), F.min_by("first", "before").alias("first"), F.max_by("last", "before").alias("last"), F.sum("n_ids").alias("ids"))
+    order = W.orderBy("bucket", F.col("first").asc_nulls_first(), F.col("last").asc_nulls_first(), F.col("path")).rowsBetween(W.unboundedPreceding, -1)
+    base = files.select("path", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("base"))  # one row for each file
+    rows = segments.join(base, "path").select("path", "offset", (F.col("base") + F.col("before")).alias("start"))
 
     def read(batches):
+        path = src = table = bits = None
         for b in batches:
-            for path, at in zip(b["path"].to_pylist(), b["base"].to_pylist(), strict=True):
-                fs, own = file_system(path)
-                with fs.open_input_stream(own, compression=None) as src:
-                    for doc_ids, sizes, ids in read_file(src):
-                        end = np.cumsum(sizes, dtype=np.int64)
-                        raw = memoryview(ids.astype("<u4").tobytes())
-                        crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(end.tolist(), sizes.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID), pa.array(at + end - sizes), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                        at += int(end[-1])
-
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return base.repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for p, offset, at in zip(b["path"].to_pylist(), b["offset"].to_pylist(), b["start"].to_pylist(), strict=True):
+                if p != path:
+                    if src is not None:
+                        src.close()
+                    fs, own = file_system(p)
+                    path, src = p, fs.open_input_file(own)
+                    table, bits = read_header(src)
+                src.seek(offset)
+                doc_ids, sizes, ids = read_segment(src, table, bits)
+                end = np.cumsum(sizes, dtype=np.int64)
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(end.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID), pa.array(at + end - sizes), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        if src is not None:
+            src.close()
+
+    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, "path", "offset").sortWithinPartitions("path", "offset").mapInArrow(tidy(read, keep_ids=True), "doc_id long, start long, n_tokens long, ids_crc32 long")
