@@ -7,12 +7,22 @@ add NULLs and BOOLs and widen narrow integers.
 
 from __future__ import annotations
 
+import json
 import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veltra.engine import Engine
+from veltra.engine import RESULT_LIMIT, Engine, Result
+from veltra.errors import EngineError
+from veltra.plans.rewrite import Options
+from veltra.types import Type
 
 TABLES: dict[str, tuple[str, list[str]]] = {
     "items": (
@@ -60,6 +70,8 @@ TABLES: dict[str, tuple[str, list[str]]] = {
             "CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_mktsegment END AS nseg",
         ],
     ),
+    # both signs of the widest numbers: partial sums leave INT64, whole ones come back
+    "wides": ("orders", ["o_orderkey AS oid", "o_orderstatus AS status", "PAIR(9223372036854775807, 1 - 9223372036854775807) AS wide"]),
     "lands": ("nation", ["CAST(n_nationkey AS BIGINT) AS land", "n_name AS lname", "CAST(n_regionkey AS BIGINT) AS region"]),
 }
 
@@ -119,18 +131,13 @@ QUERIES: dict[str, str] = {
     "agg_arith": "SELECT flag, ISUM(line) + COUNT(*) AS x, SUM(q) / CAST(COUNT(*) AS DOUBLE) AS y, MAX(n) - MIN(n) AS z FROM items GROUP BY flag",
     "agg_of_expr": "SELECT flag, ISUM(line * 2 + 1) AS x, SUM(q * 2e0) AS y, MAX(-n) AS z FROM items GROUP BY flag",
     "agg_predicate": "SELECT flag, COUNT(*) > 100 AS many, MIN(n) IS NULL AS none FROM items GROUP BY flag",
-    # order and limit
-    "order_name": "SELECT oid, price FROM buys ORDER BY price DESC, oid LIMIT 50",
-    "order_position": "SELECT status, oid FROM buys ORDER BY 2 DESC LIMIT 20",
-    "order_nulls_first": "SELECT ncust, oid FROM buys ORDER BY ncust NULLS FIRST, oid LIMIT 40",
-    "order_nulls_last": "SELECT ncust, oid FROM buys ORDER BY ncust DESC NULLS LAST, oid LIMIT 40",
-    "order_multi": "SELECT prio, status, oid FROM buys ORDER BY prio, status DESC, oid LIMIT 60",
-    # whole tables in order
-    "order_name_all": "SELECT oid, price FROM buys ORDER BY price DESC, oid",
-    "order_position_all": "SELECT status, oid FROM buys ORDER BY 2 DESC",
-    "order_nulls_first_all": "SELECT ncust, oid FROM buys ORDER BY ncust NULLS FIRST, oid",
-    "order_nulls_last_all": "SELECT ncust, oid FROM buys ORDER BY ncust DESC NULLS LAST, oid",
-    "order_multi_all": "SELECT prio, status, oid FROM buys ORDER BY prio, status DESC, oid",
+    # whole tables in order, and limits
+    "order_name": "SELECT oid, price FROM buys ORDER BY price DESC, oid",
+    "order_position": "SELECT status, oid FROM buys ORDER BY 2 DESC",
+    "order_nulls_first": "SELECT ncust, oid FROM buys ORDER BY ncust NULLS FIRST, oid",
+    "order_nulls_last": "SELECT ncust, oid FROM buys ORDER BY ncust DESC NULLS LAST, oid",
+    "order_multi": "SELECT prio, status, oid FROM buys ORDER BY prio, status DESC, oid",
+    "limit_cuts": "SELECT TRUE AS t, 'row' AS s FROM buys LIMIT 7",
     "limit_plain": "SELECT COUNT(*) AS n FROM buys LIMIT 5",
     "limit_zero": "SELECT oid FROM buys LIMIT 0",
     # joins
@@ -140,8 +147,7 @@ QUERIES: dict[str, str] = {
     "join_null_keys": "SELECT o.oid, p.pid FROM buys AS o INNER JOIN people AS p ON o.ncust = p.npid",
     "join_string_key": "SELECT COUNT(*) AS n FROM people AS p INNER JOIN people AS z ON p.seg = z.nseg AND p.nation = z.nation",
     "join_bool_key": "SELECT COUNT(*) AS n, ISUM(a.line) AS lines FROM items AS a INNER JOIN items AS z ON a.id = z.id AND a.r = z.b",
-    "join_self": "SELECT a.pid AS one, z.pid AS two FROM people AS a INNER JOIN people AS z ON a.nation = z.nation WHERE a.pid < 40 AND z.pid < 40",
-    "join_self_all": "SELECT a.oid AS one, z.oid AS two FROM buys AS a INNER JOIN buys AS z ON a.cust = z.cust",
+    "join_self": "SELECT a.oid AS one, z.oid AS two FROM buys AS a INNER JOIN buys AS z ON a.cust = z.cust",
     "join_star": "SELECT * FROM people AS p INNER JOIN lands AS l ON p.nation = l.land",
     "join_alias_star": "SELECT l.*, p.pid FROM people AS p INNER JOIN lands AS l ON p.nation = l.land",
     "join_filter_residual": "SELECT a.id, a.line AS x, z.line AS y FROM items AS a INNER JOIN items AS z ON a.id = z.id WHERE a.line < z.line AND a.q > 25e0",
@@ -164,12 +170,63 @@ QUERIES: dict[str, str] = {
 }
 
 
-def engine(spark: SparkSession, sf_dir: str, names: set[str] | None = None) -> Engine:
-    """An engine without caps over the tables of a folder."""
-    out = Engine(spark, result_limit=None)
+#: Run by ``Engine.query``: caps, the order of errors, and DOUBLE sums in the order of rows.
+BY_QUERY: dict[str, str] = {
+    "query_flagship": FLAGSHIP,
+    "query_sum_wide": "SELECT status, ISUM(wide) AS total, AVG(wide) AS mean, COUNT(*) AS n FROM wides GROUP BY status",
+    "query_sum_wide_global": "SELECT ISUM(wide) AS total FROM wides",
+    "query_sum_double_in_order": "SELECT flag, s, SUM(d) AS total, AVG(q) AS mean, COUNT(d) AS n FROM items GROUP BY flag, s",
+    "query_sum_double_global": "SELECT SUM(d) AS total, AVG(sparse) AS mean, MAX(n) AS high FROM items",
+    "query_sum_double_of_join": "SELECT p.nseg, SUM(p.bal) AS total, COUNT(*) AS n FROM people AS p INNER JOIN lands AS l ON p.nation = l.land WHERE p.bal < 0e0 AND p.bal > 0e0 GROUP BY p.nseg",
+    "query_fault_free_division": "SELECT flag, MAX(part / line) AS high, MIN(n + part) AS low FROM items GROUP BY flag",
+    "query_limit_after_all": "SELECT land, land * 2 AS twice FROM lands ORDER BY land DESC LIMIT 3",
+    "query_join_group": "SELECT l.lname, COUNT(*) AS n, COUNT(p.npid) AS m FROM people AS p INNER JOIN lands AS l ON p.nation = l.land GROUP BY l.lname ORDER BY n DESC, lname",
+    "query_null_groups": "SELECT nseg, COUNT(*) AS n, MIN(bal) AS low FROM people GROUP BY nseg ORDER BY nseg NULLS FIRST",
+}
+
+#: Default labels: the statement, and the same with its labels written out.
+LABELS = (
+    "SELECT line, COUNT(*), SUM(part + 1), MAX(-n), COUNT(*) IS NULL FROM items GROUP BY line",
+    'SELECT line, COUNT(*) AS "count(*)", CAST(SUM(part + 1) AS BIGINT) AS "sum((part + 1))", MAX(-n) AS "max(-(n))", COUNT(*) IS NULL AS "count(*) is null" FROM items GROUP BY line',
+)
+
+#: Statements that fail, or would but for their rows: with the result limit, and what the rows say the code is.
+CODES: dict[str, tuple[str, int | None, str]] = {
+    "code_division_by_zero": ("SELECT 1 / n AS x FROM items", None, "CASE WHEN COUNT(*) FILTER (n = 0) > 0 THEN 'NUMERIC' ELSE 'ok' END"),
+    "code_zero_behind_and": ("SELECT FALSE AND 1 / n > 0e0 AS x FROM items LIMIT 0", None, "CASE WHEN COUNT(*) FILTER (n = 0) > 0 THEN 'NUMERIC' ELSE 'ok' END"),
+    "code_zero_filtered": ("SELECT COUNT(1 / n) AS x FROM items WHERE n <> 0", None, "CASE WHEN COUNT(*) FILTER (n <> 0) > 0 THEN 'ok' ELSE 'ok' END"),
+    "code_overflow": ("SELECT part + 9223372036854775807 AS x FROM items", None, "CASE WHEN MAX(part) > 0 THEN 'NUMERIC' ELSE 'ok' END"),
+    "code_sum_overflow": ("SELECT SUM(wide) AS x FROM wides WHERE wide > 0", None, "CASE WHEN COUNT(*) FILTER (wide > 0) > 1 THEN 'NUMERIC' ELSE 'ok' END"),
+    "code_infinite_product": ("SELECT q * 1e308 * 1e308 AS x FROM items", None, "CASE WHEN MAX(q) > 0 THEN 'NUMERIC' ELSE 'ok' END"),
+    "code_result_cap": ("SELECT oid FROM buys LIMIT 1", 100, "CASE WHEN COUNT(*) > 100 THEN 'RESOURCE' ELSE 'ok' END"),
+    "code_group_cap": ("SELECT cust, COUNT(*) AS n FROM buys GROUP BY cust ORDER BY cust LIMIT 1", 100, "CASE WHEN COUNT(DISTINCT cust) > 100 THEN 'RESOURCE' ELSE 'ok' END"),
+    "code_types_differ": ("SELECT line + q AS x FROM items", None, "CASE WHEN COUNT(*) >= 0 THEN 'TYPE' END"),
+    "code_unknown_column": ("SELECT nothing FROM items", None, "CASE WHEN COUNT(*) >= 0 THEN 'BIND' END"),
+    "code_left_of_double_sum": ("SELECT SUM(a.price) AS x FROM buys AS a INNER JOIN people AS p ON a.cust = p.pid", None, "CASE WHEN COUNT(*) >= 0 THEN 'UNSUPPORTED' END"),
+}
+
+#: Tables that go through a strict CSV file and a manifest, and the queries over them.
+AS_CSV = "people"
+CSV_QUERIES: dict[str, str] = {
+    "csv_scan": "SELECT * FROM people",
+    "csv_group": "SELECT nseg, nation, COUNT(*) AS n, COUNT(npid) AS m, ISUM(pid) AS total FROM people WHERE bal > 0e0 GROUP BY nseg, nation",
+}
+
+
+def spark_sql(text: str) -> str:
+    return re.sub(r"PAIR\(([^,]*), ([^()]*)\)", r"explode(array(\1, \2))", text)
+
+
+def other_sql(text: str) -> str:
+    return re.sub(r"PAIR\(([^,]*), ([^()]*)\)", r"unnest([\1, \2])", text)
+
+
+def engine(spark: SparkSession, sf_dir: str, names: set[str] | None = None, result_limit: int | None = None) -> Engine:
+    """An engine over the tables of a folder, without caps unless asked."""
+    out = Engine(spark, memory_limit=1 << 40, result_limit=result_limit)
     for name, (table, columns) in TABLES.items():
         if names is None or name in names:
-            out.register(name, spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*columns))
+            out.register(name, spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*map(spark_sql, columns)))
     return out
 
 
@@ -185,17 +242,73 @@ def run(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(spark, sf_dir, _names(sql)).frame(dialect(sql))
 
 
+def as_frame(spark: SparkSession, result: Result) -> DataFrame:
+    schema = T.StructType([T.StructField(n, k.spark) for n, k in result.columns])
+    return spark.createDataFrame(result.rows, schema)
+
+
+def run_query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: as_frame(spark, engine(spark, sf_dir, _names(sql), RESULT_LIMIT).query(dialect(sql)))
+
+
+def run_code(sql: str, limit: int | None) -> Callable[[SparkSession, str], DataFrame]:
+    """The code that a statement fails with; a join hashes its left side."""
+
+    def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = "ok"
+        try:
+            engine(spark, sf_dir, _names(sql), limit).query(sql, Options(build_side="left" if "JOIN" in sql else "auto"))
+        except EngineError as e:
+            found = e.code
+        return spark.createDataFrame([(found,)], "code string")
+
+    return code
+
+
+def run_csv(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Writes a table as a CSV file with its manifest beside the session's shared files, loads and queries it."""
+
+    def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table = engine(spark, sf_dir, {AS_CSV}).table(AS_CSV)
+        root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file:")
+        folder = Path("/" + root.lstrip("/")) / f"csv-{uuid.uuid4().hex[:12]}"
+        quoted = lambda n: F.concat(F.lit('"'), F.replace(F.col(n), F.lit('"'), F.lit('""')), F.lit('"'))
+        cells = [F.coalesce(quoted(n) if k is Type.STRING else F.col(n).cast("string"), F.lit("\\N")) for n, k in table.columns]
+        body = table.source.frame.select(F.concat_ws(",", *cells).alias("value"))
+        body.coalesce(1).write.text(f"file://{folder}/rows")
+        part = next((folder / "rows").glob("part-*"))
+        with open(folder / "table.csv", "wb") as out, open(part, "rb") as rows:
+            out.write(",".join(n for n, _ in table.columns).encode() + b"\n")
+            shutil.copyfileobj(rows, out)
+        columns = [{"name": n, "type": k.value, "nullable": True} for n, k in table.columns]
+        (folder / "catalog.json").write_text(json.dumps({"tables": [{"name": AS_CSV, "path": "table.csv", "columns": columns}]}))
+        e = Engine(spark, memory_limit=1 << 40, result_limit=None)
+        e.load_catalog(folder / "catalog.json")
+        return e.frame(dialect(sql))
+
+    return loaded
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(FLAGSHIP)(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run(sql) for name, sql in QUERIES.items()}
+    found = {name: run(sql) for name, sql in QUERIES.items()}
+    found |= {name: run_query(sql) for name, sql in BY_QUERY.items()}
+    found |= {name: run_code(sql, limit) for name, (sql, limit, _) in CODES.items()}
+    found |= {name: run_csv(sql) for name, sql in CSV_QUERIES.items()}
+    return found | {"query_labels": run_query(LABELS[0])}
+
+
+def _elsewhere(sql: str) -> str:
+    views = ", ".join(f"{n} AS (SELECT {', '.join(map(other_sql, TABLES[n][1]))} FROM {TABLES[n][0]})" for n in sorted(_names(sql)))
+    return f"WITH {views} " + re.sub(r"ISUM\(([^()]*)\)", r"CAST(SUM(\1) AS BIGINT)", sql)
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {}
-    for name, sql in QUERIES.items():
-        views = ", ".join(f"{n} AS (SELECT {', '.join(TABLES[n][1])} FROM {TABLES[n][0]})" for n in sorted(_names(sql)))
-        out[name] = f"WITH {views} " + re.sub(r"ISUM\(([^()]*)\)", r"CAST(SUM(\1) AS BIGINT)", sql)
-    return out
+    found = {name: _elsewhere(sql) for name, sql in (QUERIES | BY_QUERY | CSV_QUERIES).items()}
+    for name, (sql, _, code) in CODES.items():
+        table = re.search(r"FROM (\w+)", sql)[1]
+        found[name] = _elsewhere(f"SELECT {code.replace('FILTER (', 'FILTER (WHERE ')} AS code FROM {table}")
+    return found | {"query_labels": _elsewhere(LABELS[1])}

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veltra.errors import EngineError
+from veltra.functions.aggregates import adds_doubles
 from veltra.functions.lanes import FAULTS, first_fault
 from veltra.operators import relational as R
 from veltra.plans.binding import Bound, bind
@@ -34,7 +35,7 @@ class Result:
     rows: list[tuple]
     plan: Plan
     scanned_rows: int
-    filtered_rows: int
+    filtered_rows: int | None  # rows that WHERE kept; not known without a cap on the result, unless profiled
     operators: list[dict] = field(default_factory=list)
     planning_ns: int = 0
     execution_ns: int = 0
@@ -80,8 +81,14 @@ class Engine:
         if not 1 <= options.batch_size <= 65536:
             raise EngineError("CLI", "batch size must be in 1..65536")
         q = bind(parse(sql), lambda name: self.catalog.table(name).columns)
-        sizes = (self.catalog.table(q.table).rows, self.catalog.table(q.right).rows if q.right is not None else None)
-        return plan(q, options, sizes)
+        return plan(q, options, self._sizes(q) if q.right is not None else (None, None))
+
+    def _sizes(self, q: Bound) -> tuple[int | None, int | None]:
+        """The rows of both tables if they were loaded, else Spark's estimates of their bytes."""
+        both = self.catalog.table(q.table), self.catalog.table(q.right)
+        if all(t.loaded for t in both):
+            return both[0].rows, both[1].rows
+        return _estimate(both[0].source.frame), _estimate(both[1].source.frame)
 
     def explain(self, sql: str, options: Options | None = None) -> Plan:
         return self._plan(sql, options or Options())
@@ -110,9 +117,10 @@ class Engine:
         return self.catalog.table(q.table).source, self.catalog.table(q.right).source if q.right is not None else None
 
     def _rows(self, made: Plan, ordinals: bool) -> DataFrame:
+        """A side that was asked for is hinted; if sizes decide, Catalyst decides by them too, and may broadcast."""
         left, right = self._sources(made.bound)
-        build = made.build_side if made.options.build_side != "auto" or made.applied["join_build_side"] else None
-        return R.surviving(made.bound, left, right, ordinals, build if made.bound.right is not None else None)
+        asked = made.options.build_side
+        return R.surviving(made.bound, left, right, ordinals, asked if right is not None and asked != "auto" else None)
 
     def frame(self, sql: str, options: Options | None = None) -> DataFrame:
         """The query as one lazy DataFrame: sums of DOUBLE in Spark's order, faults raised where they are met."""
@@ -142,26 +150,82 @@ class Engine:
             raise EngineError("RESOURCE", f"tables exceed the memory limit of {self.memory_limit} bytes")
         if q.aggregation and not q.groups and cap is not None and cap < 1:
             raise EngineError("RESOURCE", "the result limit allows no row")
-        fold = made.options.accumulation == "ordered" and any(a.op in ("sum", "avg") and a.args[0].type is Type.DOUBLE for a in q.aggregates)
         lanes = R.argument_lanes(q) if q.aggregation else R.output_lanes(q)
         fault = first_fault(*(x.fault for x in lanes if x is not None))
+        fold = made.options.accumulation == "ordered" and any(map(adds_doubles, q.aggregates))
+        careful = fold or fault is not None or q.where is not None and q.where.may_fail
+        got, n = self._carefully(made, lanes, fault, fold) if careful else self._directly(made, lanes)
+        if q.limit is not None:
+            got = got[: q.limit]
+        size = held + sum(len(v.encode()) if isinstance(v, str) else 9 for r in got for v in r)
+        if size > self.memory_limit:
+            raise EngineError("RESOURCE", f"the result exceeds the memory limit of {self.memory_limit} bytes")
+        scanned = sum(self._size(t) for t in (q.table, q.right) if t is not None)
+        columns = [(name, e.type) for name, e in zip(q.names, q.outputs, strict=True)]
+        out = Result(columns, got, made, scanned, n, accounted_bytes=size, peak_bytes=size)
+        if made.options.profile:
+            out.operators = self._measured(made, len(got))
+            out.filtered_rows = next(o["output_rows"] for o in reversed(out.operators) if o["stage"] in ("Scan", "Filter", "InnerHashJoin"))
+        return out
+
+    def _directly(self, made: Plan, lanes) -> tuple[list[tuple], int | None]:
+        """Nothing can fail before the end: one job, which gives a row more than the cap if there are more."""
+        q, cap = made.bound, self.result_limit
+        rows = self._rows(made, False)
+        if not q.aggregation:
+            out = R.projected(lanes, rows)
+        else:
+            out = R.projected(R.output_lanes(q), R.grouped(q, rows), True, "n")
+        if cap is None:
+            got, n = [tuple(r) for r in R.ordered(q, out).collect()], None
+        else:  # all rows count towards the cap, whatever LIMIT leaves
+            got = [tuple(r) for r in R.ordered(q, out, limit=False).limit(cap + 1).collect()]
+            if len(got) > cap:
+                raise EngineError("RESOURCE", f"more than {cap} {'groups' if q.aggregation else 'result rows'}")
+            n = sum(r[-1] for r in got) if q.aggregation else len(got)
+        if q.aggregation:
+            if bad := next((r[-2] for r in got if r[-2] is not None), None):
+                raise EngineError("NUMERIC", FAULTS[bad])
+            got = [r[:-2] for r in got]
+        return got, n
+
+    def _carefully(self, made: Plan, lanes, fault, fold: bool) -> tuple[list[tuple], int]:
+        """Faults, caps and sums in the order of the rows: several passes over the rows that WHERE keeps."""
+        q = made.bound
         rows = self._rows(made, fold or fault is not None).persist()
         try:
             n = rows.count()
             if q.where is not None and q.where.may_fail and self._reached(made):
                 raise EngineError("NUMERIC", FAULTS[4])
             out = self._aggregated(q, rows, fault, fold) if q.aggregation else self._projected(q, rows, n, lanes, fault)
-            got = [tuple(r) for r in out.collect()]
+            return [tuple(r) for r in out.collect()], n
         finally:
             rows.unpersist()
-        if q.limit is not None:
-            got = got[: q.limit]
-        size = held + sum(len(v.encode()) if isinstance(v, str) else 9 for r in got for v in r)
-        if size > self.memory_limit:
-            raise EngineError("RESOURCE", f"the result exceeds the memory limit of {self.memory_limit} bytes")
-        scanned = sum(self._size(t) for t in (q.table, q.right) if t is not None)
-        columns = [(name, e.type) for name, e in zip(q.names, q.outputs, strict=True)]
-        return Result(columns, got, made, scanned, n, _operators(made, scanned, n, len(got)), accounted_bytes=size, peak_bytes=size)
+
+    def _measured(self, made: Plan, out: int) -> list[dict]:
+        """Rows into and out of each physical stage. Profiling counts every stage by a job of its own."""
+        q = made.bound
+        counts = iter([(name, df.count(), len(df.columns)) for name, df in R.stages(q, *self._sources(q), made.pushed, made.rest)])
+        given: dict[int, int] = {}
+        found = []
+        for s in made.physical:
+            kind = s.operator.removeprefix("Vector").removeprefix("Scalar")
+            taken = [given[i] for i in s.inputs]
+            entry = {"id": s.id, "operator": s.operator, "stage": kind, "source": s.source}
+            if kind in ("Scan", "Filter", "InnerHashJoin"):
+                _, given[s.id], width = next(counts)
+                if kind == "Scan":
+                    taken = [given[s.id]]
+                    entry |= {"columns_opened": width, "values_read": width * given[s.id]}
+                if kind == "InnerHashJoin":
+                    build = made.build_side == "right"
+                    entry |= {"build_rows": taken[build], "probe_rows": taken[not build]}
+            elif kind == "HashAggregate":
+                given[s.id] = R.grouped(q, self._rows(made, False)).count()
+            else:
+                given[s.id] = min(taken[0], q.limit) if kind == "Limit" else taken[0]
+            found.append({**entry, "input_rows": sum(taken), "output_rows": given[s.id]})
+        return found
 
     def _size(self, name: str) -> int:
         t = self.catalog.table(name)
@@ -237,11 +301,7 @@ def _guarded(q: Bound, rows: DataFrame) -> DataFrame:
     return rows.filter(F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("NUMERIC: fault "), fault.cast("string"))).cast("boolean")).otherwise(F.lit(True)))
 
 
-def _operators(made: Plan, scanned: int, kept: int, out: int) -> list[dict]:
-    """What each physical stage took and gave, as far as the driver knows."""
-    found = []
-    for s in made.physical:
-        kind = s.operator.removeprefix("Vector").removeprefix("Scalar")
-        rows = {"Scan": (scanned, scanned), "Filter": (scanned, kept), "InnerHashJoin": (scanned, kept)}.get(kind, (kept if kind in ("HashAggregate", "Project") else out, out))
-        found.append({"id": s.id, "operator": s.operator, "source": s.source, "input_rows": rows[0], "output_rows": rows[1], "columns_opened": len(s.bound_columns)})
-    return found
+def _estimate(df: DataFrame) -> int | None:
+    """Spark's estimate of a frame's bytes; None where the session has no plan to ask."""
+    inner = getattr(df, "_jdf", None)
+    return None if inner is None else int(str(inner.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -1,4 +1,4 @@
-"""COUNT, SUM, AVG, MIN and MAX with exact integer sums and, if asked for, DOUBLE sums in input order."""
+"""COUNT, SUM, AVG, MIN and MAX with exact integer sums. DOUBLE sums in input order are folded elsewhere."""
 
 from __future__ import annotations
 
@@ -21,22 +21,21 @@ def width(e: Expr) -> int:
     return (3 if e.args[0].type is Type.INT64 else 1) + (e.op == "avg")
 
 
-def partials(e: Expr, value: Column | None, ordinal: Column | None) -> list[Column]:
-    """The Spark aggregates behind one aggregate. ``ordinal``: fold DOUBLE sums in this order, in the group's memory."""
+def adds_doubles(e: Expr) -> bool:
+    return e.op in ("sum", "avg") and e.args[0].type is Type.DOUBLE
+
+
+def partials(e: Expr, value: Column | None) -> list[Column]:
+    """The Spark aggregates behind one aggregate."""
     if e.op == "count":
         return [F.count(F.lit(1)) if value is None else F.count(value)]
     if e.op in ("min", "max"):
         return [F.min(value) if e.op == "min" else F.max(value)]
-    if e.args[0].type is Type.INT64:
-        # three sums of LONG parts: exact for 2**41 rows, and much faster than sums of wide decimals
-        limbs = [F.sum(F.shiftright(value, HIGH)), F.sum(F.shiftright(value, LOW).bitwiseAND(F.lit((1 << (HIGH - LOW)) - 1))), F.sum(value.bitwiseAND(F.lit((1 << LOW) - 1)))]
-        return limbs if e.op == "sum" else [*limbs, F.count(value)]
-    if ordinal is None:
-        total = F.sum(value)
-    else:
-        rows = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(ordinal.alias("o"), value.alias("d")))))
-        total = F.when(F.count(value) > 0, F.aggregate(rows, F.lit(0.0), lambda acc, x: acc + x["d"]))
-    return [total] if e.op == "sum" else [total, F.count(value)]
+    if adds_doubles(e):
+        return [F.sum(value)] if e.op == "sum" else [F.sum(value), F.count(value)]
+    # three sums of LONG parts: exact for 2**41 rows, and much faster than sums of wide decimals
+    limbs = [F.sum(F.shiftright(value, HIGH)), F.sum(F.shiftright(value, LOW).bitwiseAND(F.lit((1 << (HIGH - LOW)) - 1))), F.sum(value.bitwiseAND(F.lit((1 << LOW) - 1)))]
+    return limbs if e.op == "sum" else [*limbs, F.count(value)]
 
 
 def finished(e: Expr, parts: list[Column]) -> Lane:

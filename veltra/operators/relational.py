@@ -6,14 +6,15 @@ and ambiguous output names need no care until the very end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veltra.functions.aggregates import finished, partials, width
+from veltra.functions.aggregates import adds_doubles, finished, partials, width
 from veltra.functions.lanes import Lane, first_fault, lower
-from veltra.plans.binding import Bound
+from veltra.plans.binding import Bound, Expr
 
 ROW_NUMBER = "__row"
 
@@ -49,15 +50,38 @@ def joined(left: DataFrame, right: DataFrame, keys: list[tuple[int, int]], build
     return left.join(right, on, "inner")
 
 
-def surviving(q: Bound, left: Source, right: Source | None, ordinals: bool = False, build: str | None = None, prune: bool = True) -> DataFrame:
+def surviving(q: Bound, left: Source, right: Source | None, ordinals: bool = False, build: str | None = None) -> DataFrame:
     """The rows that WHERE keeps. Catalyst moves conjuncts below the join and drops unused columns."""
-    used = q.used if prune else set(range(len(q.columns)))
-    rows = scan(left, 0, 0, used, ordinals)
+    rows = scan(left, 0, 0, q.used, ordinals)
     if right is not None:
-        rows = joined(rows, scan(right, len(left.names), 1, used, ordinals), q.keys, build)
+        rows = joined(rows, scan(right, len(left.names), 1, q.used, ordinals), q.keys, build)
     return rows if q.where is None else rows.filter(lower(q.where, column).value)
 
 
+def stages(q: Bound, left: Source, right: Source | None, pushed: dict[int, list[Expr]], rest: list[Expr]) -> Iterator[tuple[str, DataFrame]]:
+    """The operators up to the rows that WHERE keeps, one by one and as the plan shows them: for counting."""
+    sides = []
+    for side, source in enumerate(s for s in (left, right) if s is not None):
+        rows = scan(source, side * len(left.names), side, q.used, False)
+        yield "Scan", rows
+        if pushed.get(side):
+            rows = _kept(rows, pushed[side])
+            yield "Filter", rows
+        sides.append(rows)
+    rows = sides[0]
+    if right is not None:
+        rows = joined(*sides, q.keys, None)
+        yield "InnerHashJoin", rows
+    if rest:
+        yield "Filter", _kept(rows, rest)
+
+
+def _kept(rows: DataFrame, conjuncts: list[Expr]) -> DataFrame:
+    for e in conjuncts:
+        rows = rows.filter(lower(e, column).value)
+    return rows
+
+
 def ordinal(q: Bound) -> Column:
     """A row's place in the input order: left row, then right row."""
     return F.struct("o0", "o1") if q.right is not None else F.col("o0")
@@ -71,18 +95,66 @@ def _key_names(q: Bound) -> dict[int, str]:
     return {c: f"k{i}" for i, c in enumerate(dict.fromkeys(q.groups))}
 
 
-def grouped(q: Bound, rows: DataFrame, order: Column | None = None, carry: Column | None = None) -> DataFrame:
-    """One row for each group with its keys and partial aggregates; ``carry`` adds the group's first row number."""
-    aggs: list[Column] = []
-    for i, (a, lane) in enumerate(zip(q.aggregates, argument_lanes(q), strict=True)):
-        aggs += [p.alias(f"a{i}_{j}") for j, p in enumerate(partials(a, None if lane is None else lane.value, order))]
-    if carry is not None:
-        aggs.append(F.min(carry).alias("first"))
-    if not q.groups:
-        return rows.agg(*aggs)
+def grouped(q: Bound, rows: DataFrame, order: Column | None = None) -> DataFrame:
+    """One row for each group with its keys and partial aggregates, and ``n``, its number of rows.
+
+    ``order``: DOUBLE sums are folded in this order of the rows.
+    """
+    lanes = argument_lanes(q)
+    aggs = [p.alias(f"a{i}_{j}") for i, (a, lane) in enumerate(zip(q.aggregates, lanes, strict=True)) for j, p in enumerate(partials(a, None if lane is None else lane.value))]
+    aggs.append(F.count(F.lit(1)).alias("n"))
     keys = _key_names(q)
-    by = rows.groupBy(*(column(c).alias(k) for c, k in keys.items()))
-    return by.agg(*aggs) if aggs else by.agg(F.count(F.lit(1)).alias("n"))
+    plain = rows.groupBy(*(column(c).alias(k) for c, k in keys.items())).agg(*aggs) if keys else rows.agg(*aggs)
+    sums = {f"a{i}_0": lanes[i].value for i, a in enumerate(q.aggregates) if adds_doubles(a)}
+    if order is None or not sums:
+        return plain
+    own = list(keys.values())
+    folded = in_order(rows.select(*(column(c).alias(k) for c, k in keys.items()), order.alias("o"), *(v.alias(f"f_{n}") for n, v in sums.items())), own, [f"f_{n}" for n in sums])
+    folded = folded.select(*(F.col(k).alias(f"f_{k}") for k in own), *(F.col(f"f_{n}") for n in sums), F.lit(0).alias("f_one"))
+    same = [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in own] or [F.col("one") == F.col("f_one")]
+    both = plain.withColumn("one", F.lit(0)).join(folded, same, "left")
+    return both.select(*own, *(F.col(f"f_{c}").alias(c) if c in sums else F.col(c) for c in plain.columns if c not in own))
+
+
+def in_order(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """For each group the sums of ``values``, added one by one by ``o``; NULL if there is none.
+
+    A group's rows pass through one task, sorted, and only the running sums are held: what a sum in input order
+    allows. Groups are dealt over all tasks; without keys there is one.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (rows.repartition(n, *keys) if keys else rows.coalesce(1)).sortWithinPartitions(*keys, "o").select(*keys, *values)
+    schema = dealt.schema
+
+    def fold(batches):
+        key, sums = None, []
+
+        def row() -> pa.RecordBatch:
+            cells = [*key, *sums]
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], names)
+
+        for b in batches:
+            names, kinds = b.schema.names, b.schema.types
+            if not b.num_rows:
+                continue
+            held = list(zip(*(b[k].to_pylist() for k in keys), strict=True)) if keys else [()] * b.num_rows
+            cuts = [0, *(i for i in range(1, len(held)) if held[i] != held[i - 1]), len(held)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if key != held[lo]:
+                    if key is not None:
+                        yield row()
+                    key, sums = held[lo], [None] * len(values)
+                for j, v in enumerate(values):
+                    own = b[v].slice(lo, hi - lo).drop_null().to_numpy()
+                    if len(own):
+                        sums[j] = float(np.add.accumulate(np.concatenate([[0.0 if sums[j] is None else sums[j]], own]))[-1])
+        if key is not None:
+            yield row()
+
+    return dealt.mapInArrow(fold, schema)
 
 
 def output_lanes(q: Bound) -> list[Lane]:
@@ -96,13 +168,13 @@ def output_lanes(q: Bound) -> list[Lane]:
     return [Lane(x.value, first_fault(own, x.fault)) for x in lanes]
 
 
-def projected(lanes: list[Lane], rows: DataFrame, with_fault: bool = False) -> DataFrame:
-    """Outputs r0, r1, ..., and with ``with_fault`` a column fault."""
+def projected(lanes: list[Lane], rows: DataFrame, with_fault: bool = False, *more: str) -> DataFrame:
+    """Outputs r0, r1, ..., with ``with_fault`` a column fault, and the columns ``more`` as they are."""
     cols = [x.value.alias(f"r{i}") for i, x in enumerate(lanes)]
     if with_fault:
         f = first_fault(*(x.fault for x in lanes))
         cols.append((F.lit(None).cast("int") if f is None else f).alias("fault"))
-    return rows.select(*cols)
+    return rows.select(*cols, *more)
 
 
 def checked(lanes: list[Lane], rows: DataFrame) -> DataFrame:
@@ -115,7 +187,7 @@ def checked(lanes: list[Lane], rows: DataFrame) -> DataFrame:
     return rows.select(*cols, lead.alias("sound")).filter("sound").drop("sound")
 
 
-def ordered(q: Bound, rows: DataFrame) -> DataFrame:
+def ordered(q: Bound, rows: DataFrame, limit: bool = True) -> DataFrame:
     """ORDER BY outputs, NULLS LAST unless asked otherwise, and LIMIT."""
     if q.order:
         keys = []
@@ -123,7 +195,7 @@ def ordered(q: Bound, rows: DataFrame) -> DataFrame:
             c = F.col(f"r{o.column}")
             keys.append((c.desc_nulls_first() if o.nulls_first else c.desc_nulls_last()) if o.descending else (c.asc_nulls_first() if o.nulls_first else c.asc_nulls_last()))
         rows = rows.orderBy(*keys)
-    return rows if q.limit is None or q.limit > 2**31 - 1 else rows.limit(q.limit)
+    return rows.limit(q.limit) if limit and q.limit is not None and q.limit < 2**31 else rows
 
 
 def named(q: Bound, rows: DataFrame) -> DataFrame:

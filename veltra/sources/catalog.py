@@ -29,6 +29,7 @@ class Table:
     source: Source
     rows: int | None = None  # known for loaded tables
     bytes: int = 0
+    loaded: bool = False
 
 
 @dataclass
@@ -42,6 +43,10 @@ class Catalog:
         return self.tables[name]
 
     def swap(self, tables: dict[str, Table]) -> None:
+        stay = {id(t) for t in tables.values()}
+        for t in self.tables.values():
+            if t.loaded and id(t) not in stay:
+                t.source.frame.unpersist()
         self.tables, self.generation = tables, self.generation + 1
 
 
@@ -84,16 +89,24 @@ def _identifier(name: object) -> str:
     return name.lower()
 
 
-def load_manifest(spark: SparkSession, path: str | Path, most_bytes: int) -> dict[str, Table]:
-    """All tables of a manifest; nothing is changed if one of them fails."""
-    path = Path(path)
-    spec = bounded_json(read_bounded(path, MOST_MANIFEST), "CATALOG")
-    tables: dict[str, Table] = {}
-    held = 0
+@dataclass(frozen=True)
+class Spec:
+    """A table of a manifest."""
+
+    name: str
+    path: Path
+    names: list[str]
+    kinds: list[Type]
+    nullable: list[bool]
+
+
+def specs(path: Path) -> list[Spec]:
+    """The tables that a manifest describes, checked as far as that goes without their files."""
+    found: list[Spec] = []
     try:
-        for t in spec["tables"]:
+        for t in bounded_json(read_bounded(path, MOST_MANIFEST), "CATALOG")["tables"]:
             name = _identifier(t["name"])
-            if name in tables:
+            if any(name == s.name for s in found):
                 raise EngineError("CATALOG", f"duplicate table: {name}")
             place = PurePosixPath(t["path"])
             if place.is_absolute() or ".." in place.parts:
@@ -101,30 +114,112 @@ def load_manifest(spark: SparkSession, path: str | Path, most_bytes: int) -> dic
             names = [_identifier(c["name"]) for c in t["columns"]]
             if not 1 <= len(names) <= MOST_COLUMNS or len(set(names)) != len(names):
                 raise EngineError("CATALOG", f"table {name} needs 1 to {MOST_COLUMNS} columns of different names")
-            kinds = [Type(c["type"]) for c in t["columns"]]
-            nullable = [c["nullable"] for c in t["columns"]]
+            kinds, nullable = [Type(c["type"]) for c in t["columns"]], [c["nullable"] for c in t["columns"]]
             if not all(isinstance(x, bool) for x in nullable):
                 raise EngineError("CATALOG", "nullable must be true or false")
-            tables[name] = loaded = _load(spark, path.parent / place, names, kinds, nullable)
-            held += loaded.bytes
-            if held > most_bytes:
-                raise EngineError("RESOURCE", f"tables exceed the memory limit of {most_bytes} bytes")
+            found.append(Spec(name, path.parent / place, names, kinds, nullable))
     except (KeyError, TypeError, ValueError) as e:
         raise EngineError("CATALOG", f"invalid manifest: {e}") from None
+    return found
+
+
+def load_manifest(spark: SparkSession, path: str | Path, most_bytes: int) -> dict[str, Table]:
+    """All tables of a manifest; nothing is changed, and nothing stays, if one of them fails."""
+    tables: dict[str, Table] = {}
+    try:
+        for spec in specs(Path(path)):
+            tables[spec.name] = _load(spark, spec, most_bytes - sum(t.bytes for t in tables.values()))
+    except EngineError:
+        for t in tables.values():
+            t.source.frame.unpersist()
+        raise
     return tables
 
 
-def _load(spark: SparkSession, path: Path, names: list[str], kinds: list[Type], nullable: list[bool]) -> Table:
+#: What a cell takes at least, as memory is accounted for; a STRING takes its bytes too.
+CELL_BYTES = {Type.INT64: 8, Type.DOUBLE: 8, Type.BOOL: 1, Type.STRING: 4}
+RANGE = 8 << 20
+_WRONG = "__wrong"
+
+
+def _load(spark: SparkSession, spec: Spec, most_bytes: int) -> Table:
+    """Parses a file in byte ranges on the executors, which must see its path; the rows stay cached there.
+
+    The limit on bytes is checked before any record is parsed, by the number of records, and again when all are.
+    """
     try:
-        raw = path.read_bytes()
+        size = spec.path.stat().st_size
+        with open(spec.path, "rb"):
+            pass
     except OSError as e:
-        raise EngineError("IO", f"cannot read {path}: {e.strerror}") from None
-    columns = csvfile.table(raw, path.name, names, kinds, nullable)
-    rows = len(columns[0])
-    arrays = [pa.array(c, _ARROW[k]) for c, k in zip(columns, kinds, strict=True)]
-    t = pa.table([*arrays, pa.array(range(rows), pa.int64())], names=[*names, ROW_NUMBER])
-    frame = spark.createDataFrame(t)
-    return Table(list(zip(names, kinds, strict=True)), Source(frame, names, True), rows, max(1, t.nbytes))
+        raise EngineError("IO", f"cannot read {spec.path}: {e.strerror}") from None
+    file, row_bytes = str(spec.path.absolute()), 8 + sum(CELL_BYTES[k] for k in spec.kinds)
+    ranges = [(start, min(start + RANGE, size)) for start in range(0, max(size, 1), RANGE)]
+    begins = [(0, False)]  # of each range: records that begin before it, and whether a quote is open before its first byte
+    if len(ranges) > 1:
+        begins += _begins(spark, file, ranges)
+        if begins[-1][0] * row_bytes > most_bytes:
+            raise EngineError("RESOURCE", f"table {spec.name} exceeds the memory limit")
+    names, kinds, nullable = spec.names, spec.kinds, spec.nullable
+    arrow = [*(_ARROW[k] for k in kinds), pa.int64(), pa.string()]
+    columns = [*names, ROW_NUMBER, _WRONG]
+
+    def parse(batches):
+        for b in batches:
+            for start, stop, before, quoted in zip(*(b[c].to_pylist() for c in ("start", "stop", "before", "quoted")), strict=True):
+                lead = min(start, 1)  # the byte before tells whether a record begins right here
+                with open(file, "rb") as f:
+                    f.seek(start - lead)
+                    raw = f.read(stop - start + lead + csvfile.MOST_RECORD + 2)
+                end = stop - start + lead
+                at = csvfile.first_record(raw, 0, end - 1, quoted) if start else 0
+                if at is None:
+                    continue
+                cells, wrong = csvfile.parsed(raw, names, kinds, nullable, at, before, end)
+                n, header = len(cells[0]), int(before == 0)
+                rows = pa.array(range(before + header - 1, before + header - 1 + n), pa.int64())
+                for i in range(0, n, 65536):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[i : i + 65536], t) for c, t in zip(cells, arrow, strict=False)), rows.slice(i, 65536), pa.nulls(min(65536, n - i), pa.string())], columns)
+                if wrong:
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in arrow[:-2]), pa.array([start]), pa.array([json.dumps(wrong)])], columns)
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*(T.StructField(n, k.spark) for n, k in zip(names, kinds, strict=True)), T.StructField(ROW_NUMBER, T.LongType()), T.StructField(_WRONG, T.StringType())])
+    work = [(start, stop, before, quoted) for (start, stop), (before, quoted) in zip(ranges, begins, strict=True)]
+    frame = spark.createDataFrame(work, "start long, stop long, before long, quoted boolean").repartition(len(work)).mapInArrow(parse, schema).persist()
+    texts = sum((F.coalesce(F.octet_length(n), F.lit(0)) for n, k in zip(names, kinds, strict=True) if k is Type.STRING), F.lit(0).cast("long"))
+    wrong = F.min(F.when(F.col(_WRONG).isNotNull(), F.struct(ROW_NUMBER, _WRONG)))
+    found = frame.agg(F.count(F.when(F.col(_WRONG).isNull(), 1)).alias("rows"), F.sum(texts).alias("texts"), wrong.alias("wrong")).first()
+    held = max(1, found["rows"] * row_bytes + (found["texts"] or 0))
+    if found["wrong"] or held > most_bytes:
+        frame.unpersist()
+        if found["wrong"]:  # that of the first range that has one
+            raise csvfile.fault(spec.path.name, *json.loads(found["wrong"][_WRONG]))
+        raise EngineError("RESOURCE", f"table {spec.name} exceeds the memory limit")
+    return Table(list(zip(names, kinds, strict=True)), Source(frame, names, True), found["rows"], held, True)
+
+
+def _begins(spark: SparkSession, file: str, ranges: list[tuple[int, int]]) -> list[tuple[int, bool]]:
+    """For each range but the first, from three numbers of each that comes before it."""
+
+    def count(batches):
+        for b in batches:
+            rows = []
+            for start, stop in zip(b["start"].to_pylist(), b["stop"].to_pylist(), strict=True):
+                lead = min(start, 1)
+                with open(file, "rb") as f:
+                    f.seek(start - lead)
+                    rows.append((start, *csvfile.ends(f.read(stop - start + lead - 1))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["start", "quotes", "free", "other"])
+
+    df = spark.createDataFrame(ranges, "start long, stop long").repartition(len(ranges)).mapInArrow(count, "start long, quotes long, free long, other long")
+    out, records, quoted = [], 1, False
+    for r in sorted(df.collect())[:-1]:  # one row for each 8 MB of the file
+        records += r["other"] if quoted else r["free"]
+        quoted ^= bool(r["quotes"] % 2)
+        out.append((records, quoted))
+    return out
 
 
 def registered(df: DataFrame) -> Table:

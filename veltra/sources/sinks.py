@@ -24,8 +24,7 @@ def result_dict(r: Result) -> dict:
         "current_accounted_bytes": r.accounted_bytes,
         "scanned_rows": r.scanned_rows,
         "filtered_rows": r.filtered_rows,
-        "input_batches": -(-r.scanned_rows // r.plan.options.batch_size),
-        "operators": [{**o, **({"elapsed_ns": r.execution_ns, "timing_scope": "the whole execution"} if profile else {})} for o in r.operators],
+        "operators": r.operators,
         "rule_applications": r.plan.applied,
         "join": {"build_side": r.plan.build_side, "reason": r.plan.reason},
         "engine": r.plan.options.engine,
