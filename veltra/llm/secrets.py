@@ -12,12 +12,15 @@ look at the longest runs of their characters in a candidate, so that ``key_`` be
 is allowed by itself counts as words or digits. Spans of different classes may overlap.
 
 Offsets count code points, end exclusive. Positions come from the texts between matches, so no match is looked
-up again. Edge cases: a null text counts as empty and has no spans; rows with equal or null ids are scanned one
+up again. All steps take time in proportion to the text, and no pattern repeats a group, which Java's matcher would
+follow on its stack (patterns given as ``allowed`` should not either), so a text may have any length. Edge cases: a null text counts as empty and has no spans; rows with equal or null ids are scanned one
 by one; other columns pass through ``scan``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,67 +49,121 @@ RUNS = (
 #: Whole candidates that are no secrets: UUIDs, words with separators, digits, paths, rulers.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"[A-Za-z]+([+/_=-]+[A-Za-z]+)*[+/_=-]*",
+    r"[A-Za-z][A-Za-z+/_=-]*",
     r"[0-9+/_=-]+",
-    r"[/]?([a-z0-9_-]+/)+[a-z0-9_-]*",
+    r"(?!.*//)(?=.*[a-z0-9_-]/)[a-z0-9_/-]+",
     r"[A-Z]?[a-z]+[0-9]{0,4}",
 )
 
+BLOCK = 512  # values that one fold gathers: a fold that appends copies its array each time
+SEGMENT = 1024  # windows that one pass slides over
+CHUNK = 4096  # code points of a text cut for redaction
+
+
+# ---------------------------------------------------------------- array functions in linear time
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also inside of other lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, combine, zero: int = 0) -> Column:
+    """For each number of an array what ``combine`` makes of all before it, beginning with ``zero``: folds of blocks,
+    begun with what a fold over the blocks' totals gives."""
+    start = F.lit(zero).cast("bigint")
+    state = lambda at: F.struct(at.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    gather = lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    fold = lambda part, at: F.aggregate(part, state(at), gather, lambda acc: acc["out"])
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / BLOCK).cast("int")), lambda i: F.slice(v, i * BLOCK + 1, F.lit(BLOCK)))
+    totals = lambda blocks: F.transform(blocks, lambda part: F.aggregate(part, start, combine))
+    return let(cut(values), lambda blocks: F.flatten(F.zip_with(blocks, fold(totals(blocks), start), fold)))
+
 
 def matches(text: Column, pattern: str) -> Column:
     """An array of (start, end, found) for the leftmost non-overlapping matches of a pattern that is never empty."""
-    gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # spans follow from the lengths of what stands between; the fold keeps the last end
-    zipped = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    start = F.array().cast("array<struct<start:bigint,end:bigint,found:string>>")
+    number = lambda c: F.length(c).cast("bigint")
 
-    def add(acc, x):
-        s = acc["at"] + x["gap"]
-        e = s + F.length(x["m"])
-        return F.struct(e.cast("bigint").alias("at"), F.concat(acc["out"], F.array(F.struct(s.cast("bigint").alias("start"), e.cast("bigint").alias("end"), x["m"].alias("found")))).alias("out"))
+    def placed(both: Column) -> Column:
+        """Spans follow from the lengths of the matches and of what stands between them."""
+        gaps, hits = both["gaps"], both["found"]
+        before = running(F.zip_with(gaps, hits, lambda g, m: number(g) + number(m)), lambda x, y: x + y)
+        starts = F.zip_with(before, gaps, lambda at, g: at + number(g))
+        return F.zip_with(starts, hits, lambda at, m: F.struct(at.alias("start"), (at + number(m)).alias("end"), m.alias("found")))
 
-    folded = F.aggregate(zipped, F.struct(F.lit(0).cast("bigint").alias("at"), start.alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(start)
+    gaps = lambda hits: F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+    spans = let(found, lambda hits: let(F.struct(gaps(hits).alias("gaps"), hits.alias("found")), placed))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,found:string>>"))
 
 
 def _spans(found: Column, kind: str, rank: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def _n_log_n(n: Column) -> Column:
-    return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+# ---------------------------------------------------------------- entropy
 
 
 def entropy_runs(s: Column, alphabet: str, window: int, bits: float) -> Column:
-    """Spans of ``s`` covered by windows whose entropy reaches ``bits``: an array of (from, to).
+    """Spans of ``s``, a string of characters of ``alphabet``, covered by windows whose entropy reaches ``bits``: an
+    array of (from, to).
 
-    One pass: character i enters, character i - window leaves, and the sum of n log2 n over the class's counts
-    changes by their four terms. Windows with a character outside the class count as no window.
+    The counts of a window's characters are packed into a few 64-bit numbers. As the window slides, the character
+    that enters adds one to its count, the one that leaves takes one away, and the sum of n log2 n changes by what
+    these two counts say. Long strings are slid over in segments of windows; runs that touch are put together.
     """
-    size = len(alphabet)
-    code = lambda i: F.instr(F.lit(alphabet), F.substring(s, i, F.lit(1)))  # noqa: E731  1-based; 0: outside
+    width = window.bit_length()  # bits of a count
+    per = 62 // width
+    n_cells = -(-len(alphabet) // per)
+    rows = [F.struct(F.lit(j // per).alias("cell"), F.lit(j % per * width).alias("shift"), F.lit(1 << (j % per * width)).cast("bigint").alias("one")) for j in range(len(alphabet))]
+    place = F.array(*rows)
+    log = lambda n: n * math.log2(n) if n else 0.0
+    gain = F.array(*[F.lit(log(n + 1) - log(n)) for n in range(window + 1)])  # by which the sum grows with a count of n
+    most = F.lit(window * (math.log2(window) - bits) + 1e-7)
     none = F.array().cast("array<struct<from:int,to:int>>")
-    # the counts, and one cell before them for characters outside the class
-    zero = F.struct(F.array_repeat(F.lit(0), size + 1).alias("n"), F.lit(0.0).alias("sum"), none.alias("out"))
-
-    def step(acc, i):
-        into, out = code(i), F.when(i > window, code(i - window)).otherwise(F.lit(-1))
-        had = F.element_at(acc["n"], into + 1)
-        n1 = F.transform(acc["n"], lambda c, j: F.when(j == into, c + 1).otherwise(c))
-        gone = F.when(out >= 0, F.element_at(n1, F.greatest(out, F.lit(0)) + 1)).otherwise(F.lit(0))
-        n2 = F.when(out >= 0, F.transform(n1, lambda c, j: F.when(j == out, c - 1).otherwise(c))).otherwise(n1)
-        total = acc["sum"] + _n_log_n(had + 1) - _n_log_n(had) + F.when(out >= 0, _n_log_n(gone - 1) - _n_log_n(gone)).otherwise(F.lit(0.0))
-        full = (i >= window) & (F.element_at(n2, 1) == 0) & (F.log2(F.lit(float(window))) - total / window >= bits - 1e-9)
-        last = F.element_at(acc["out"], -1)
-        grown = (
-            F.when(~full, acc["out"])
-            .when((F.size(acc["out"]) > 0) & (F.try_element_at(acc["out"], F.lit(-1))["to"] >= i - window), F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.struct(F.try_element_at(acc["out"], F.lit(-1))["from"].alias("from"), i.alias("to")))))
-            .otherwise(F.concat(acc["out"], F.array(F.struct((i - window).alias("from"), i.alias("to")))))
-        )
-        return F.struct(n2.alias("n"), total.alias("sum"), grown.alias("out"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, step, lambda acc: acc["out"])
+    minus = F.lit(-1)
+    run = lambda a, b: F.struct(a.cast("int").alias("from"), b.cast("int").alias("to"))
+    cells = [f"c{j}" for j in range(n_cells)]
+
+    def slide(codes: Column) -> Column:
+        """The runs of a segment: ``codes`` has the place of each character's count."""
+        zero = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in cells], F.lit(0.0).alias("sum"), minus.alias("from"), minus.alias("to"), none.alias("out"))
+
+        def count(acc: Column, at: Column) -> Column:
+            held = F.coalesce(*[F.when(at["cell"] == j, acc[c]) for j, c in enumerate(cells)])
+            return F.call_function("shiftright", held, at["shift"]).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+
+        def step(acc: Column, i: Column) -> Column:
+            into, out = F.get(codes, i - 1), F.get(codes, i - 1 - window)
+            # the state is that of the window before: i - 1 characters have entered
+            full = (i > window) & (acc["sum"] <= most)
+            begin = i - 1 - window
+            apart = full & (acc["to"] >= 0) & (acc["to"] < begin)
+            change = F.when(out.isNull(), F.element_at(gain, count(acc, into) + 1)).when((into["cell"] == out["cell"]) & (into["shift"] == out["shift"]), F.lit(0.0)).otherwise(F.element_at(gain, count(acc, into) + 1) - F.element_at(gain, count(acc, out)))
+            moved = [(acc[c] + F.when(into["cell"] == j, into["one"]).otherwise(F.lit(0)) - F.when(out["cell"] == j, out["one"]).otherwise(F.lit(0))).alias(c) for j, c in enumerate(cells)]
+            return F.struct(
+                *moved,
+                (acc["sum"] + F.coalesce(change, F.lit(0.0))).alias("sum"),
+                F.when(full & ((acc["to"] < 0) | (acc["to"] < begin)), begin).otherwise(acc["from"]).alias("from"),
+                F.when(full, i - 1).otherwise(acc["to"]).alias("to"),
+                F.when(apart, F.concat(acc["out"], F.array(run(acc["from"], acc["to"])))).otherwise(acc["out"]).alias("out"),
+            )
+
+        last = lambda acc: F.when(acc["to"] >= 0, F.concat(acc["out"], F.array(run(acc["from"], acc["to"])))).otherwise(acc["out"])
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes) + 1), zero, step, last)
+
+    def joined(runs: Column) -> Column:
+        """Runs that touch as one: where a run starts that no earlier one reaches, and where one ends before the next."""
+        starts = F.filter(runs, lambda r, i: (i == 0) | (r["from"] > F.get(runs, i - 1)["to"]))
+        ends = F.filter(runs, lambda r, i: (i == F.size(runs) - 1) | (F.get(runs, i + 1)["from"] > r["to"]))
+        return F.zip_with(starts, ends, lambda a, b: run(a["from"], b["to"]))
+
+    def segments(codes: Column) -> Column:
+        each = lambda q: F.transform(slide(F.slice(codes, q * SEGMENT + 1, F.lit(SEGMENT + window - 1))), lambda r: run(r["from"] + q * SEGMENT, r["to"] + q * SEGMENT))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(codes) - window) / SEGMENT).cast("int")), each))
+
+    codes = F.transform(F.split(s, "", -1), lambda c: F.element_at(place, F.instr(F.lit(alphabet), c)))
+    return F.when(F.length(s) >= window, let(let(codes, segments), joined)).otherwise(none)
 
 
 def entropy_spans(text: Column, allowed: tuple[str, ...] = ALLOWED, allowed_strings: tuple[str, ...] = (), window: int = WINDOW, hex_bits: float = HEX_BITS, text_bits: float = TEXT_BITS, one_case_bits: float = ONE_CASE_BITS, base62_bits: float = BASE62_BITS) -> Column:
@@ -151,14 +208,25 @@ def secret_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
 
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
-    """``docs`` with every secret span of the text replaced by ``mark``; overlapping spans become one. A null text stays null."""
+    """``docs`` with every secret span of the text replaced by ``mark``; overlapping spans become one. A null text stays null.
+
+    What stays is cut from chunks of the text, so that a piece costs its own length and not that of the text before it.
+    """
     d = scan(docs, text, "__secrets", **options)
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     t = F.col(text)
 
-    def cut(acc, x):
-        kept = F.substring(t, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], kept, F.when(x["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit(""))).alias("out"))
+    def cleared(x: Column) -> Column:
+        spans, chunks = x["spans"], x["chunks"]
+
+        def piece(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
+            near = F.array_join(F.slice(chunks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+            return F.when(b > a, F.substring(near, (a % CHUNK + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
+
+        before = running(F.transform(spans, lambda r: r["end"]), lambda p, q: F.greatest(p, q))  # the furthest end before each span
+        kept = F.filter(F.zip_with(before, spans, lambda p, r: F.struct(p.alias("from"), r["start"].alias("to"))), lambda k: k["to"] >= k["from"])
+        tail = piece(F.array_max(F.transform(spans, lambda r: r["end"])), F.length(t).cast("bigint"))
+        return F.array_join(F.concat(F.transform(kept, lambda k: piece(k["from"], k["to"])), F.array(tail)), mark)
 
-    done = F.aggregate("__secrets", zero, cut, lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
-    return d.withColumn(text, F.when(F.size("__secrets") > 0, done).otherwise(t)).drop("__secrets")
+    parts = F.struct(F.col("__secrets").alias("spans"), F.regexp_extract_all(t, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks"))
+    return d.withColumn(text, F.when(F.size("__secrets") > 0, let(parts, cleared)).otherwise(t)).drop("__secrets")
