@@ -6,8 +6,8 @@ other tokens are clean. The chain has two labels, hashed features of the word (f
 logistic function of its largest marginals and its expected number of toxic tokens; tokens at or over one half are
 the offending offsets.
 
-The fit uses at most ``most_rows`` labelled documents of each class outside fold 2 of crc32(doc_id) mod 4; labels,
-language, source and id are no inputs of a score. All documents are scored over their whole text.
+The fit uses at most ``most_rows`` labelled documents of each class, and ``most_bytes`` of text, outside fold 2 of
+crc32(doc_id) mod 4; labels, language, source and id are no inputs of a score. All documents are scored over their whole text.
 
 Tokens are cut at ASCII white space and at every inner character that is no letter, mark, digit, format character or
 apostrophe in Unicode. A form longer than 15 characters may be text without spaces: each of its characters may begin a
@@ -33,6 +33,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veltra.llm.common import release, slices, tidy
@@ -348,25 +349,31 @@ def document_features(words: list[list[bytes]], known: WordScores, model: Model)
         x[some, 0] = np.maximum.reduceat(p, start)
         x[some, 1] = np.log1p(total)
         x[some, 2] = np.log1p(100 * total / sizes[some])
-        for i in np.flatnonzero((x[:, 0] > 0.1) & (sizes > 2)).tolist():
+        for i in np.flatnonzero(sizes > 2).tolist():
             own = p[first[i] : first[i] + sizes[i]]
-            x[i, 3:] = np.sort(np.partition(own, len(own) - 3)[-3:-1])[::-1]
+            x[i, 3:] = np.partition(own, (len(own) - 3, len(own) - 2))[-2:-4:-1]
     return x, p, sizes
 
 
-def fitted(docs: DataFrame, labels: DataFrame, most_rows: int = 1500) -> Model | None:
-    """Fits on at most ``most_rows`` documents of each class, chosen by a hash of their ids, outside fold 2."""
+def fitted(docs: DataFrame, labels: DataFrame, most_rows: int = 1500, most_bytes: int = 1 << 25) -> Model | None:
+    """Fits on at most ``most_rows`` documents of each class, chosen by a hash of their ids, outside fold 2.
+
+    ``most_bytes`` bounds the text of the sample on the driver: of each class, whole documents in that order up to half of it.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not rows.get(0) or not rows.get(1):
         return None
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for y in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most twice most_rows
-    sample = docs.select("doc_id", "text").join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * most_rows).collect()
-    y = np.array([r["toxic"] for r in sample], np.int64)
+    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
+    sample = sample.withColumn("held", F.sum(F.octet_length("text")).over(order)).withColumn("k", F.row_number().over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    sample = sample.where((F.col("held") <= most_bytes // 2) & (F.col("k") <= most_rows)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic").toArrow()
+    y = sample["toxic"].to_numpy().astype(np.int64)
     if not len(y) or y.min() == y.max():
         return None
-    texts = [r["text"] or "" for r in sample]
+    texts = sample["text"].to_pylist()
     del sample
     try:
         return fit(texts, y, (rows[0] / max(1, (y == 0).sum()), rows[1] / max(1, (y == 1).sum())))
@@ -385,7 +392,7 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> Data
         own = sent.value
         known, pieces = WordScores(own) if own else None, Pieces()
         token = re.compile(r"[^\x20\x09-\x0D]+").finditer
-        for b in slices(batches, 1024):
+        for b in slices(batches, 4096, 1 << 23):
             texts = [t or "" for t in b["text"].to_pylist()]
             s, spans = np.zeros(len(texts)), [""] * len(texts)
             if own:
