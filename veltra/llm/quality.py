@@ -5,8 +5,8 @@ counted: one over every document, one over trusted documents (those that labels
 the mean over its n-grams of ``log p(trusted) - log p(raw)``; a document is kept if no base rule fails and its
 score reaches a fixed threshold.
 
-The trusted multinomial is fitted on at most ``most_trusted`` labelled rows, chosen by a hash of their ids; the
-raw one counts every document, and every document is scored over its whole text.
+Both multinomials count whole texts of all their documents: every document of the corpus, and every one that a label
+calls good, which a merge join with the labels finds.
 
 Edge cases: null and empty texts have no words and fail the base rules; a document without n-grams scores 0;
 without trusted documents every score is 0; repeated ids are documents of their own; other columns are ignored.
@@ -28,7 +28,6 @@ SPACE = b" \t\n\x0b\x0c\r"
 BUCKETS = 1 << 16
 SMOOTHING = 20.0
 THRESHOLD = -0.15
-MOST_TRUSTED = 20_000
 
 
 def buckets(words: np.ndarray, n_buckets: int = BUCKETS) -> np.ndarray:
@@ -58,10 +57,11 @@ def dup_lines(raw: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, smoothing: float = SMOOTHING, most_trusted: int = MOST_TRUSTED) -> np.ndarray:
+def ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:
     """For each bucket log p(trusted) - log p(raw). Counts are added up in tasks, then by bucket."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_trusted)
-    rows = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("trusted", F.lit(True))), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long")).distinct()
+    raw_texts = docs.select("text", F.lit(False).alias("trusted"))
+    trusted_texts = docs.select(F.col("doc_id").cast("long"), "text").hint("merge").join(good.hint("merge"), "doc_id", "left_semi").select("text", F.lit(True).alias("trusted"))
 
     def count(batches):
         total = np.zeros((2, n_buckets), np.int64)
@@ -74,13 +74,14 @@ def ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, smoothi
                 if held[y]:
                     total[y] += np.bincount(np.concatenate(held[y]), minlength=n_buckets)
         used = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["bucket", "other", "trusted"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["bucket", "raw", "trusted"])
 
-    found = rows.mapInArrow(tidy(count), "bucket long, other long, trusted long").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("trusted").alias("trusted")).toArrow()  # a row for each bucket at most
+    rows = raw_texts.unionByName(trusted_texts)
+    found = rows.mapInArrow(tidy(count), "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow()  # a row for each bucket at most
     trusted, raw = np.zeros(n_buckets), np.zeros(n_buckets)
     at = found["bucket"].to_numpy()
     trusted[at] = found["trusted"].to_numpy()
-    raw[at] = found["trusted"].to_numpy() + found["other"].to_numpy()
+    raw[at] = found["raw"].to_numpy()
     if not trusted.sum():
         return np.zeros(n_buckets)
     # the trusted corpus is smaller: smoothing in proportion, so that a bucket both lack gives no score
@@ -90,9 +91,9 @@ def ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, smoothi
     return np.log(p) - np.log(q)
 
 
-def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_buckets: int = BUCKETS, most_trusted: int = MOST_TRUSTED) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and score of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(ratios(docs, labels, n_buckets, most_trusted=most_trusted))
+    sent = docs.sparkSession.sparkContext.broadcast(ratios(docs, labels, n_buckets))
 
     def judge(batches):
         ratio = sent.value
