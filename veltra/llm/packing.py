@@ -2,10 +2,11 @@
 
 Documents become ids with an end id; longer ones than a sequence are cut into full pieces, the first of which
 holds the rest. What is left to solve depends only on how many pieces of each length there are: a histogram of at
-most ``capacity`` rows, whatever the corpus. The solver takes the largest length, enumerates undominated fillings
+most ``capacity`` rows, whatever the corpus. The solver takes the largest length, enumerates all undominated fillings
 of the space beside it, tries the fullest first, prunes by the waste that a better packing may still have, and
-keeps best-fit decreasing and every better packing as incumbent. A solution is a list of patterns, each with a
-number of sequences; pieces find their place by their rank among the pieces of their length.
+keeps best-fit decreasing and every better packing as incumbent. It ends at the lower bound, when all is tried, or after
+``nodes`` nodes. A solution is a list of patterns, each with a number of sequences; pieces find their place by their
+rank among the pieces of their length.
 
 Edge cases: a null or empty text is one piece that holds only the end id; rows with equal or null ids are packed
 each for itself; an empty table gives no rows; other columns are ignored.
@@ -14,6 +15,9 @@ each for itself; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -71,124 +75,104 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return [(tuple(p), q) for group in open_.values() for p, q in group]
 
 
-def fillings(counts: np.ndarray, room: int, width: int = 12, most: int = 96) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, the fullest first; of as full ones, those with the larger pieces.
+def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room``, the fullest first; of as full ones, those with the larger pieces.
 
-    The last piece of a filling is always the largest that still fits: with a smaller one it would be dominated.
-    Fillings of one, two and three pieces over the ``most`` largest first pieces, then greedily deeper.
+    A filling is dominated if one of its pieces, or nothing, could give way to a larger piece that is left and still fits.
+    Sums that pieces can make are known beforehand, one bit each, so every step taken ends in a filling. Fillings come
+    one by one, as many as the caller asks for.
     """
-    if room <= 0:
-        return [()]
-    have = np.flatnonzero(counts[: room + 1])
-    if not len(have):
-        return [()]
-    top = np.zeros(room + 1, np.int64)
-    top[have] = have
-    top = np.maximum.accumulate(top)  # the largest piece of at most that length; 0: none
-    found: dict[tuple[int, ...], int] = {(int(have[-1]),): int(have[-1])}
-
-    def fits(f: tuple[int, ...]) -> bool:
-        return all(counts[x] >= f.count(x) for x in set(f))
-
-    def offer(f: tuple[int, ...]) -> None:
-        f = tuple(sorted((x for x in f if x), reverse=True))
-        if fits(f):
-            found[f] = sum(f)
-
-    first = have[::-1]
-    second = top[np.minimum(room - first, first)]
-    total = first + second
-    for i in np.argsort(-total, kind="stable")[:most].tolist():
-        offer((int(first[i]), int(second[i])))
-    if max(found.values()) < room:
-        for a in first[:: max(1, len(first) // most)][:most].tolist():
-            b = have[have <= min(a, room - a)][::-1]
-            if len(b):
-                c = top[np.minimum(room - a - b, b)]
-                for j in np.argsort(-(b + c), kind="stable")[:3].tolist():
-                    offer((a, int(b[j]), int(c[j])))
-        for a in first[:most].tolist():  # deeper, greedily
-            f, left, held = [a], room - a, counts.copy()
-            held[a] -= 1
-            while left > 0 and (x := next((int(v) for v in have[: np.searchsorted(have, left, "right")][::-1] if held[v] > 0), 0)):
-                f.append(x)
-                held[x] -= 1
-                left -= x
-            offer(tuple(f))
-    full = sorted(found, key=lambda f: (-found[f], len(f), [-x for x in f]))
-    kept: list[tuple[int, ...]] = []
-    for f in full:  # a filling within another's places is dominated
-        if not any(len(f) <= len(g) and all(x <= y for x, y in zip(f, g, strict=False)) for g in kept):
-            kept.append(f)
-        if len(kept) >= width:
-            break
-    return kept
+    sizes = np.flatnonzero(counts[: room + 1]).tolist() if room > 0 else []
+    many = [min(int(counts[x]), room // x) for x in sizes]
+    mask = (1 << (room + 1)) - 1
+    reach = [1]  # sums of pieces of the first sizes: of none, of the least, ...
+    for x, n in zip(sizes, many, strict=True):
+        bits, step = reach[-1], 1
+        while n:
+            k = min(step, n)
+            bits |= bits << (x * k) & mask
+            n, step = n - k, step * 2
+        reach.append(bits)
+
+    def exact(i: int, total: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of the first ``i`` sizes with that sum."""
+        if not total:
+            yield ()
+            return
+        for j in range(bisect_right(sizes, total, 0, i) - 1, -1, -1):
+            x = sizes[j]
+            for k in range(min(many[j], total // x), 0, -1):
+                if reach[j] >> (total - k * x) & 1:
+                    for rest in exact(j, total - k * x):
+                        yield (x,) * k + rest
+
+    def dominated(f: tuple[int, ...], slack: int) -> bool:
+        for y in (0, *set(f)):  # the sizes over y that fit in its place
+            for x in sizes[bisect_right(sizes, y) : bisect_right(sizes, y + slack)]:
+                if counts[x] > f.count(x):
+                    return True
+        return False
+
+    for total in range(room, -1, -1):
+        if reach[-1] >> total & 1:
+            for f in exact(len(sizes), total):
+                if total == room or not dominated(f, room - total):
+                    yield f
 
 
 def pack(counts: np.ndarray, capacity: int, nodes: int = 20_000) -> list[Pattern]:
-    """Patterns that use up the histogram; optimal if they meet the lower bound, else the best within ``nodes``."""
+    """Patterns that use up the histogram; optimal if they meet the lower bound or the search ends, else the best of ``nodes``.
+
+    A node takes the largest length left and one filling of the room beside it, for as many sequences as the pieces
+    make; it is pruned when the waste so far leaves no packing better than the incumbent.
+    """
     counts = counts.astype(np.int64)
     total = int((counts * np.arange(len(counts))).sum())
     least = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     bins = sum(q for _, q in best)
-    if bins <= least:
-        return best
-    left, path, used, waste = counts.copy(), [], 0, 0
-    stack: list[list] = []  # choices left at each depth
-    spent = 0
+    left, path, used, waste, spent = counts.copy(), [], 0, 0, 0
+    tried: list[int] = []  # fillings that each depth has taken
     down = True
-    while True:
+    while bins > least and spent < nodes:
         if down:
-            spent += 1
-            largest = int(np.flatnonzero(left)[-1]) if left.any() else 0
-            if not largest:
+            if not left.any():
                 if used < bins:
                     best, bins = list(path), used
-                    if bins <= least:
-                        return best
-                down = False
-            elif waste > (bins - 1) * capacity - total or spent > nodes + len(counts) * 4:
                 down = False
-            else:
-                left[largest] -= 1
-                choices = fillings(left, capacity - largest, width=12 if len(stack) < 4000 else 1)
-                left[largest] += 1
-                stack.append([largest, choices[::-1], None])
-        if not down or stack and not stack[-1][1] and stack[-1][2] is None:
-            down = False
-        if not stack:
-            return best
-        at = stack[-1]
-        if at[2] is not None:  # take the last choice back
-            items, q = at[2]
+                continue
+            tried.append(0)
+        elif tried:
+            items, q = path.pop()
             for x in items:
                 left[x] += q
-            path.pop()
-            used -= q
-            waste -= q * (capacity - sum(items))
-            at[2] = None
-        if not at[1] or spent > nodes:
-            stack.pop()
+            used, waste = used - q, waste - q * (capacity - sum(items))
+        else:
+            break  # every filling of every node was tried
+        spent += 1
+        largest = int(np.flatnonzero(left)[-1])
+        left[largest] -= 1
+        filling = next(islice(fillings(left, capacity - largest), tried[-1], None), None)
+        left[largest] += 1
+        tried[-1] += 1
+        if filling is None:
+            tried.pop()
             down = False
-            if spent > nodes and not stack:
-                return best
             continue
-        items = (at[0], *at[1].pop())
+        items = (largest, *filling)
         q = min(int(left[x]) // items.count(x) for x in set(items))
-        if q > 1 and capacity - sum(items) > 0 and len(items) > 1:
-            q = max(1, q // 2)
-        lost = q * (capacity - sum(items))
-        if waste + lost > (bins - 1) * capacity - total:
+        lost = capacity - sum(items)
+        if lost and q > 1 and len(items) > 1:
+            q //= 2  # what wastes room may be better mixed with others
+        if waste + q * lost > (bins - 1) * capacity - total:  # the next fillings waste more
+            tried.pop()
             down = False
             continue
         for x in items:
             left[x] -= q
-        at[2] = (items, q)
         path.append((items, q))
-        used += q
-        waste += lost
-        down = True
+        used, waste, down = used + q, waste + q * lost, True
+    return best
 
 
 # ---------------------------------------------------------------- tables
