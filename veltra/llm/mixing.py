@@ -1,10 +1,14 @@
 """Mixing sources to target weights.
 
 Texts are cut into words and the words of each source, in doc_id order, into blocks of fixed length. A mix is a
-sequence of output shards of block slots. Each shard draws its source counts from a multinomial over the target
-shares; the draws are conditioned on the sources' totals, so that every total is exact to a block. A slot's rank
-among its source's slots passes through that source's pseudorandom permutation (a new one for every epoch), and
-the permuted index joins the block to take.
+sequence of output shards of block slots. Each shard draws from a multinomial over the target shares how many slots
+each source gets in it; the draws are conditioned on the sources' totals, so that every total is exact to a block, and
+made in two levels: source by source over groups of shards, then over the shards of a group. A source's counts, shard
+after shard, are the ranks of its slots: a rank passes through that source's pseudorandom permutation (a new one for
+every epoch), and the permuted index joins the block to take. Within a shard the slots stand in a pseudorandom order.
+
+The driver holds a row for each source and, for drawing, one count for each source and group of shards (65,536 groups at
+most); windows over all sources run in one task. Nothing there grows with the documents.
 
 Edge cases: a null or empty text has size 0, is never taken and belongs to no block; null sources form one source,
 last in order; rows with equal or null ids are separate documents; an empty table gives an empty result; other
@@ -13,11 +17,15 @@ columns pass through ``mixed_documents`` and are ignored by ``mix_documents``.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veltra.llm.common import WORD, staged
+from veltra.llm.common import WORD, staged, tidy
 
 #: Prime multipliers of the permutations; a source uses the first from its place that does not divide its block count.
 PRIMES = (1_000_003, 1_000_033, 1_000_037, 1_000_039, 1_000_081, 1_000_099, 1_000_117, 1_000_121)
@@ -84,34 +92,60 @@ def planned(targets: DataFrame, block: int) -> DataFrame:
     return t.withColumn("all_slots", F.sum("slots").over(W.partitionBy()))
 
 
-def slots(plan: DataFrame, shard: int, seed: int) -> DataFrame:
-    """Every slot of the mix: shard, place, source, rank within its source, epoch and index of its block.
+def _rng(seed: int, *key) -> np.random.Generator:
+    """A generator of its own for each key."""
+    return np.random.Generator(np.random.Philox(key=int.from_bytes(hashlib.sha256(repr((seed, *key)).encode()).digest()[:16], "little")))
+
 
-    Each source's slots get uniform places over the mix. For a shard, how many of them fall into it is then a
-    multinomial draw over the target shares, given the totals.
+def draws(plan: DataFrame, shard: int, seed: int) -> DataFrame:
+    """How many slots each source gets in each shard, and the first of their ranks: source, blocks, shard, first, n.
+
+    Given the sources' totals, a source's slots fall on the shards independently and alike: its counts are multinomial
+    over the shards, and a shard's counts over the sources follow the target shares.
     """
-    per = 4096  # slots that one row of the generator expands to
-    runs = plan.where("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / per))))
-    s = runs.repartition(F.col("source"), F.col("run"))
-    s = s.withColumn("rank", F.explode(F.sequence(F.col("run") * per, F.least(F.col("run") * per + per, F.col("slots")) - 1)))
+    spark = plan.sparkSession
+    rows = plan.where("slots > 0").select("source", "blocks", "slots").collect()  # a row for each source
+    sources = sorted(((r["source"], r["blocks"], r["slots"]) for r in rows), key=lambda r: (r[0] is None, r[0] or ""))
+    shards = max(1, -(-sum(n for _, _, n in sources) // shard))
+    per = max(64, -(-shards // 65_536))  # shards in a group
+    first = np.arange(0, shards, per)
+    size = np.minimum(shards - first, per)
+    counts = np.array([_rng(seed, name).multinomial(n, size / shards) for name, _, n in sources], np.int64).reshape(len(sources), len(first))
+    before = np.cumsum(counts, 1) - counts
+    groups = pa.table({"shard": first, "size": size, "counts": pa.array(counts.T.tolist(), pa.list_(pa.int64())), "before": pa.array(before.T.tolist(), pa.list_(pa.int64()))})
+
+    def draw(batches):
+        for b in batches:
+            for lead, n, counts, before in zip(*(b[c].to_pylist() for c in ("shard", "size", "counts", "before")), strict=True):
+                for (name, blocks, _), total, at in zip(sources, counts, before, strict=True):
+                    own = _rng(seed, name, lead).multinomial(total, np.full(n, 1 / n)).astype(np.int64)
+                    some = np.flatnonzero(own)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array([blocks] * len(some), pa.int64()), pa.array(lead + some), pa.array(at + (np.cumsum(own) - own)[some]), pa.array(own[some])], ["source", "blocks", "shard", "first", "n"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = spark.createDataFrame(groups).repartition(min(n, len(first)))
+    return dealt.mapInArrow(tidy(draw), "source string, blocks long, shard long, first long, n long").repartition(n, "shard")
+
+
+def slots(drawn: DataFrame, seed: int) -> DataFrame:
+    """Every slot of the mix: shard, place (by which a shard's slots are ordered), source, rank, epoch and index of its block."""
+    s = drawn.withColumn("rank", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("all_slots") / F.lit(shard)))
-    s = s.withColumn("shard", F.pmod(F.xxhash64(key, "rank", F.lit(seed)), shards)).withColumn("place", F.xxhash64(key, "rank", F.lit(seed + 1)))
     epoch, q = F.floor(F.col("rank") / F.col("blocks")).cast("long"), F.col("rank") % F.col("blocks")
     a, shift = _multiplier(F.col("blocks"), epoch, key, seed), F.pmod(F.xxhash64(key, epoch, F.lit(seed + 2)), F.col("blocks"))
     index = ((q.cast("decimal(20,0)") * a + shift) % F.col("blocks")).cast("long")
-    return s.select("source", "shard", "place", "rank", epoch.alias("epoch"), index.alias("index"))
+    return s.select("source", "shard", F.xxhash64(key, "rank", F.lit(seed + 1)).alias("place"), "rank", epoch.alias("epoch"), index.alias("index"))
 
 
 def mix_plan(sizes: DataFrame, block: int = 64, shard: int = 4096, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents (with doc_id, source, size and more) with their place, the sources' plan, and the pieces the mix takes.
 
-    Pieces: doc_id, source, first, size, epoch, from and to (words of the document, end exclusive), one row for
-    each block of a document and time that it is taken.
+    Pieces: doc_id, source, first, size, shard, place, epoch, from and to (words of the document, end exclusive), one
+    row for each block of a document and time that it is taken.
     """
     placed = staged(positions(sizes), "placed")
     plan = staged(planned(source_targets(placed), block), "plan")
-    drawn = slots(plan, shard, seed).select(F.col("source").alias("d_source"), "epoch", F.col("index"), "shard", "place")
+    drawn = slots(draws(plan, shard, seed), seed).select(F.col("source").alias("d_source"), "epoch", F.col("index"), "shard", "place")
     spans = placed.select("doc_id", "source", "size", "first").where("size > 0").withColumn("index", F.explode(F.sequence(F.floor(F.col("first") / block).cast("long"), F.floor((F.col("first") + F.col("size") - 1) / block).cast("long"))))
     lo = F.greatest(F.lit(0).cast("long"), F.col("index") * block - F.col("first"))
     hi = F.least(F.col("size"), (F.col("index") + 1) * block - F.col("first"))
@@ -131,6 +165,22 @@ def mix_documents(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "source")
 
 
+def mixed_blocks(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 17) -> DataFrame:
+    """The mix itself: shard, place (from 0 in each shard), source, words and text of every block, in the drawn order.
+
+    A shard's slots are ordered in one task: about ``shard`` of them.
+    """
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "text")
+    placed, _, pieces = mix_plan(rows, block, shard, seed)
+    d = placed.where("size > 0").select(F.col("source").alias("t_source"), F.col("first").alias("t_first"), "text")
+    both = pieces.hint("merge").join(d.hint("merge"), F.col("source").eqNullSafe(F.col("t_source")) & (F.col("first") == F.col("t_first")))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int"))
+    parts = both.select("shard", "place", "source", F.struct("first", words.alias("words")).alias("part"))
+    blocks = parts.groupBy("shard", "place", "source").agg(F.flatten(F.transform(F.sort_array(F.collect_list("part")), lambda x: x["words"])).alias("all"))
+    order = W.partitionBy("shard").orderBy("place", F.col("source").asc_nulls_last())
+    return blocks.select("shard", (F.row_number().over(order) - 1).alias("place"), "source", F.size("all").alias("words"), F.array_join("all", " ").alias("text"))
+
+
 def mixed_documents(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 17) -> DataFrame:
     """The mix as documents with the columns of ``docs``: one row for each document and epoch that takes words of it.
 
