@@ -1,5 +1,7 @@
 import hashlib
 import io
+import itertools
+import math
 import random
 import re
 import zlib
@@ -92,6 +94,20 @@ def test_solver(seed):
     assert least <= n <= sum(q for _, q in packing.best_fit(counts, 100)) and n <= least * 1.03 + 1
 
 
+def test_fillings_are_all_the_undominated_ones():
+    rng = random.Random(24)
+    for _ in range(150):
+        counts, room = np.zeros(16, int), rng.randint(0, 15)
+        for _ in range(rng.randint(0, 7)):
+            counts[rng.randint(1, 12)] += 1
+        pieces = [x for x in range(16) for _ in range(counts[x])]
+        every = {tuple(sorted(c, reverse=True)) for n in range(len(pieces) + 1) for c in itertools.combinations(pieces, n) if sum(c) <= room}
+        bigger = lambda f: any(y < x <= y + room - sum(f) and counts[x] > f.count(x) for y in (0, *f) for x in range(1, 16))
+        got = list(packing.fillings(counts, room))
+        assert set(got) == {f for f in every if not bigger(f)} and len(got) == len(set(got))
+        assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+
+
 def test_solver_is_optimal_on_small_cases():
     rng = random.Random(3)
     for _ in range(40):
@@ -268,8 +284,8 @@ def brute_substrings(rows, least):
     return sorted(out.values(), key=str)
 
 
-@pytest.mark.parametrize("most", [100_000, 5])
-def test_substrings_match_brute_force(spark, most):
+@pytest.mark.parametrize(("batch", "chunk"), [(1 << 16, 1 << 20), (5, 40)])
+def test_substrings_match_brute_force(spark, batch, chunk):
     rng = random.Random(9)
     common_part, other = words(rng, 40, 10**6), words(rng, 60, 10**6)
     texts = ["ab" * 300, "aaaa" * 200, "x" * 99, None, "", common_part, "\0" * 150, "é漢" * 80]
@@ -280,7 +296,7 @@ def test_substrings_match_brute_force(spark, most):
     rows = list(enumerate(texts)) + [(3, "tie " + common_part), (3, "tie " + common_part), (None, other)]
     rng.shuffle(rows)
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("ord", F.lit(2))
-    got = substrings.deduplicated(d, most_contexts=most).collect()
+    got = substrings.deduplicated(d, batch_contexts=batch, chunk=chunk).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_substrings(rows, 100)
     assert substrings.deduplicated(d.limit(0)).count() == 0
 
@@ -381,10 +397,62 @@ def test_mix(spark, odd):
         took[r["doc_id"]] = took.get(r["doc_id"], 0) + len(r["text"].split())
         assert r["n_chars"] == len(r["text"])
     assert took == {r["doc_id"]: r["taken"] for r in rows if r["taken"]}
+    # the mix as shards: its blocks make up what is taken, and every shard has a draw of its own
+    blocks = mixing.mixed_blocks(d, shard=50).collect()
+    by_shard, by_source = {}, Counter()
+    for r in blocks:
+        assert r["words"] == len(r["text"].split()) and 0 < r["words"] <= 64
+        by_shard.setdefault(r["shard"], []).append(r["place"])
+        by_source[r["source"]] += r["words"]
+    assert all(sorted(p) == list(range(len(p))) for p in by_shard.values()) and len(by_shard) > 3
+    same = {s: sum(r["taken"] for r in mixing.mix_documents(d, shard=50).collect() if r["source"] == s) for s in sizes}
+    assert {s: n for s, n in same.items() if n} == dict(by_source)
+    assert sorted(blocks, key=str) == sorted(mixing.mixed_blocks(d, shard=50).collect(), key=str)
     assert mixing.mix_documents(odd).count() == 11 and mixing.mixed_documents(odd).columns == odd.columns
     assert mixing.mix_documents(odd.limit(0)).count() == 0
 
 
+def test_draws_are_multinomial_given_the_totals(spark):
+    plan = spark.createDataFrame([("a", 70, 9000), ("b", 10, 900), (None, 5, 100), ("none", 0, 0)], "source string, blocks long, slots long")
+    rows = mixing.draws(plan, 50, 3).collect()
+    n_shards = 200
+    for name, total in (("a", 9000), ("b", 900), (None, 100)):
+        mine = sorted((r["shard"], r["first"], r["n"]) for r in rows if r["source"] == name)
+        at = 0
+        for _, first, n in mine:  # ranks follow the counts, shard after shard, without a gap
+            assert first == at
+            at += n
+        assert at == total and mine[-1][0] < n_shards
+        counts = np.zeros(n_shards)
+        counts[[s for s, _, _ in mine]] = [n for *_, n in mine]
+        mean = total / n_shards
+        assert 0.7 < counts.var() / (mean * (1 - 1 / n_shards)) < 1.4
+    # taken, by brute force from the draws and the permutations
+    for r in mixing.slots(mixing.draws(plan, 50, 3), 3).groupBy("source", "epoch").agg(F.count("*").alias("n"), F.count_distinct("index").alias("k"), F.max("index").alias("top")).collect():
+        blocks = {"a": 70, "b": 10, None: 5}[r["source"]]
+        assert r["n"] == r["k"] <= blocks and r["top"] < blocks
+
+
+def test_taken_by_brute_force(spark):
+    rng = random.Random(23)
+    texts = [words(rng, rng.choice([0, 1, 7, 64, 200])) for _ in range(60)]
+    sources = [rng.choice(["x", "x", "x", "y", None]) for _ in texts]
+    d = documents(spark, texts, sources)
+    sizes = mixing.sized(d)
+    plan = mixing.planned(mixing.source_targets(sizes), 16)
+    slots = mixing.slots(mixing.draws(plan, 8, 17), 17).collect()
+    want = Counter()
+    for name in {"x", "y", None}:
+        owner = [i for i, t in enumerate(texts) if sources[i] == name for _ in t.split()]
+        for s in slots:
+            if s["source"] == name:
+                want.update(owner[16 * s["index"] : 16 * s["index"] + 16])
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix_documents(d, block=16, shard=8).collect()}
+    assert got == {i: want[i] for i in range(len(texts))}
+    totals = {r["source"]: (r["target"], r["slots"], r["blocks"]) for r in plan.collect()}
+    assert all(abs(sum(s["source"] == n for s in slots) - k) == 0 for n, (_, k, _) in totals.items())
+
+
 # ---------------------------------------------------------------- quality
 
 
@@ -403,6 +471,16 @@ def test_quality(spark, odd):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(ws), sum(len(w.decode()) for w in ws), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(hit))
         assert r["base_failed"] == (len(ws) < 20 or 100 * len(hit) > 30 * len(ws))
+    # scores, by plain counting over buckets of own making: words and pairs of words by their hashes
+    wants = {}
+    grams = {i: [int(x) for x in quality.buckets(common.word_hashes((t or "").encode()))] for i, t in enumerate(texts)}
+    raw_n, good_n = Counter(g for x in grams.values() for g in x), Counter(g for i in range(5, 45) for g in grams[i])
+    share = good_n.total() / raw_n.total()
+    for i, x in grams.items():
+        ratio = [math.log((good_n[g] + 20 * share) / (good_n.total() + 20 * share * 65536)) - math.log((raw_n[g] + 20) / (raw_n.total() + 20 * 65536)) for g in x]
+        wants[i] = sum(ratio) / len(ratio) if ratio else 0.0
+        assert abs(got[i]["score"] - wants[i]) < 1e-9 and got[i]["kept"] == (not got[i]["base_failed"] and wants[i] >= quality.THRESHOLD)
+        assert len(x) == max(0, 2 * got[i]["n_words"] - 1)
     assert all(got[i]["kept"] for i in range(5, 45)) and not any(got[i]["kept"] for i in range(45, 55))
     assert quality.judged(odd, labels).count() == 11 and quality.judged(odd.limit(0), labels.limit(0)).count() == 0
 
@@ -417,14 +495,16 @@ def test_vectors_match_brute_force(spark):
     for i in range(260):
         v = centers[rng.integers(12)] + rng.normal(size=16) * rng.choice([0.0, 0.1, 0.2])
         rows.append((i, [float(np.float32(x)) for x in v * rng.choice([1, 3])], int(rng.integers(2)) if i % 13 else None))
+    rows += [(400 + i, [1.0, i / 40, 0.5], 1) for i in range(40)] + [(460, [2.0], 1), (461, [3.0], 1), (462, [-3.0], 1), (463, [1.0, 0.0], 1)]  # other lengths, few and many
+    rows += [(500, [3e38] * 16, 0), (501, [3e38] * 15 + [2.9e38], 0), (502, [1e-42] * 16, 0)]  # squares beyond single precision
     rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, [None] * 16, 1), (304, [float("inf")] * 16, 1), (305, rows[1][1], rows[1][2]), (306, [1.0], 1), (307, [-0.0, 0.0] + [1.0] * 14, 1), (308, [0.0, -0.0] + [1.0] * 14, 1)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("cells", F.lit(1))
-    good = [r for r in rows if r[2] is not None and r[1] and len(r[1]) == 16 and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
+    good = [r for r in rows if r[2] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
     links = {r[0]: set() for r in rows}
     for a in good:
         for b in good:
-            x, y = np.array(a[1]), np.array(b[1])
-            if a[0] < b[0] and a[2] == b[2] and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.98:
+            x, y = np.float32(a[1]).astype(float), np.float32(b[1]).astype(float)
+            if a[0] < b[0] and a[2] == b[2] and len(x) == len(y) and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.98:
                 links[a[0]].add(b[0])
                 links[b[0]].add(a[0])
     for interval in (1024, 16):
@@ -438,6 +518,14 @@ def test_vectors_match_brute_force(spark):
     assert embeddings.near_vectors(d.limit(0)).count() == 0
 
 
+def test_repeated_ids_and_great_numbers(spark):
+    """Rows with one id are vectors of their own: their groups do not meet through the id."""
+    rows = [(20, [1.0, 0.0, 0.0]), (20, [0.0, 1.0, 0.0]), (21, [1.0, 0.01, 0.0]), (22, [0.0, 1.0, 0.01]), (19, [0.0, 0.0, 1e200]), (23, [0.0, 0.0, 1e-200]), (24, [1e200, 1e200, 0.0]), (25, [2e-300, 2e-300, 0.0]), (None, [1.0, 0.0, 0.0])]
+    d = spark.createDataFrame([(i, v, 7) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(d).collect()), key=str)
+    assert got == sorted([(20, 1, 20, True), (20, 1, 20, True), (21, 1, 20, False), (22, 1, 20, False), (19, 1, 19, True), (23, 1, 19, False), (24, 1, 24, True), (25, 1, 24, False), (0, 0, None, True)], key=str)
+
+
 # ---------------------------------------------------------------- token files
 
 
@@ -557,6 +645,30 @@ def test_random_keys_of_each_alphabet_are_found(spark):
     assert [r["spans"] for r in secrets.secret_report(documents(spark, words)).orderBy("doc_id").collect()] == [""] * 4
 
 
+def test_allowed_shapes():
+    rng = random.Random(21)
+    plain = (r"[A-Za-z]+([+/_=-]+[A-Za-z]+)*[+/_=-]*", r"[/]?([a-z0-9_-]+/)+[a-z0-9_-]*")
+    for _ in range(20_000):
+        x = "".join(rng.choice("aB1/-") for _ in range(rng.randint(0, 9)))
+        for simple, repeated in zip((secrets.ALLOWED[1], secrets.ALLOWED[3]), plain, strict=True):
+            assert bool(re.fullmatch(simple, x)) == bool(re.fullmatch(repeated, x)), x
+
+
+def test_long_texts_of_every_shape(spark):
+    """200 kB of runs that allow-lists, entropy windows or very many matches cover: seconds each, like the short ones."""
+    rng = random.Random(22)
+    pick = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    mixed = "".join(pick(secrets.BASE62, 40) + "a" * 40 for _ in range(500))
+    texts = ["a-" * 100_000, "ab/" * 70_000, pick(secrets.TEXT_ALPHABET, 200_000), "token=abcdef " * 15_000, "é " * 50_000 + pick("0123456789abcdef", 5_000), mixed]
+    got = {r["doc_id"]: r for r in secrets.secret_report(documents(spark, texts)).collect()}
+    assert got[0]["spans"] == got[1]["spans"] == "" and got[3]["n_assign"] == 15_000 and got[4]["n_hex"] == 1
+    for i, t in ((2, texts[2]), (5, mixed)):
+        want = brute_entropy(t, secrets.TEXT_ALPHABET, secrets.WINDOW, secrets.TEXT_BITS)
+        assert [s for s in got[i]["spans"].split(",") if s.startswith("entropy_text")] == [f"entropy_text:{a}:{b}" for a, b in want] and want
+    clear = {r["doc_id"]: r["text"] for r in secrets.redacted(documents(spark, texts)).collect()}
+    assert clear[0] == texts[0] and clear[3] == "[SECRET] " * 15_000 and clear[4] == "é " * 50_000 + "[SECRET]"
+
+
 # ---------------------------------------------------------------- pipeline
 
 
@@ -582,3 +694,24 @@ def test_pipeline(spark, ids_of):
     assert abs(sum(len(r["text"].split()) for r in mixed) - sizes) < 70 * 20
     assert sum(r["length"] for r in packed) == sum(len(ids_of(r["text"])) + 1 for r in mixed)
     assert isinstance(packed[0], Row)
+
+
+def test_pipeline_on_odd_tables(spark, odd, tmp_path):
+    """Nulls, empty texts, repeated rows and ids, clashing columns; then no row at all."""
+    import corpus_pipeline as P
+
+    names = {"score", "secrets", "length", "bucket"}
+    docs = odd.withColumn("predicted", F.lit("mine")).withColumn("size", F.lit(3)).withColumn("first", F.lit("f")).withColumn("words", F.array(F.lit(1)))
+    for d, labels in ((docs, [(1, 1, 0), (5, 0, 1)]), (docs.limit(0), [])):
+        folder = tmp_path / str(len(labels))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        d.write.parquet(f"{folder}/documents.parquet")
+        at = spark.read.parquet(f"{folder}/documents.parquet")
+        sizes = []
+        for name, stage in P.STAGES:
+            before, at = at, common.staged(stage(spark, at, str(folder)), f"odd-{name}")
+            sizes.append(at.count())
+            if name != "packing":
+                assert at.dtypes == before.dtypes and names <= set(at.columns)
+        assert (sizes[0] >= sizes[1] == sizes[2] > 0 and sizes[4] >= sizes[3] > 0) if labels else not any(sizes)
+        assert sorted(P.run(spark, str(folder)).collect(), key=str) == sorted(at.collect(), key=str)
