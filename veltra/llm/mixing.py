@@ -31,10 +31,14 @@ from veltra.llm.common import WORD, staged, tidy
 PRIMES = (1_000_003, 1_000_033, 1_000_037, 1_000_039, 1_000_081, 1_000_099, 1_000_117, 1_000_121)
 
 
+def size_of(text: Column) -> Column:
+    """The number of words."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, source and size: the number of words of the whole text."""
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"))
 
 
 def source_targets(sizes: DataFrame, cycle: int = 3, limit: float = 3.0) -> DataFrame:
@@ -59,19 +63,20 @@ def source_targets(sizes: DataFrame, cycle: int = 3, limit: float = 3.0) -> Data
 
 
 def positions(sizes: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Adds ``first``: the words before each document among its source's words, by (doc_id, then size).
+    """Adds ``first``: the words before each document among its source's words, by doc_id, size and what else there is.
 
     Two levels, so that a source with most rows is spread: rows are range-partitioned by source and id, summed
     within partitions, and each partition's sum is carried to those behind.
     """
     spark = sizes.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = sizes.repartitionByRange(n, F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), "size").withColumn("part", F.spark_partition_id())
+    order = [F.col("doc_id").asc_nulls_first(), "size", *(c for c in sizes.columns if c not in ("doc_id", "size", "source"))]
+    ranged = sizes.repartitionByRange(n, F.col("source").asc_nulls_first(), *order).withColumn("part", F.spark_partition_id())
     ranged = staged(ranged, "ranged")
     totals = ranged.groupBy("source", "part").agg(F.sum("size").alias("words"))
     carried = totals.withColumn("carried", F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     carried = carried.select(F.col("source").alias("c_source"), F.col("part").alias("c_part"), "carried")
-    own = W.partitionBy("part", "source").orderBy(F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
+    own = W.partitionBy("part", "source").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = ranged.withColumn("ahead", F.coalesce(F.sum("size").over(own), F.lit(0)))
     both = local.join(carried, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("part") == F.col("c_part")))
     return both.select(*sizes.columns, (F.col("ahead") + F.col("carried")).alias("first"))
@@ -138,18 +143,18 @@ def slots(drawn: DataFrame, seed: int) -> DataFrame:
 
 
 def mix_plan(sizes: DataFrame, block: int = 64, shard: int = 4096, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (with doc_id, source, size and more) with their place, the sources' plan, and the pieces the mix takes.
+    """``sizes`` (doc_id, source, size and more) with every document's place, the sources' plan, and the pieces the mix takes.
 
-    Pieces: doc_id, source, first, size, shard, place, epoch, from and to (words of the document, end exclusive), one
+    Pieces: the columns of ``sizes``, first, shard, place, epoch, from and to (words of the document, end exclusive), one
     row for each block of a document and time that it is taken.
     """
     placed = staged(positions(sizes), "placed")
     plan = staged(planned(source_targets(placed), block), "plan")
     drawn = slots(draws(plan, shard, seed), seed).select(F.col("source").alias("d_source"), "epoch", F.col("index"), "shard", "place")
-    spans = placed.select("doc_id", "source", "size", "first").where("size > 0").withColumn("index", F.explode(F.sequence(F.floor(F.col("first") / block).cast("long"), F.floor((F.col("first") + F.col("size") - 1) / block).cast("long"))))
+    spans = placed.where("size > 0").withColumn("index", F.explode(F.sequence(F.floor(F.col("first") / block).cast("long"), F.floor((F.col("first") + F.col("size") - 1) / block).cast("long"))))
     lo = F.greatest(F.lit(0).cast("long"), F.col("index") * block - F.col("first"))
     hi = F.least(F.col("size"), (F.col("index") + 1) * block - F.col("first"))
-    spans = spans.select("doc_id", "source", "first", "size", F.col("index").alias("b"), lo.alias("from"), hi.alias("to"))
+    spans = spans.select(*placed.columns, F.col("index").alias("b"), lo.alias("from"), hi.alias("to"))
     # merge: the slots look small before they expand, and would be broadcast
     pieces = spans.hint("merge").join(drawn.hint("merge"), F.col("source").eqNullSafe(F.col("d_source")) & (F.col("b") == F.col("index"))).drop("d_source", "b")
     return placed, plan, pieces
@@ -165,16 +170,32 @@ def mix_documents(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "source")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Every row as ``row``, and h1 and h2, 128 bits of hash over its columns (but maps): rows that agree in them are alike."""
+    whole = F.struct(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+    return docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(1), whole).alias("h2"))
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, h1 and h2 of all rows: what the plan needs, without the texts."""
+    return keyed(docs).select("row.doc_id", "row.source", size_of(F.col("row.text")).alias("size"), "h1", "h2")
+
+
+def _with_rows(docs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``pieces`` with the row of their document. Texts move once; of rows that are alike, one does for all."""
+    one = keyed(docs).withColumn("k", F.row_number().over(W.partitionBy("h1", "h2").orderBy(F.lit(0)))).where("k = 1").drop("k")
+    # by merge at every size, so that small inputs show what large ones do
+    return pieces.hint("merge").join(one.hint("merge"), ["h1", "h2"])
+
+
 def mixed_blocks(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 17) -> DataFrame:
     """The mix itself: shard, place (from 0 in each shard), source, words and text of every block, in the drawn order.
 
     A shard's slots are ordered in one task: about ``shard`` of them.
     """
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "text")
-    placed, _, pieces = mix_plan(rows, block, shard, seed)
-    d = placed.where("size > 0").select(F.col("source").alias("t_source"), F.col("first").alias("t_first"), "text")
-    both = pieces.hint("merge").join(d.hint("merge"), F.col("source").eqNullSafe(F.col("t_source")) & (F.col("first") == F.col("t_first")))
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int"))
+    _, _, pieces = mix_plan(_places(docs), block, shard, seed)
+    both = _with_rows(docs, pieces)
+    words = F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int"))
     parts = both.select("shard", "place", "source", F.struct("first", words.alias("words")).alias("part"))
     blocks = parts.groupBy("shard", "place", "source").agg(F.flatten(F.transform(F.sort_array(F.collect_list("part")), lambda x: x["words"])).alias("all"))
     order = W.partitionBy("shard").orderBy("place", F.col("source").asc_nulls_last())
@@ -187,11 +208,9 @@ def mixed_documents(docs: DataFrame, block: int = 64, shard: int = 4096, seed: i
     A document taken whole keeps its text; of one taken in part the taken words stay, in order, with single spaces.
     A column n_chars gets the length of the new text.
     """
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.struct(*docs.columns).alias("row"))
-    placed, _, pieces = mix_plan(rows, block, shard, seed)
-    took = pieces.groupBy(F.col("source").alias("t_source"), F.col("first").alias("t_first"), "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"), F.sum(F.col("to") - F.col("from")).alias("words"))
-    # by merge at every size, so that small inputs show what large ones do
-    both = placed.where("size > 0").hint("merge").join(took.hint("merge"), F.col("source").eqNullSafe(F.col("t_source")) & (F.col("first") == F.col("t_first")))
+    _, _, pieces = mix_plan(_places(docs), block, shard, seed)
+    took = pieces.groupBy("h1", "h2", "first", "size", "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"), F.sum(F.col("to") - F.col("from")).alias("words"))
+    both = _with_rows(docs, took)
     words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0))
     part = F.array_join(F.flatten(F.transform("spans", lambda x: F.slice(words, (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int")))), " ")
     out = both.withColumn("new", F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(part))
