@@ -163,32 +163,40 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, most_bytes: int =
 
 # ---------------------------------------------------------------- token ids
 
-#: What the byte-level pre-tokenizer takes as white space.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: White space beyond ASCII, as the byte-level pre-tokenizer sees it.
+_WIDE_SPACE = "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: Classes of bytes for cutting texts into pieces: white space, letters, digits, apostrophe, other ASCII, other bytes.
+_SPACE, _LETTER_BYTE, _DIGIT, _APOSTROPHE, _SIGN, _OTHER = range(6)
 
-#: Letters whose class no Unicode version disputes.
-_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af"
 
+def _byte_classes() -> np.ndarray:
+    kinds = np.full(256, _OTHER, np.uint8)
+    kinds[:128] = _SIGN
+    for c, kind in (("\t\n\x0b\x0c\r ", _SPACE), ("'", _APOSTROPHE), ("0123456789", _DIGIT)):
+        kinds[list(c.encode())] = kind
+    kinds[[b for b in range(128) if chr(b).isalpha()]] = _LETTER_BYTE
+    return kinds
 
-#: ASCII characters that are no letters; after a word of plain letters a pre-token ends before them.
-_AFTER = r"\x00-\x40\x5b-\x60\x7b-\x7f"
+
+_KIND = _byte_classes()
 
 
 class TokenIds(dict):
-    """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit bytes.
-
-    A pre-token of the byte-level kind never crosses from a non-space to a space, from a plain letter to an ASCII
-    character that is none, or from a line end to a letter, so a text is cut there, each distinct piece is encoded
-    once and remembered, and the ids of the pieces in order are those of the text. A word of plain letters is one
-    pre-token and goes to the library's model without another search for pre-tokens. A text that holds an added
-    token of the tokenizer's is encoded by the library as a whole. Two generations of at most ``most`` pieces are
-    remembered: when the younger is full, the older is forgotten; long pieces are not remembered.
+    """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit numbers.
+
+    A pre-token of the byte-level kind never crosses from a non-space to a space, between a single line end and what
+    follows it, between letters and digits, from a letter or digit to another ASCII character, or from one of these,
+    but for the apostrophe, to a letter or digit. Texts are cut there, all at once; each distinct piece is encoded once
+    and remembered, and the ids of the pieces in order are those of the text. A word of plain letters is one pre-token
+    and goes to the library's model without another search for pre-tokens; a text that holds an added token of the
+    tokenizer's, or white space beyond ASCII, is encoded by the library as a whole. Two generations of at most ``most``
+    pieces are remembered: when the younger is full, the older is forgotten; long pieces are not remembered.
     """
 
     LONG = 40
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         super().__init__()
         import os
 
@@ -197,50 +205,114 @@ class TokenIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cut = re.compile(f" ?[{_LETTERS}]+(?=[{_AFTER}]|\\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
-        self.plain = re.compile(" ?[A-Za-z]+").fullmatch
-        self.word = re.compile(f" ?[{_LETTERS}]+").fullmatch
-        self.line = re.compile(f"\n[^{_SPACE}]+").fullmatch
         added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.apart = re.compile("|".join([f"[{_WIDE_SPACE}]", *map(re.escape, added)])).search
+        self.hints = [x.encode() for x in added] + [bytes([b]) for b in (0xC2, 0xE1, 0xE2, 0xE3)]  # what begins white space beyond ASCII
         self.most, self.older = most, {}
         # byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = [b for b in range(256) if b not in plain]
-        bytes_as = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.space = bytes_as[32]
-        letters = [c for c in map(chr, range(0x80, 0x2B0)) if self.word(c)]
-        self.alphabet = str.maketrans({c: "".join(bytes_as[b] for b in c.encode()) for c in letters} | {" ": self.space})
-
-    def __missing__(self, piece: str) -> bytes:
-        value = self.older.get(piece)
-        if value is None:
-            if self.plain(piece):
-                value = self._of_word(self.space + piece[1:] if piece[0] == " " else piece)
-            elif self.word(piece):
-                value = self._of_word(piece.translate(self.alphabet))
-            elif self.line(piece):
-                value = self["\n"] + self._joined(piece[1:])
-            else:
-                value = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        if len(piece) <= self.LONG:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = value
-        return value
-
-    def _of_word(self, word: str) -> bytes:
-        return array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
-
-    def _joined(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.cut(text)))
+        as_char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.space = as_char[32]
+        # letters that two bytes hold, C3 80 to C3 BF, but for the signs of multiplication and division
+        self.wide = [(c, "".join(as_char[b] for b in c.encode())) for c in map(chr, range(0xC0, 0x100)) if c.isalpha()]
+
+    def _cut(self, raw: bytes, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces begin in texts put end to end, and whether each is a word of plain letters, maybe behind a space."""
+        u = np.frombuffer(raw, np.uint8)
+        kind = _KIND[u]
+        lead = np.flatnonzero(u[:-1] == 0xC3)
+        second = u[lead + 1]
+        lead = lead[(second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)]
+        kind[lead] = kind[lead + 1] = _LETTER_BYTE
+        before, now = kind[:-1], kind[1:]
+        cut = np.zeros(len(u), bool)
+        letter, digit, space = kind == _LETTER_BYTE, kind == _DIGIT, kind == _SPACE
+        sign = kind == _SIGN
+        change = (now != before) & (before != _OTHER) & (now != _OTHER) & (before != _APOSTROPHE)
+        word = letter | digit
+        cut[1:] = change & (word[:-1] | (sign[:-1] & word[1:]))
+        cut[1:] |= space[1:] & ~space[:-1]
+        ends = np.flatnonzero(u == 10)
+        ends = ends[(ends > 0) & (ends < len(u) - 1)]
+        cut[ends[~space[ends - 1] & ~space[ends + 1]] + 1] = True
+        cut[begins] = True
+        starts = np.flatnonzero(cut)
+        behind = u[starts] == 32
+        odd = np.concatenate([[0], np.cumsum(~letter)])
+        stops = np.append(starts[1:], len(u))
+        return starts, (odd[stops] - odd[starts] == behind) & (stops - starts > behind)
+
+    def _learned(self, pieces: list[bytes], plain: list[bool]) -> list[bytes]:
+        """The ids of distinct pieces; what is new is encoded and remembered."""
+        found = list(map(self.get, pieces))
+        missing = [i for i, v in enumerate(found) if v is None]
+        old = self.older.get
+        new = []
+        for i in missing:
+            v = found[i] = old(pieces[i])
+            if v is None:
+                new.append(i)
+        words = [i for i in new if plain[i]]
+        mapped = b"\n".join([pieces[i] for i in words]).decode().replace(" ", self.space)
+        if not mapped.isascii():
+            for c, as_bytes in self.wide:
+                mapped = mapped.replace(c, as_bytes)
+        tokenize = self.model.tokenize
+        for i, w in zip(words, mapped.split("\n"), strict=False):
+            found[i] = array("I", [x.id for x in tokenize(w)]).tobytes()
+        for i in new:
+            if found[i] is None:
+                found[i] = self._whole(pieces[i].decode())
+        if len(self) + len(missing) > self.most:
+            self.older = dict(self)
+            self.clear()
+        self.update((pieces[i], found[i]) for i in missing if len(pieces[i]) <= self.LONG)
+        return found
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and how many each has."""
+        raws = [t.encode() if t else b"" for t in texts]
+        raw = b"".join(raws)
+        apart: dict[int, np.ndarray] = {}
+        if any(x in raw for x in self.hints):
+            apart = {i: np.frombuffer(self._whole(t), "<u4") for i, t in enumerate(texts) if t and self.apart(t)}
+            raws = [b"" if i in apart else x for i, x in enumerate(raws)]
+            raw = b"".join(raws)
+        sizes = np.zeros(len(texts), np.int64)
+        ids = np.zeros(0, np.uint32)
+        if raw:
+            size = np.fromiter(map(len, raws), np.int64, len(raws))
+            begin = np.cumsum(size) - size
+            starts, plain = self._cut(raw, begin[size > 0])
+            offsets = np.append(starts, len(raw)).astype(np.int32)
+            pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+            which = pieces.indices.to_numpy()
+            first = np.empty(len(pieces.dictionary), np.int64)
+            first[which[::-1]] = np.arange(len(which))[::-1]
+            known = self._learned(pieces.dictionary.to_pylist(), plain[first].tolist())
+            n = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            every = np.frombuffer(b"".join(known), "<u4")
+            count = n[which]
+            end = np.cumsum(count)
+            ids = every[np.repeat((np.cumsum(n) - n)[which] - (end - count), count) + np.arange(int(end[-1]))]
+            whose = np.searchsorted(starts, begin + size)  # pieces before the end of each text
+            until = np.concatenate([[0], end])[whose]
+            sizes = np.diff(until, prepend=0)
+        if apart:
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i, x in apart.items():
+                parts[i], sizes[i] = x, len(x)
+            ids = np.concatenate(parts)
+        return ids, sizes
+
     def of(self, texts: list[str | None]) -> list[bytes]:
-        return [(self._whole(t) if self.added(t) else self._joined(t)) if t else b"" for t in texts]
+        ids, sizes = self.flat(texts)
+        end = np.cumsum(sizes).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *end], end, strict=False)]
 
     def forget(self) -> None:
         self.clear()
@@ -314,12 +386,14 @@ def components(links: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join below may split a hub's rows over tasks
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lows")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        to_low = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = to_low.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        own = large.groupBy("u").agg(F.min("v").alias("m"))
+        to_low = large.join(own, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = to_low.unionByName(own.select("u", F.col("m").alias("v"))).distinct()
         nxt = staged(small, "links")
+        removed(spark, low)
         now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         removed(spark, e)
         e = nxt

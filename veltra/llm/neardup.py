@@ -172,7 +172,7 @@ def by_bucket(rows: DataFrame, info: DataFrame) -> DataFrame:
     return left.hint("merge").join(right.hint("merge"), ["band", "salt"]).drop("salt")
 
 
-def _compared_in_blocks(rest: DataFrame, texts: DataFrame, similarity: float, words: int, weights: str, block: int = 1024, block_words: int = 1 << 20) -> DataFrame:
+def _compared_in_blocks(rest: DataFrame, texts: DataFrame, similarity: float, words: int, weights: str, block: int = 512, block_words: int = 1 << 20) -> DataFrame:
     """Links (a, b) between different components c within the buckets of ``rest`` (band, size, rep, n, c, bands)."""
     many = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / block_words)).cast("long")
     blocks = rest.groupBy("band").agg(F.first("size").alias("size"), F.greatest(many, F.lit(1).cast("long")).alias("blocks"))
@@ -217,7 +217,7 @@ def _compared_in_blocks(rest: DataFrame, texts: DataFrame, similarity: float, wo
     return met.repartition(n, "band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(tidy(compare), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, weights: str = "binary", n_bands: int = BANDS, rows: int = ROWS, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, weights: str = "binary", n_bands: int = BANDS, rows: int = ROWS, block: int = 512) -> DataFrame:
     """doc_id, component_id (smallest doc_id of the group) and kept (whether the row's document is that one)."""
     spark = docs.sparkSession
     base = staged(signed(docs, n_bands, rows, words, weights), "signed")

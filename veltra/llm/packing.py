@@ -183,22 +183,31 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
     def cut(batches):
         known = token_ids(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
-        for b in slices(batches):
-            out: list[list] = [[] for _ in range(6)]
-            for doc_id, ids in zip(b["doc_id"].to_pylist(), known.of(b["text"].to_pylist()), strict=True):
-                ids += end
-                n, at, k = len(ids) // 4, 0, 0
-                size = (n - 1) % capacity + 1
-                while at < n:
-                    for c, v in zip(out, (doc_id, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), int(seen[size])), strict=True):
-                        c.append(v)
-                    seen[size] += 1
-                    at, k, size = at + size, k + 1, capacity
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, types, strict=True)), pa.array([part] * len(out[0]), pa.int32())], ["doc_id", "piece", "start", "length", "ids_crc32", "local", "part"])
+        for b in slices(batches, 4096, 1 << 22):
+            flat, n = known.flat(b["text"].to_pylist())
+            flat, n = np.insert(flat, np.cumsum(n), end_id).astype("<u4", copy=False), n + 1
+            begin = np.cumsum(n) - n
+            many = -(-n // capacity)  # pieces of each document
+            doc = np.repeat(np.arange(len(n)), many)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+            head = ((n - 1) % capacity + 1)[doc]  # the first piece holds the rest
+            start = np.where(piece == 0, 0, head + (piece - 1) * capacity)
+            length = np.where(piece == 0, head, capacity)
+            raw = memoryview(flat).cast("B")
+            at = (begin[doc] + start) * 4
+            crc = [zlib.crc32(raw[a:z]) for a, z in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            by = np.argsort(length, kind="stable")
+            own = length[by]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            rank = np.empty(len(own), np.int64)
+            rank[by] = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own)))) + seen[own]
+            seen += np.bincount(length, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"].take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(rank), pa.array(np.full(len(doc), part, np.int32))],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "local", "part"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(cut, keep_ids=True), "doc_id long, piece int, start long, length long, ids_crc32 long, local long, part int")
 

@@ -225,13 +225,11 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0, ranges: int | No
 
     def tokens(batches):
         known = token_ids(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         wide = max(known.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         total = np.zeros(1, np.int64)
-        for b in slices(batches):
-            ids = [x + end for x in known.of(b["text"].to_pylist())]
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat = np.frombuffer(b"".join(ids), "<u4")
+        for b in slices(batches, 4096, 1 << 22):
+            flat, size = known.flat(b["text"].to_pylist())
+            flat, size = np.insert(flat, np.cumsum(size), end_id), size + 1
             met = np.bincount(flat, minlength=len(total))
             met[: len(total)] += total
             total = met
@@ -239,9 +237,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0, ranges: int | No
                 flat = flat.astype("<u2")
             width = flat.itemsize
             offsets = np.concatenate([[0], np.cumsum(size * width)]).astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+            packed = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(flat.astype(flat.dtype.newbyteorder("<"), copy=False))])
             bucket = np.searchsorted(bounds, b["doc_id"].cast(pa.float64()).fill_null(float("-inf")).to_numpy(zero_copy_only=False), "right")
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), b["doc_id"], pa.array(size), packed, pa.array([wide] * len(ids)), pa.nulls(len(ids), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), b["doc_id"], pa.array(size), packed, pa.array([wide] * len(size)), pa.nulls(len(size), pa.binary())], names)
         used = np.flatnonzero(total)
         if len(used):
             row = (TaskContext.get().partitionId() % (len(bounds) + 1), None, 0, None, wide, used.astype("<i8").tobytes() + total[used].astype("<i8").tobytes())
