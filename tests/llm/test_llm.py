@@ -252,6 +252,7 @@ def test_reader_owns_each_record_once():
 
 
 def test_archives(spark):
+    rng = random.Random(25)
     body = "<p>" + "x" * 200
     rows = [(1, "http://a", body), (2, None, None), (3, "b", body), (4, "c d", "short"), (5, "e", "short"), (None, "n", body), (6, "f", ""), (0, "late", body), (7, "é", "é" * 60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
@@ -262,7 +263,20 @@ def test_archives(spark):
         raw = (html or "").encode()
         assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
     assert {i: r["refers_to"] for i, r in got.items() if r["record_type"] == "revisit"} == {1: 0, 3: 0}
+    assert {i: r["url"] for i, r in got.items()} == {i: u for i, u, _ in rows}
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    # long payloads and repeated ids; then a damaged record is told
+    long = "".join(chr(rng.randrange(32, 126)) for _ in range(3_000_000))
+    rows = [(1, "a\n b", long), (1, "b", long), (2, None, long), (2, "c", None), (2, "d", "")]
+    files = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = sorted(((r["page_id"], r["url"] or "", r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_archives(files, split_bytes=100_000).collect()), key=str)
+    assert got == sorted([(1, "a\n b", 3_000_000, "response", None), (1, "b", 3_000_000, "response", None), (2, "", 3_000_000, "revisit", 1), (2, "c", 0, "response", None), (2, "d", 0, "response", None)], key=str)
+    path = files.orderBy(F.desc("bytes")).first()["path"].removeprefix("file:")
+    with open(path, "r+b") as f:
+        f.seek(1000)
+        f.write(b"\0\0\0\0")
+    with pytest.raises(ValueError, match="were written"):
+        warc.read_archives(files)
 
 
 # ---------------------------------------------------------------- substrings

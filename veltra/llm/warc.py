@@ -13,6 +13,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -27,7 +28,6 @@ from veltra.llm.common import file_system, shared_dir, slices, staged, tidy
 
 GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
-MOST_HEADER = 1 << 20
 
 
 # ---------------------------------------------------------------- records
@@ -131,13 +131,16 @@ def records(src, size: int, start: int, end: int, chunk: int = 1 << 20) -> Itera
 def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     """``pages`` (page_id, url, html) with payload digest and size, and the page that a revisit refers to.
 
-    Equal payloads are found by digest and size: a pre-aggregated minimum over rows of a few bytes, joined back.
+    Equal payloads are found by digest: a pre-aggregated minimum, written, so that the join back may split the rows of a
+    common page over tasks. Payloads that are too small to be revisited take no part in it.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", "url", "html").withColumn("digest", F.sha2(html.cast("binary"), 256)).withColumn("bytes", F.octet_length(html).cast("long"))
-    first = p.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    p = p.join(first, "digest", "left")
-    return p.withColumn("refers_to", F.when((F.col("bytes") >= least) & (F.col("first") < F.col("page_id")), F.col("first"))).drop("first")
+    large = p.where(F.col("bytes") >= least)
+    first = staged(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "firsts")
+    refers = F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to")
+    marked = large.hint("merge").join(first.hint("merge"), "digest", "left").select(*p.columns, refers)
+    return marked.unionByName(p.where(F.col("bytes") < least).withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100, file_bytes: int = 1 << 28) -> DataFrame:
@@ -163,7 +166,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
                 payload = (html or "").encode("utf-8")
                 kind = "response" if refers is None else "revisit"
                 headers = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}')}>"), ("WARC-Date", "1970-01-01T00:00:00Z")]
-                headers += [("WARC-Target-URI", re.sub(r"\s", "%20", url))] if url else []
+                if url:
+                    target = re.sub(r"\s", "%20", url)
+                    headers += [("WARC-Target-URI", target)] + ([("X-Url", json.dumps(url))] if target != url else [])
                 headers += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload)))]
                 headers += [("X-Page-Id", str(page_id))] if page_id is not None else []
                 if refers is not None:
@@ -185,14 +190,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
 def read_archives(files: DataFrame, split_bytes: int = 1 << 23) -> DataFrame:
     """One row for each record: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
-    Digest and size of a response are those of the payload read back; a revisit carries them in its header.
+    Digest and size of a response are those of the payload read back; a revisit carries them in its header. If fewer or
+    more records are found in a file than the list has, because one is damaged, that is a ValueError.
     """
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0).cast("long")), F.lit(split_bytes).cast("long"))).alias("from"))
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def read(batches):
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "path"]
+        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
         number = lambda x: None if x is None else int(x)
         for b in batches:
             for path, size, start in zip(b["path"].to_pylist(), b["bytes"].to_pylist(), b["from"].to_pylist(), strict=True):
@@ -202,8 +208,14 @@ def read_archives(files: DataFrame, split_bytes: int = 1 << 23) -> DataFrame:
                     for _, h, block in records(src, size, start, min(size, start + split_bytes)):
                         kind = h.get("warc-type")
                         full = (len(block), hashlib.sha256(block).hexdigest()) if kind == "response" else (number(h.get("x-payload-length")), h.get("warc-payload-digest", "").rpartition(":")[2])
-                        rows.append((number(h.get("x-page-id")), h.get("warc-target-uri"), *full, kind, number(h.get("x-refers-to-page-id"))))
+                        url = json.loads(h["x-url"]) if "x-url" in h else h.get("warc-target-uri")
+                        rows.append((number(h.get("x-page-id")), url, *full, kind, number(h.get("x-refers-to-page-id")), path))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return ranges.repartition(n, "path", "from").mapInArrow(tidy(read), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = staged(ranges.repartition(n, "path", "from").mapInArrow(tidy(read), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string"), "records")
+    counted = found.groupBy("path").agg(F.count("*").alias("found"))
+    wrong = files.select("path", "n_records").join(counted, "path", "left").where(F.coalesce("found", F.lit(0)) != F.col("n_records")).first()
+    if wrong is not None:
+        raise ValueError(f"{wrong['path']} holds {wrong['found'] or 0} sound records, {wrong['n_records']} were written")
+    return found.drop("path")
