@@ -19,7 +19,7 @@ from veltra.errors import EngineError
 from veltra.functions.aggregates import adds_doubles
 from veltra.functions.lanes import FAULTS, first_fault
 from veltra.operators import relational as R
-from veltra.plans.binding import Bound, bind
+from veltra.plans.binding import Bound, Order, bind
 from veltra.plans.rewrite import Options, Plan, plan
 from veltra.plans.syntax import parse
 from veltra.sources.catalog import Catalog, Table, load_manifest, registered
@@ -116,7 +116,7 @@ class Engine:
     def _sources(self, q: Bound) -> tuple[R.Source, R.Source | None]:
         return self.catalog.table(q.table).source, self.catalog.table(q.right).source if q.right is not None else None
 
-    def _rows(self, made: Plan, ordinals: bool) -> DataFrame:
+    def _rows(self, made: Plan, ordinals: bool) -> str:
         """A side that was asked for is hinted; if sizes decide, Catalyst decides by them too, and may broadcast."""
         left, right = self._sources(made.bound)
         asked = made.options.build_side
@@ -128,9 +128,8 @@ class Engine:
         q = made.bound
         rows = self._rows(made, False)
         if q.aggregation:
-            rows = _guarded(q, rows)
-            rows = R.grouped(q, rows)
-        return R.named(q, R.ordered(q, R.checked(R.output_lanes(q), rows)))
+            rows = R.grouped(q, R.guarded(q, rows))
+        return self.spark.sql(R.ordered(q, R.checked(R.output_lanes(q), rows), q.limit)).toDF(*q.names)
 
     # execution
 
@@ -172,40 +171,41 @@ class Engine:
         """Nothing can fail before the end: one job, which gives a row more than the cap if there are more."""
         q, cap = made.bound, self.result_limit
         rows = self._rows(made, False)
-        if not q.aggregation:
-            out = R.projected(lanes, rows)
-        else:
-            out = R.projected(R.output_lanes(q), R.grouped(q, rows), True, "n")
-        if cap is None:
-            got, n = [tuple(r) for r in R.ordered(q, out).collect()], None
-        else:  # all rows count towards the cap, whatever LIMIT leaves
-            got = [tuple(r) for r in R.ordered(q, out, limit=False).limit(cap + 1).collect()]
-            if len(got) > cap:
-                raise EngineError("RESOURCE", f"more than {cap} {'groups' if q.aggregation else 'result rows'}")
-            n = sum(r[-1] for r in got) if q.aggregation else len(got)
         if q.aggregation:
-            if bad := next((r[-2] for r in got if r[-2] is not None), None):
-                raise EngineError("NUMERIC", FAULTS[bad])
-            got = [r[:-2] for r in got]
-        return got, n
-
-    def _carefully(self, made: Plan, lanes, fault, fold: bool) -> tuple[list[tuple], int]:
+            rows, lanes = R.grouped(q, rows), R.output_lanes(q)
+        out = f"SELECT {', '.join(R.output_columns(lanes))}{', n' if q.aggregation else ''} FROM ({rows})"
+        # with a cap all rows count, whatever LIMIT leaves
+        got = [tuple(r) for r in self.spark.sql(R.ordered(q, out, q.limit if cap is None else cap + 1)).collect()]
+        if cap is not None and len(got) > cap:
+            raise EngineError("RESOURCE", f"more than {cap} {'groups' if q.aggregation else 'result rows'}")
+        n = len(lanes)
+        if bad := next((r[n] for r in got if r[n] is not None), None):
+            raise EngineError("NUMERIC", FAULTS[bad])
+        seen = sum(r[n + 1] for r in got) if q.aggregation else len(got)
+        return [r[:n] for r in got], None if cap is None else seen
+
+    def _carefully(self, made: Plan, lanes, fault: str | None, fold: bool) -> tuple[list[tuple], int]:
         """Faults, caps and sums in the order of the rows: several passes over the rows that WHERE keeps."""
         q = made.bound
-        rows = self._rows(made, fold or fault is not None).persist()
+        rows = self.spark.sql(self._rows(made, fold or fault is not None)).persist()
         try:
             n = rows.count()
             if q.where is not None and q.where.may_fail and self._reached(made):
                 raise EngineError("NUMERIC", FAULTS[4])
-            out = self._aggregated(q, rows, fault, fold) if q.aggregation else self._projected(q, rows, n, lanes, fault)
-            return [tuple(r) for r in out.collect()], n
+            done = self._aggregated(q, rows, fault, fold) if q.aggregation else self._projected(q, rows, n, lanes, fault)
+            if q.order:
+                done = done.orderBy(*map(_sort_key, q.order))
+            if q.limit is not None and q.limit < 2**31:
+                done = done.limit(q.limit)
+            return [tuple(r)[: len(q.outputs)] for r in done.collect()], n
         finally:
             rows.unpersist()
 
     def _measured(self, made: Plan, out: int) -> list[dict]:
         """Rows into and out of each physical stage. Profiling counts every stage by a job of its own."""
         q = made.bound
-        counts = iter([(name, df.count(), len(df.columns)) for name, df in R.stages(q, *self._sources(q), made.pushed, made.rest)])
+        frames = ((name, self.spark.sql(text)) for name, text in R.stages(q, *self._sources(q), made.pushed, made.rest))
+        counts = iter([(name, df.count(), len(df.columns)) for name, df in frames])
         given: dict[int, int] = {}
         found = []
         for s in made.physical:
@@ -221,7 +221,7 @@ class Engine:
                     build = made.build_side == "right"
                     entry |= {"build_rows": taken[build], "probe_rows": taken[not build]}
             elif kind == "HashAggregate":
-                given[s.id] = R.grouped(q, self._rows(made, False)).count()
+                given[s.id] = self.spark.sql(R.grouped(q, self._rows(made, False))).count()
             else:
                 given[s.id] = min(taken[0], q.limit) if kind == "Limit" else taken[0]
             found.append({**entry, "input_rows": sum(taken), "output_rows": given[s.id]})
@@ -237,68 +237,65 @@ class Engine:
         """Whether any row reaches WHERE, if the constant in it fails for every row."""
         from dataclasses import replace
 
-        left, right = self._sources(made.bound)
-        return not R.surviving(replace(made.bound, where=None), left, right).isEmpty()
+        rows = R.surviving(replace(made.bound, where=None), *self._sources(made.bound))
+        return not self.spark.sql(rows).isEmpty()
 
-    def _projected(self, q: Bound, rows: DataFrame, n: int, lanes, fault) -> DataFrame:
+    def _projected(self, q: Bound, rows: DataFrame, n: int, lanes, fault: str | None) -> DataFrame:
         cap = self.result_limit
         over = cap is not None and n > cap
         if fault is not None:
-            bad = rows.where(fault.isNotNull())
+            bad = rows.where(f"({fault}) IS NOT NULL")
             if over and cap > 0:  # rows up to the cap are evaluated before it is met
-                last = rows.select(R.ordinal(q).alias("o")).orderBy("o").limit(cap).agg(F.max("o").alias("o")).first()["o"]
-                bad = bad.where(R.ordinal(q) <= _literal(last))
+                last = rows.selectExpr(f"{R.ordinal(q)} AS o").orderBy("o").limit(cap).agg(F.max("o").alias("o")).first()["o"]
+                bad = bad.where(F.expr(R.ordinal(q)) <= _literal(last))
             if not (over and cap == 0) and not bad.isEmpty():
                 raise EngineError("NUMERIC", _reason(bad, fault))
         if over:
             raise EngineError("RESOURCE", f"more than {cap} result rows")
-        return R.ordered(q, R.projected(lanes, rows))
+        return rows.selectExpr(*R.output_columns(lanes))
 
-    def _aggregated(self, q: Bound, rows: DataFrame, fault, fold: bool) -> DataFrame:
+    def _aggregated(self, q: Bound, rows: DataFrame, fault: str | None, fold: bool) -> DataFrame:
         cap, place = self.result_limit, R.ordinal(q) if fold or fault is not None else None
         order = place if fold else None
         limit = None  # first row of the group that is one too many
-        if cap is not None and q.groups:
+        keys = [R.column(c) for c in dict.fromkeys(q.groups)]
+        if cap is not None and keys:
             if place is None:
-                keys = rows.select(*(R.column(c) for c in dict.fromkeys(q.groups))).distinct()
-                if keys.limit(cap + 1).count() > cap:
+                if rows.select(*keys).distinct().limit(cap + 1).count() > cap:
                     raise EngineError("RESOURCE", f"more than {cap} groups")
             else:
-                firsts = rows.groupBy(*(R.column(c) for c in dict.fromkeys(q.groups))).agg(F.min(place).alias("o")).orderBy("o").limit(cap + 1)
+                firsts = rows.groupBy(*keys).agg(F.expr(f"min({place}) AS o")).orderBy("o").limit(cap + 1)
                 found = firsts.agg(F.count("*").alias("n"), F.max("o").alias("o")).first()
                 limit = found["o"] if found["n"] > cap else None
-        early = rows if limit is None else rows.where(place < _literal(limit))
+        early = rows if limit is None else rows.where(F.expr(place) < _literal(limit))
         if fault is not None:
-            bad = early.where(fault.isNotNull())
+            bad = early.where(f"({fault}) IS NOT NULL")
             if not bad.isEmpty():
                 raise EngineError("NUMERIC", _reason(bad, fault))
+        outputs = R.output_columns(R.output_lanes(q))
         if limit is not None:
             # a sum that turned infinite before the group too many was met
-            done = R.projected(R.output_lanes(q), R.grouped(q, early, order), True) if fold else None
-            if done is not None and done.where("fault = 3").limit(1).count():
+            if fold and not R.grouped_rows(q, early, order).selectExpr(*outputs).where("fault = 3").isEmpty():
                 raise EngineError("NUMERIC", FAULTS[3])
             raise EngineError("RESOURCE", f"more than {cap} groups")
-        done = R.projected(R.output_lanes(q), R.grouped(q, rows, order), True)
-        bad = done.where("fault is not null").select("fault").first()
+        done = R.grouped_rows(q, rows, order).selectExpr(*outputs)
+        bad = done.where("fault IS NOT NULL").select("fault").first()
         if bad is not None:
             raise EngineError("NUMERIC", FAULTS[bad["fault"]])
-        return R.ordered(q, done.drop("fault"))
+        return done
 
 
-def _literal(x):
-    return F.struct(*(F.lit(v) for v in x)) if isinstance(x, tuple) else F.lit(x)
+def _sort_key(o: Order):
+    c = F.col(f"r{o.column}")
+    return {(False, False): c.asc_nulls_last, (False, True): c.asc_nulls_first, (True, False): c.desc_nulls_last, (True, True): c.desc_nulls_first}[o.descending, o.nulls_first]()
 
 
-def _reason(bad: DataFrame, fault) -> str:
-    return FAULTS[bad.select(fault.alias("f")).first()["f"]]
+def _literal(x):
+    return F.struct(*(F.lit(v) for v in x)) if isinstance(x, tuple) else F.lit(x)
 
 
-def _guarded(q: Bound, rows: DataFrame) -> DataFrame:
-    """Rows whose aggregate arguments are sound; a fault raises as its row is read."""
-    fault = first_fault(*(x.fault for x in R.argument_lanes(q) if x is not None))
-    if fault is None:
-        return rows
-    return rows.filter(F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("NUMERIC: fault "), fault.cast("string"))).cast("boolean")).otherwise(F.lit(True)))
+def _reason(bad: DataFrame, fault: str) -> str:
+    return FAULTS[bad.selectExpr(f"{fault} AS f").first()["f"]]
 
 
 def _estimate(df: DataFrame) -> int | None:

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from veltra.functions.lanes import Lane, finite
 from veltra.plans.binding import Expr
 from veltra.types import INT64_MAX, INT64_MIN, Type
 
-
 #: Bits at which a LONG is cut for exact sums.
 HIGH, LOW = 43, 22
 
@@ -25,32 +21,31 @@ def adds_doubles(e: Expr) -> bool:
     return e.op in ("sum", "avg") and e.args[0].type is Type.DOUBLE
 
 
-def partials(e: Expr, value: Column | None) -> list[Column]:
+def partials(e: Expr, value: str | None) -> list[str]:
     """The Spark aggregates behind one aggregate."""
     if e.op == "count":
-        return [F.count(F.lit(1)) if value is None else F.count(value)]
+        return [f"count({value or 1})"]
     if e.op in ("min", "max"):
-        return [F.min(value) if e.op == "min" else F.max(value)]
+        return [f"{e.op}({value})"]
     if adds_doubles(e):
-        return [F.sum(value)] if e.op == "sum" else [F.sum(value), F.count(value)]
-    # three sums of LONG parts: exact for 2**41 rows, and much faster than sums of wide decimals
-    limbs = [F.sum(F.shiftright(value, HIGH)), F.sum(F.shiftright(value, LOW).bitwiseAND(F.lit((1 << (HIGH - LOW)) - 1))), F.sum(value.bitwiseAND(F.lit((1 << LOW) - 1)))]
-    return limbs if e.op == "sum" else [*limbs, F.count(value)]
+        sums = [f"sum({value})"]
+    else:  # three sums of LONG parts: exact for 2**41 rows, and much faster than sums of wide decimals
+        sums = [f"sum(shiftright({value}, {HIGH}))", f"sum(shiftright({value}, {LOW}) & {(1 << (HIGH - LOW)) - 1}L)", f"sum({value} & {(1 << LOW) - 1}L)"]
+    return sums if e.op == "sum" else [*sums, f"count({value})"]
 
 
-def finished(e: Expr, parts: list[Column]) -> Lane:
+def finished(e: Expr, parts: list[str]) -> Lane:
     """The aggregate's value and fault from its partial results."""
     if e.op in ("count", "min", "max"):
         return Lane(parts[0])
     total = parts[0]
     if e.args[0].type is Type.DOUBLE:
-        value = total if e.op == "sum" else total / parts[1]
-        bad = total.isNotNull() & ~finite(total)
-        value = F.when(parts[1] > 0, F.try_divide(total, parts[1].cast("double"))) if e.op == "avg" else value
-        return Lane(F.when(~bad, value), F.when(bad, F.lit(3)))
-    high, mid, low = (p.cast("decimal(20,0)") for p in parts[:3])
-    total = (high * F.lit(1 << HIGH).cast("decimal(14,0)") + mid * F.lit(1 << LOW).cast("decimal(7,0)") + low).cast("decimal(38,0)")
+        bad = f"({total} IS NOT NULL AND NOT {finite(total)})"
+        value = f"CASE WHEN {parts[1]} > 0 THEN try_divide({total}, CAST({parts[1]} AS DOUBLE)) END" if e.op == "avg" else total
+        return Lane(f"CASE WHEN NOT {bad} THEN {value} END", f"CASE WHEN {bad} THEN 3 END")
+    high, mid, low = (f"CAST({p} AS DECIMAL(20,0))" for p in parts[:3])
+    total = f"CAST({high} * CAST({1 << HIGH}L AS DECIMAL(14,0)) + {mid} * CAST({1 << LOW}L AS DECIMAL(7,0)) + {low} AS DECIMAL(38,0))"
     if e.op == "avg":
-        return Lane(F.try_divide(total.cast("double"), parts[3].cast("double")))
-    inside = total.between(F.lit(INT64_MIN).cast("decimal(20,0)"), F.lit(INT64_MAX).cast("decimal(20,0)"))
-    return Lane(F.when(inside, total.cast("long")), F.when(~inside, F.lit(5)))
+        return Lane(f"try_divide(CAST({total} AS DOUBLE), CAST({parts[3]} AS DOUBLE))")
+    inside = f"({total} BETWEEN CAST('{INT64_MIN}' AS DECIMAL(20,0)) AND CAST('{INT64_MAX}' AS DECIMAL(20,0)))"
+    return Lane(f"CASE WHEN {inside} THEN CAST({total} AS BIGINT) END", f"CASE WHEN NOT {inside} THEN 5 END")

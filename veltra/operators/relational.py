@@ -1,4 +1,4 @@
-"""The relational operators as DataFrame transformations.
+"""The relational operators as Spark SQL, one text for a query, and as steps over frames that are kept.
 
 Inputs get positional column names (c0, c1, ... over both sources, o0 and o1 for row numbers), so that duplicate
 and ambiguous output names need no care until the very end.
@@ -6,10 +6,11 @@ and ambiguous output names need no care until the very end.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veltra.functions.aggregates import adds_doubles, finished, partials, width
@@ -26,46 +27,66 @@ class Source:
     frame: DataFrame
     names: list[str]
     numbered: bool
+    _view: str = field(default="", repr=False)
 
+    def view(self) -> str:
+        """The name under which the session's SQL finds the table, from the first time that it is asked for."""
+        if not self._view:
+            self._view = f"veltra_{uuid.uuid4().hex}"
+            self.frame.createOrReplaceTempView(self._view)
+        return self._view
 
-def column(i: int) -> Column:
-    return F.col(f"c{i}")
+    def drop(self) -> None:
+        if self._view:
+            self.frame.sparkSession.catalog.dropTempView(self._view)
+            self._view = ""
 
 
-def scan(source: Source, first: int, side: int, used: set[int], ordinals: bool) -> DataFrame:
+def column(i: int) -> str:
+    return f"c{i}"
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+# ---------------------------------------------------------------- rows
+
+
+def scan(source: Source, first: int, side: int, used: set[int], ordinals: bool) -> str:
     """The columns that the query uses, by position; ``ordinals`` adds the row number."""
-    cols = [F.col(f"`{n}`").alias(f"c{first + i}") for i, n in enumerate(source.names) if first + i in used]
+    cols = [f"{_quoted(n)} AS c{first + i}" for i, n in enumerate(source.names) if first + i in used]
     if ordinals:
-        cols.append((F.col(ROW_NUMBER) if source.numbered else F.monotonically_increasing_id()).alias(f"o{side}"))
-    return source.frame.select(*cols)
+        cols.append(f"{ROW_NUMBER if source.numbered else 'monotonically_increasing_id()'} AS o{side}")
+    return f"SELECT {', '.join(cols) or 'TRUE AS present'} FROM {source.view()}"
 
 
-def joined(left: DataFrame, right: DataFrame, keys: list[tuple[int, int]], build: str | None) -> DataFrame:
+def joined(left: str, right: str, keys: list[tuple[int, int]], build: str | None) -> str:
     """Inner equi-join; NULL keys never match. ``build`` asks for the side that is hashed."""
-    if build == "left":
-        left = left.hint("shuffle_hash")
-    elif build == "right":
-        right = right.hint("shuffle_hash")
-    on = [column(a) == column(b) for a, b in keys]
-    return left.join(right, on, "inner")
+    hint = f"/*+ SHUFFLE_HASH({build}_side) */ " if build else ""
+    return f"SELECT {hint}* FROM ({left}) left_side JOIN ({right}) right_side ON " + " AND ".join(f"{column(a)} = {column(b)}" for a, b in keys)
 
 
-def surviving(q: Bound, left: Source, right: Source | None, ordinals: bool = False, build: str | None = None) -> DataFrame:
+def kept(rows: str, conditions: list[Expr]) -> str:
+    return f"SELECT * FROM ({rows}) WHERE " + " AND ".join(lower(e, column).value for e in conditions) if conditions else rows
+
+
+def surviving(q: Bound, left: Source, right: Source | None, ordinals: bool = False, build: str | None = None) -> str:
     """The rows that WHERE keeps. Catalyst moves conjuncts below the join and drops unused columns."""
     rows = scan(left, 0, 0, q.used, ordinals)
     if right is not None:
         rows = joined(rows, scan(right, len(left.names), 1, q.used, ordinals), q.keys, build)
-    return rows if q.where is None else rows.filter(lower(q.where, column).value)
+    return kept(rows, [] if q.where is None else [q.where])
 
 
-def stages(q: Bound, left: Source, right: Source | None, pushed: dict[int, list[Expr]], rest: list[Expr]) -> Iterator[tuple[str, DataFrame]]:
+def stages(q: Bound, left: Source, right: Source | None, pushed: dict[int, list[Expr]], rest: list[Expr]) -> Iterator[tuple[str, str]]:
     """The operators up to the rows that WHERE keeps, one by one and as the plan shows them: for counting."""
     sides = []
     for side, source in enumerate(s for s in (left, right) if s is not None):
         rows = scan(source, side * len(left.names), side, q.used, False)
         yield "Scan", rows
         if pushed.get(side):
-            rows = _kept(rows, pushed[side])
+            rows = kept(rows, pushed[side])
             yield "Filter", rows
         sides.append(rows)
     rows = sides[0]
@@ -73,18 +94,15 @@ def stages(q: Bound, left: Source, right: Source | None, pushed: dict[int, list[
         rows = joined(*sides, q.keys, None)
         yield "InnerHashJoin", rows
     if rest:
-        yield "Filter", _kept(rows, rest)
+        yield "Filter", kept(rows, rest)
 
 
-def _kept(rows: DataFrame, conjuncts: list[Expr]) -> DataFrame:
-    for e in conjuncts:
-        rows = rows.filter(lower(e, column).value)
-    return rows
+def ordinal(q: Bound) -> str:
+    """A row's place in the input order: left row, then right row."""
+    return "struct(o0, o1)" if q.right is not None else "o0"
 
 
-def ordinal(q: Bound) -> Column:
-    """A row's place in the input order: left row, then right row."""
-    return F.struct("o0", "o1") if q.right is not None else F.col("o0")
+# ---------------------------------------------------------------- groups
 
 
 def argument_lanes(q: Bound) -> list[Lane | None]:
@@ -95,25 +113,34 @@ def _key_names(q: Bound) -> dict[int, str]:
     return {c: f"k{i}" for i, c in enumerate(dict.fromkeys(q.groups))}
 
 
-def grouped(q: Bound, rows: DataFrame, order: Column | None = None) -> DataFrame:
-    """One row for each group with its keys and partial aggregates, and ``n``, its number of rows.
+def _aggregates(q: Bound) -> dict[str, str]:
+    """The partial aggregates by their names, and ``n``, the number of a group's rows."""
+    found = {f"a{i}_{j}": p for i, (a, lane) in enumerate(zip(q.aggregates, argument_lanes(q), strict=True)) for j, p in enumerate(partials(a, None if lane is None else lane.value))}
+    return found | {"n": "count(1)"}
 
-    ``order``: DOUBLE sums are folded in this order of the rows.
-    """
-    lanes = argument_lanes(q)
-    aggs = [p.alias(f"a{i}_{j}") for i, (a, lane) in enumerate(zip(q.aggregates, lanes, strict=True)) for j, p in enumerate(partials(a, None if lane is None else lane.value))]
-    aggs.append(F.count(F.lit(1)).alias("n"))
+
+def grouped(q: Bound, rows: str) -> str:
+    """One row for each group with its keys and partial aggregates."""
     keys = _key_names(q)
-    plain = rows.groupBy(*(column(c).alias(k) for c, k in keys.items())).agg(*aggs) if keys else rows.agg(*aggs)
-    sums = {f"a{i}_0": lanes[i].value for i, a in enumerate(q.aggregates) if adds_doubles(a)}
+    cols = [*(f"{column(c)} AS {k}" for c, k in keys.items()), *(f"{p} AS {n}" for n, p in _aggregates(q).items())]
+    by = f" GROUP BY {', '.join(map(column, keys))}" if keys else ""
+    return f"SELECT {', '.join(cols)} FROM ({rows}){by}"
+
+
+def grouped_rows(q: Bound, rows: DataFrame, order: str | None = None) -> DataFrame:
+    """The same of a frame; with ``order``, DOUBLE sums are folded in this order of the rows."""
+    keys = _key_names(q)
+    own = list(keys.values())
+    renamed = rows.withColumns({k: F.col(column(c)) for c, k in keys.items()}) if keys else rows
+    plain = renamed.groupBy(*own).agg(*(F.expr(p).alias(n) for n, p in _aggregates(q).items()))
+    sums = {f"a{i}_0": lane.value for i, (a, lane) in enumerate(zip(q.aggregates, argument_lanes(q), strict=True)) if adds_doubles(a)}
     if order is None or not sums:
         return plain
-    own = list(keys.values())
-    folded = in_order(rows.select(*(column(c).alias(k) for c, k in keys.items()), order.alias("o"), *(v.alias(f"f_{n}") for n, v in sums.items())), own, [f"f_{n}" for n in sums])
-    folded = folded.select(*(F.col(k).alias(f"f_{k}") for k in own), *(F.col(f"f_{n}") for n in sums), F.lit(0).alias("f_one"))
-    same = [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in own] or [F.col("one") == F.col("f_one")]
+    folded = in_order(renamed.selectExpr(*own, f"{order} AS o", *(f"{v} AS f_{n}" for n, v in sums.items())), own, [f"f_{n}" for n in sums])
+    folded = folded.selectExpr(*(f"{k} AS f_{k}" for k in own), *(f"f_{n}" for n in sums), "0 AS f_one")
+    same = F.expr(" AND ".join(f"{k} <=> f_{k}" for k in own) or "one = f_one")
     both = plain.withColumn("one", F.lit(0)).join(folded, same, "left")
-    return both.select(*own, *(F.col(f"f_{c}").alias(c) if c in sums else F.col(c) for c in plain.columns if c not in own))
+    return both.selectExpr(*own, *(f"f_{c} AS {c}" if c in sums else c for c in plain.columns if c not in own))
 
 
 def in_order(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -127,7 +154,6 @@ def in_order(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (rows.repartition(n, *keys) if keys else rows.coalesce(1)).sortWithinPartitions(*keys, "o").select(*keys, *values)
-    schema = dealt.schema
 
     def fold(batches):
         key, sums = None, []
@@ -154,7 +180,10 @@ def in_order(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
         if key is not None:
             yield row()
 
-    return dealt.mapInArrow(fold, schema)
+    return dealt.mapInArrow(fold, dealt.schema)
+
+
+# ---------------------------------------------------------------- outputs
 
 
 def output_lanes(q: Bound) -> list[Lane]:
@@ -162,41 +191,43 @@ def output_lanes(q: Bound) -> list[Lane]:
     if not q.aggregation:
         return [lower(e, column) for e in q.outputs]
     keys = _key_names(q)
-    done = [finished(a, [F.col(f"a{i}_{j}") for j in range(width(a))]) for i, a in enumerate(q.aggregates)]
+    done = [finished(a, [f"a{i}_{j}" for j in range(width(a))]) for i, a in enumerate(q.aggregates)]
     own = first_fault(*(d.fault for d in done))
-    lanes = [lower(e, lambda c: F.col(keys[c]), lambda i: done[i].value) for e in q.outputs]
+    lanes = [lower(e, lambda c: keys[c], lambda i: done[i].value) for e in q.outputs]
     return [Lane(x.value, first_fault(own, x.fault)) for x in lanes]
 
 
-def projected(lanes: list[Lane], rows: DataFrame, with_fault: bool = False, *more: str) -> DataFrame:
-    """Outputs r0, r1, ..., with ``with_fault`` a column fault, and the columns ``more`` as they are."""
-    cols = [x.value.alias(f"r{i}") for i, x in enumerate(lanes)]
-    if with_fault:
-        f = first_fault(*(x.fault for x in lanes))
-        cols.append((F.lit(None).cast("int") if f is None else f).alias("fault"))
-    return rows.select(*cols, *more)
+def output_columns(lanes: list[Lane]) -> list[str]:
+    """Outputs r0, r1, ... and the first fault among them."""
+    fault = first_fault(*dict.fromkeys(x.fault for x in lanes)) or "CAST(NULL AS INT)"
+    return [*(f"{x.value} AS r{i}" for i, x in enumerate(lanes)), f"{fault} AS fault"]
+
+
+def raising(fault: str) -> str:
+    """A condition that holds, or raises if there is a fault."""
+    return f"CASE WHEN {fault} IS NOT NULL THEN CAST(raise_error(concat('NUMERIC: fault ', CAST({fault} AS STRING))) AS BOOLEAN) ELSE TRUE END"
+
+
+def checked(lanes: list[Lane], rows: str) -> str:
+    """Outputs whose faults raise: for frames that nobody checks before they run."""
+    cols = output_columns(lanes)
+    if all(x.fault is None for x in lanes):
+        return f"SELECT {', '.join(cols[:-1])} FROM ({rows})"
+    return f"SELECT {', '.join(f'r{i}' for i in range(len(lanes)))} FROM (SELECT {', '.join(cols)} FROM ({rows})) WHERE {raising('fault')}"
 
 
-def checked(lanes: list[Lane], rows: DataFrame) -> DataFrame:
-    """Outputs of which the first raises on a fault: for frames that nobody checks before they run."""
-    f = first_fault(*(x.fault for x in lanes))
-    if f is None:
-        return projected(lanes, rows)
-    lead = F.when(f.isNotNull(), F.raise_error(F.concat(F.lit("NUMERIC: fault "), f.cast("string")))).otherwise(F.lit(True))
-    cols = [x.value.alias(f"r{i}") for i, x in enumerate(lanes)]
-    return rows.select(*cols, lead.alias("sound")).filter("sound").drop("sound")
+def guarded(q: Bound, rows: str) -> str:
+    """Rows whose aggregate arguments are sound; a fault raises as its row is read."""
+    fault = first_fault(*(x.fault for x in argument_lanes(q) if x is not None))
+    return rows if fault is None else f"SELECT * FROM ({rows}) WHERE {raising(fault)}"
 
 
-def ordered(q: Bound, rows: DataFrame, limit: bool = True) -> DataFrame:
-    """ORDER BY outputs, NULLS LAST unless asked otherwise, and LIMIT."""
-    if q.order:
-        keys = []
-        for o in q.order:
-            c = F.col(f"r{o.column}")
-            keys.append((c.desc_nulls_first() if o.nulls_first else c.desc_nulls_last()) if o.descending else (c.asc_nulls_first() if o.nulls_first else c.asc_nulls_last()))
-        rows = rows.orderBy(*keys)
-    return rows.limit(q.limit) if limit and q.limit is not None and q.limit < 2**31 else rows
+def order_keys(q: Bound) -> list[str]:
+    """NULLS LAST unless asked otherwise."""
+    return [f"r{o.column} {'DESC' if o.descending else 'ASC'} NULLS {'FIRST' if o.nulls_first else 'LAST'}" for o in q.order]
 
 
-def named(q: Bound, rows: DataFrame) -> DataFrame:
-    return rows.toDF(*q.names)
+def ordered(q: Bound, rows: str, limit: int | None) -> str:
+    """ORDER BY outputs and LIMIT; a limit that Spark has no number for cuts nothing."""
+    by = f" ORDER BY {', '.join(order_keys(q))}" if q.order else ""
+    return f"SELECT * FROM ({rows}){by}" + (f" LIMIT {limit}" if limit is not None and limit < 2**31 else "")

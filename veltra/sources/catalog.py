@@ -45,8 +45,10 @@ class Catalog:
     def swap(self, tables: dict[str, Table]) -> None:
         stay = {id(t) for t in tables.values()}
         for t in self.tables.values():
-            if t.loaded and id(t) not in stay:
-                t.source.frame.unpersist()
+            if id(t) not in stay:
+                t.source.drop()
+                if t.loaded:
+                    t.source.frame.unpersist()
         self.tables, self.generation = tables, self.generation + 1
 
 
