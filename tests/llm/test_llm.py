@@ -364,13 +364,42 @@ def test_toxic_words_count_anywhere_in_a_text(spark):
     for r in rows[:8]:
         a, b = map(int, r["toxic_spans"].split(",")[-1].split(":"))
         assert r["text"][a:b] == "idiot"
-    for w in ["", "a", "wor", "word", "worthless", "x" * 15]:  # short forms: one beginning
-        f = toxicity.Features([w])
-        assert sorted(i for i in f.used(f.start)[0].tolist() if i < toxicity.NONE) == sorted(toxicity.features(w) if w else [])
+    # features by the rule, one by one: the form, its beginnings and 4-grams, each hashed for itself
+    for w in ["", "a", "wor", "word", "worthless", "x" * 15, "é日" * 5]:
+        f = toxicity.Features(["before", w, "behind"])
+        alone = toxicity.Features([w])
+        ids, whose = f.used(f.start)
+        mine = sorted(i for i, k in zip(ids.tolist(), whose.tolist(), strict=True) if k == 1 and i < toxicity.NONE)
+        assert mine == sorted(i for i in alone.used(alone.start)[0].tolist() if i < toxicity.NONE)
+        assert len(mine) == (len(w) > 0) + sum(len(w) >= k for k in (4, 5, 6)) + max(0, len(w) - 3)
+        shared = toxicity.Features([w + "q" * 3])
+        assert len(w) < 6 or set(mine) & set(shared.used(shared.start)[0].tolist())
     # a mark behind many others is learned from too
     late = [" ".join(f"worthless {words(rng, 70)}" for _ in range(10)) + " scoundrel" for _ in range(120)]
     model = toxicity.fit([words(rng, 80) for _ in range(120)] + late, np.array([0] * 120 + [1] * 120))
-    assert model.word_score("scoundrel") > 0 > model.word_score("w17")
+    assert model.word_scores(["scoundrel"])[0] > 0 > model.word_scores(["w17"])[0]
+
+
+def test_scores_by_enumeration(spark):
+    """Score, prediction and spans of short texts from all label sequences and plain arithmetic on the fitted weights."""
+    rng = random.Random(26)
+    clean = [words(rng, 30) for _ in range(80)]
+    model = toxicity.fit(clean + [f"{words(rng, 12)} worthless idiot {words(rng, 12)}" for _ in range(80)], np.array([0] * 80 + [1] * 80))
+    texts = ["", "worthless", "you worthless idiot w1 w2", "w5 w6", "w1 (worthless)-w2 idiotic w3 w4 w5 w6"] + [" ".join(rng.choice(["worthless", "idiot", "w3", "w9", "fine"]) for _ in range(7)) for _ in range(12)]
+    for r in toxicity.scored(documents(spark, texts), model).collect():
+        forms = [f for w in texts[r["doc_id"]].split() for f in [toxicity.form(w[a:b]) for a, b in toxicity.cuts_of(w)]]
+        emit = [float(x) for x in model.word_scores(forms)]
+        total, hit = 0.0, [0.0] * len(emit)
+        for tags in itertools.product((0, 1), repeat=len(emit)):
+            w = math.exp(sum(e for e, t in zip(emit, tags, strict=True) if t) + sum(model.trans[a][b] for a, b in zip(tags, tags[1:], strict=False)))
+            total += w
+            hit = [h + w * t for h, t in zip(hit, tags, strict=True)]
+        p = [h / total for h in hit]
+        top = sorted(p, reverse=True) + [0.0, 0.0, 0.0]
+        x = [top[0], math.log1p(sum(p)), math.log1p(100 * sum(p) / max(1, len(p))), *(top[1:3] if len(p) > 2 else (0.0, 0.0))]
+        want = 1 / (1 + math.exp(-(model.document[0] + sum(a * b for a, b in zip(model.document[1:], x, strict=True)))))
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == (want >= 0.3)
+        assert (len(r["toxic_spans"].split(",")) if r["toxic_spans"] else 0) == (sum(v >= 0.5 for v in p) if x[0] >= 0.5 else 0)
 
 
 # ---------------------------------------------------------------- mixing

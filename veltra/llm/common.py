@@ -89,7 +89,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 #: ASCII white space, as a table over bytes.
-_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _BASE = 0x9E3779B97F4A7C15
 _LETTER = mix(np.arange(256, dtype=np.uint64), 99)  # what a byte adds to its word's hash
 _powers: list[np.ndarray] = []
@@ -121,7 +121,7 @@ def word_hashes(raw: bytes, step: int = 1 << 20) -> np.ndarray:
             tail = re.compile(rb"[\x20\x09-\x0D]").search(raw, end)
             end = tail.start() if tail else len(raw)
         u = np.frombuffer(raw, np.uint8, end - at, at)
-        edge = np.flatnonzero(np.diff(_BLANK[u], prepend=True, append=True))
+        edge = np.flatnonzero(np.diff(BLANK[u], prepend=True, append=True))
         s, e = edge[::2], edge[1::2]
         up, down = _powers_of_base(len(u))
         sums = np.zeros(len(u) + 1, np.uint64)

@@ -25,10 +25,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
-from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veltra.llm.common import release, slices, tidy
+from veltra.llm.common import BLANK, mix, release, slices, tidy
 
 FEATURE_BITS = 18
 DOCUMENT_FEATURES = 5
@@ -75,67 +72,93 @@ def cuts_of(word: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs]
 
 
-class Pieces(dict):
-    """The tokens (bytes) of words between ASCII white space, remembered; bounded as it forgets all beyond ``most``."""
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        w = word.decode("utf-8", "replace")
-        cuts = cuts_of(w)
-        value = self[word] = (word,) if len(cuts) == 1 else tuple(w[a:b].encode() for a, b in cuts)
-        return value
+def form(token: str) -> str:
+    """The token in lower case without what is no letter or digit at its ends."""
+    return _EDGES.sub("", token.lower())
 
-    def tokens(self, text: str) -> list[bytes]:
-        return list(chain.from_iterable(map(self.__getitem__, text.encode().split())))
 
+def tokens(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Forms, which form each token of the texts has, and how many tokens each text has.
 
-def form(word: bytes) -> str:
-    """The word in lower case without what is no letter or digit at its ends."""
-    return re.sub(r"^[\W_]+|[\W_]+$", "", word.decode("utf-8", "replace").lower())
-
-
-def stems(w: str) -> list[str]:
-    """What token labels are learned for: the form, and its beginnings of 4 to 6 characters."""
-    return [w] + [f"{w[:n]}~" for n in (4, 5, 6) if len(w) > n]
-
-
-def _hash(name: str) -> int:
-    return zlib.crc32(name.encode()) & (NONE - 1)
-
+    Words are found all at once, and each distinct one is cut and brought to its form once.
+    """
+    raw = "\n".join(texts).encode()
+    u = np.frombuffer(raw, np.uint8)
+    blank = BLANK[u]
+    edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(u[~blank].tobytes())]).dictionary_encode()
+    forms, count = [], []
+    for w in b"\n".join(words.dictionary.to_pylist()).decode().split("\n"):
+        if w.isalnum():
+            forms.append(w.lower())
+            count.append(1)
+        else:
+            cuts = cuts_of(w)
+            forms += [form(w[i:j]) for i, j in cuts]
+            count.append(len(cuts))
+    which, n = words.indices.to_numpy(), np.array(count, np.int64)
+    each = n[which]
+    end = np.cumsum(each)
+    ids = np.repeat((np.cumsum(n) - n)[which] - (end - each), each) + np.arange(int(end[-1]))
+    size = np.fromiter((len(t.encode()) + 1 for t in texts), np.int64, len(texts))
+    until = np.concatenate([[0], end])[np.searchsorted(starts, np.cumsum(size))]
+    return forms, ids, np.diff(until, prepend=0)
+
+
+class Hashes:
+    """64-bit hashes of forms: ``whole``, and ``run[k]`` of the k = 4, 5 and 6 characters from each place of all forms put
+    end to end; ``first`` and ``length`` say where each form stands there."""
 
-def features(w: str) -> list[int]:
-    """Hashed features of a form that only begins at its first character."""
-    names = [f"w:{w}"] + [f"p:{w[:n]}" for n in (4, 5, 6) if len(w) >= n]
-    return [_hash(x) for x in names + [f"g:{w[i : i + 4]}" for i in range(len(w) - 3)]]
+    def __init__(self, forms: list[str]):
+        c = np.frombuffer("".join(forms).encode("utf-32-le"), "<u4").astype(np.uint64)
+        self.length = np.fromiter(map(len, forms), np.int64, len(forms))
+        self.first = np.cumsum(self.length) - self.length
+        ahead = np.concatenate([c, np.zeros(6, np.uint64)])
+        self.run: dict[int, np.ndarray] = {}
+        h = np.zeros(len(c) + 1, np.uint64)
+        for k in range(1, 7):
+            h = h * np.uint64(0x100000001B3) + ahead[k - 1 : len(c) + k] + np.uint64(1)
+            if k > 3:
+                self.run[k] = h
+        # a form: the sum of its characters, each mixed with its place in it
+        place = np.arange(len(c)) - np.repeat(self.first, self.length)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(c + np.uint64(1) + (place.astype(np.uint64) << np.uint64(32)), 21))])
+        self.whole = sums[self.first + self.length] - sums[self.first]
 
 
 class Features:
     """Hashed features of forms: the form, beginnings of 4 to 6 characters, and 4-grams, by each place a word may begin."""
 
     def __init__(self, forms: list[str]):
-        whole, prefixes, grams, last, size = [], [], [], [], []
-        for w in forms:
-            n = max(1, len(w) - 3)  # grams, or one place for what is shorter
-            whole.append(_hash(f"w:{w}") if w else NONE)
-            grams += [_hash(f"g:{w[i : i + 4]}") for i in range(n)] if len(w) > 3 else [NONE]
-            begins = n if n > GRAMS else 1
-            size.append(begins)
-            for i in range(begins):
-                prefixes += [_hash(f"p:{w[i : i + k]}") if len(w) >= i + k else NONE for k in (4, 5, 6)]
-            last.append(n)
-        self.whole, self.grams = np.array(whole, np.int32), np.array(grams, np.int32)
-        self.prefixes = np.array(prefixes, np.int32).reshape(-1, 3)
-        size, last = np.array(size, np.int64), np.array(last, np.int64)
+        hashes = Hashes(forms)
+        first, length, runs = hashes.first, hashes.length, hashes.run
+        slot = lambda x, seed: (mix(x, seed) & np.uint64(NONE - 1)).astype(np.int32)
+        at = np.arange(len(forms))
+        self.whole = np.where(length > 0, slot(hashes.whole, 22), NONE).astype(np.int32)
+        n = np.maximum(1, length - 3)  # grams, or one place for what is shorter
+        last = np.cumsum(n)
+        own = np.repeat(at, n)
+        place = np.repeat(first - (last - n), n) + np.arange(len(own))
+        self.grams = np.full(len(own), NONE, np.int32)
+        long = length[own] > 3
+        self.grams[long] = slot(runs[4][place[long]], 23)
+        size = np.where(n > GRAMS, n, 1)
         self.start = np.cumsum(size) - size  # of each form's beginnings
-        self.owner = np.repeat(np.arange(len(forms)), size)
-        first = np.cumsum(last) - last
-        self.at = first[self.owner] + np.arange(len(self.owner)) - self.start[self.owner]  # the first gram of a beginning
-        self.end = np.minimum(self.at + GRAMS, (first + last)[self.owner])
+        self.owner = np.repeat(at, size)
+        shift = np.arange(len(self.owner)) - self.start[self.owner]
+        self.prefixes = np.full((len(self.owner), 3), NONE, np.int32)
+        for j, k in enumerate((4, 5, 6)):
+            fits = length[self.owner] >= shift + k
+            self.prefixes[fits, j] = slot(runs[k][(first[self.owner] + shift)[fits]], 24 + j)
+        self.at = (last - n)[self.owner] + shift  # the first gram of a beginning
+        self.end = np.minimum(self.at + GRAMS, last[self.owner])
         self.several = bool((size > 1).any())
 
     def scores(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,72 +228,67 @@ class Model:
     trans: np.ndarray
     document: np.ndarray  # intercept, and factors of document_features()
 
-    def word_score(self, w: str) -> float:
-        if len(w) < GRAMS + 4:
-            return float(self.weights[features(w)].sum() + self.bias) if w else self.bias
-        return float(Features([w]).scores(self.weights)[0][0] + self.bias)
-
+    def word_scores(self, forms: list[str]) -> np.ndarray:
+        """How much each form's features favour the toxic label."""
+        return Features(forms).scores(self.weights)[0] + self.bias if forms else np.zeros(0)
 
-class WordScores(dict):
-    """Scores of words (bytes), remembered; bounded as it forgets all beyond ``most``."""
 
-    def __init__(self, model: Model, most: int = 300_000):
-        super().__init__()
-        self.model, self.most = model, most
+# ---------------------------------------------------------------- fitting
 
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = self.model.word_score(form(word))
-        return value
 
+def stem_ids(forms: list[str]) -> np.ndarray:
+    """What token labels are learned for: numbers of each form itself and of its beginnings of 4 to 6 characters; -1: none.
 
-# ---------------------------------------------------------------- fitting
+    Equal stems have equal numbers, by 64 bits of hash.
+    """
+    h = Hashes(forms)
+    own = [h.whole, *(mix(h.run[k][h.first], 30 + k) for k in (4, 5, 6))]
+    _, ids = np.unique(np.stack(own, 1), return_inverse=True)
+    there = np.stack([h.length > k for k in (0, 4, 5, 6)], 1)
+    return np.where(there, ids.reshape(-1, 4), -1)
 
 
-def toxic_stems(texts: list[list[str]], labels: np.ndarray, rows: int = 3) -> set[str]:
-    """Forms and stems that mark toxic documents, by the log-likelihood ratio of their document counts.
+def marking_forms(docs: list[np.ndarray], forms: list[str], labels: np.ndarray, rows: int = 3) -> np.ndarray:
+    """Which forms have a stem that marks toxic documents, by the log-likelihood ratio of its document counts.
 
-    The ratio must exceed what the largest of as many chance stems would reach.
+    ``docs``: the forms of each document's tokens. The ratio must exceed what the largest of as many chance stems would reach.
     """
     n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
-    if not n1 or not n0:
-        return set()
-    hits = [Counter(), Counter()]
-    for words, y in zip(texts, labels.tolist(), strict=True):
-        hits[y].update({s for w in set(words) if w for s in stems(w)})
-    found = set()
-    least = 2 * np.log(max(2, len(hits[1]))) + 2
-    for s, a in hits[1].items():
-        b = hits[0][s]
-        if a < rows or a / n1 <= 10 * b / n0:
-            continue
-        p = (a + b) / (n1 + n0)
-        ll = a * np.log(a / n1 / p) + (b * np.log(b / n0 / p) if b else 0) + ((n1 - a) * np.log((1 - a / n1) / (1 - p)) if a < n1 else 0) + ((n0 - b) * np.log((1 - b / n0) / (1 - p)) if b < n0 and p < 1 else 0)
-        if 2 * ll >= least:
-            found.add(s)
-    return found
+    if not n1 or not n0 or not forms:
+        return np.zeros(len(forms), bool)
+    stems = stem_ids(forms)
+    size = int(stems.max()) + 1
+    hits = np.zeros((2, size), np.int64)
+    for ws, y in zip(docs, labels.tolist(), strict=True):
+        own = np.unique(stems[np.unique(ws)])
+        hits[y][own[own >= 0]] += 1
+    a, b = hits[1].astype(float), hits[0].astype(float)
+    p = (a + b) / (n1 + n0)
+    term = lambda n, share, of: np.where(n > 0, n * np.log(np.maximum(share, 1e-300) / np.maximum(of, 1e-300)), 0.0)
+    ratio = 2 * (term(a, a / n1, p) + term(b, b / n0, p) + term(n1 - a, 1 - a / n1, 1 - p) + term(n0 - b, 1 - b / n0, 1 - p))
+    least = 2 * np.log(max(2, np.count_nonzero(a))) + 2
+    marked = (a >= rows) & (a / n1 > 10 * b / n0) & (ratio >= least)
+    return ((stems >= 0) & marked[stems]).any(1) & np.fromiter(map(bool, forms), bool, len(forms))
 
 
 def fit(texts: list[str], labels: np.ndarray, rates: tuple[float, float] = (1.0, 1.0), epochs: int = 12, span: int = 64) -> Model | None:
     """The chain and the document function. ``rates``: how many documents a clean and a toxic row stand for."""
-    forms: dict[bytes, str] = {}  # a form is one object, however many tokens have it
-    pieces = Pieces()
-    words = [[forms[w] if w in forms else forms.setdefault(w, form(w)) for w in pieces.tokens(t)] for t in texts]
-    del forms
-    marked = toxic_stems(words, labels)
-    if not marked:
-        return None
-    bad = {w: any(s in marked for s in stems(w)) for ws, y in zip(words, labels.tolist(), strict=True) if y for w in set(ws) if w}
-    vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
+    forms, which, sizes = tokens(texts)
+    vocabulary: dict[str, int] = {}
+    number = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in forms], np.int32)
     names = list(vocabulary)
+    words = [number[x] for x in np.split(which, np.cumsum(sizes)[:-1])] if len(texts) else []
+    del forms, which, number
+    bad = marking_forms(words, names, labels)
+    if not bad.any():
+        return None
     feats = Features(names)
     # runs of tokens around toxic ones, and all of clean documents
     ids, gold, cuts = [], [], []
     for ws, y in zip(words, labels.tolist(), strict=True):
-        g = np.array([y and bad.get(w, False) for w in ws], bool)
+        g = bad[ws] & bool(y)
         for s in sorted({int(k) // span * span for k in np.flatnonzero(g)}) if y else range(0, len(ws), span):
-            ids.append(np.array([vocabulary[w] for w in ws[s : s + span]], np.int32))
+            ids.append(ws[s : s + span])
             gold.append(g[s : s + span])
             cuts.append(len(ids[-1]))
     ids, gold, cuts = np.concatenate(ids), np.concatenate(gold).astype(float), np.array(cuts)
@@ -299,8 +317,8 @@ def fit(texts: list[str], labels: np.ndarray, rates: tuple[float, float] = (1.0,
         s_trans += gt * gt
         model.trans = model.trans + 0.2 * gt / np.sqrt(s_trans)
     # the document function, by Newton steps on the weighted logistic loss
-    known = WordScores(model)
-    x = document_features([pieces.tokens(t) for t in texts], known, model)[0]
+    by_word = model.word_scores(names)
+    x = document_features(np.concatenate([by_word[ws] for ws in words]), sizes, model)[0]
     x = np.column_stack([np.ones(len(x)), x])
     w = np.where(labels == 1, rates[1], rates[0]) / max(rates)
     beta = np.zeros(1 + DOCUMENT_FEATURES)
@@ -334,13 +352,11 @@ def _forward(scores: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> np.nda
     return out
 
 
-def document_features(words: list[list[bytes]], known: WordScores, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def document_features(scores: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """For each text its largest marginal, log(1 + expected toxic tokens), the same of 100 words, the second and third
-    largest marginals; and all marginals and sizes."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    scores = np.fromiter((known[w] for ws in words for w in ws), float, int(sizes.sum()))
+    largest marginals; and all marginals. ``scores``: of all tokens; ``sizes``: how many each text has."""
     p = marginals(scores, sizes, model.trans)
-    x = np.zeros((len(words), DOCUMENT_FEATURES))
+    x = np.zeros((len(sizes), DOCUMENT_FEATURES))
     some = sizes > 0
     if some.any():
         first = np.cumsum(sizes) - sizes
@@ -352,7 +368,7 @@ def document_features(words: list[list[bytes]], known: WordScores, model: Model)
         for i in np.flatnonzero(sizes > 2).tolist():
             own = p[first[i] : first[i] + sizes[i]]
             x[i, 3:] = np.partition(own, (len(own) - 3, len(own) - 2))[-2:-4:-1]
-    return x, p, sizes
+    return x, p
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most_rows: int = 1500, most_bytes: int = 1 << 25) -> Model | None:
@@ -390,17 +406,17 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> Data
 
     def score(batches):
         own = sent.value
-        known, pieces = WordScores(own) if own else None, Pieces()
-        token = re.compile(r"[^\x20\x09-\x0D]+").finditer
+        word = re.compile(r"[^\x20\x09-\x0D]+").finditer
         for b in slices(batches, 4096, 1 << 23):
             texts = [t or "" for t in b["text"].to_pylist()]
             s, spans = np.zeros(len(texts)), [""] * len(texts)
             if own:
-                x, p, sizes = document_features([pieces.tokens(t) for t in texts], known, own)
+                forms, which, sizes = tokens(texts)
+                x, p = document_features(own.word_scores(forms)[which], sizes, own)
                 s = 1 / (1 + np.exp(-np.clip(own.document[0] + x @ own.document[1:], -700, 700)))
                 start = np.cumsum(sizes) - sizes
                 for i in np.flatnonzero(x[:, 0] >= 0.5).tolist():
-                    at = [(m.start() + a, m.start() + b) for m in token(texts[i]) for a, b in cuts_of(m.group())]
+                    at = [(m.start() + j, m.start() + k) for m in word(texts[i]) for j, k in cuts_of(m.group())]
                     spans[i] = ",".join("%d:%d" % at[k] for k in np.flatnonzero(p[start[i] : start[i] + sizes[i]] >= 0.5).tolist())
             yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(spans)], [*b.schema.names, "score", "predicted", "toxic_spans"])
 
