@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space, as ``bytes.split()`` sees them.
 WORD = r"[^\x20\x09-\x0D]+"
 #: While a table is staged: shuffle files go when it is written, and Arrow batches of whole texts stay small.
-STAGED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+STAGED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 # ---------------------------------------------------------------- staged tables
@@ -54,6 +54,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For results that are run later: Arrow batches of at most 8 MB, unless the session asks for another size than Spark does."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, str(8 << 20))
+
+
 def removed(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a staged table when its last reader is done. Tables that stay go with ``spark.checkpoint.dir``."""
     jvm = spark.sparkContext._jvm

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltra.llm.common import mix, shingle_hashes, slices, tidy, word_hashes
+from veltra.llm.common import mix, shingle_hashes, slices, small_batches, tidy, word_hashes
 
 #: What the base rules count as symbols, and ASCII white space.
 SYMBOLS = b"#*$%&|<>"
@@ -93,6 +93,7 @@ def ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, smoothi
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and score of every document."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(ratios(docs, labels, n_buckets))
 
     def judge(batches):

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veltra.llm.common import BLANK, mix, release, slices, tidy
+from veltra.llm.common import BLANK, mix, release, slices, small_batches, tidy
 
 FEATURE_BITS = 18
 DOCUMENT_FEATURES = 5
@@ -402,12 +402,13 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> Data
     """``docs`` with score, predicted and toxic_spans (code points start:end of toxic tokens, comma-joined); columns of
     these names are replaced."""
     docs = docs.drop("score", "predicted", "toxic_spans")
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         own = sent.value
         word = re.compile(r"[^\x20\x09-\x0D]+").finditer
-        for b in slices(batches, 4096, 1 << 23):
+        for b in slices(batches, 4096, 1 << 22):
             texts = [t or "" for t in b["text"].to_pylist()]
             s, spans = np.zeros(len(texts)), [""] * len(texts)
             if own:
