@@ -93,24 +93,33 @@ def decoding_table(lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarr
 # ---------------------------------------------------------------- segments
 
 
-def encoded(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int) -> tuple[np.ndarray, bytes]:
-    """The first bit of each block and the payload. Codes of at most 32 bits gather in words of 64, highest bit first."""
-    if not len(ids):
-        return np.zeros(0, "<u4"), b""
-    n = lengths[ids].astype(np.int64)
-    end = np.cumsum(n)
-    at = end - n
-    word = at >> 6
-    room = 64 - (at & 63) - n  # bits left in the word; below 0: the code goes on in the next
-    code = codes[ids].astype(np.uint64)
-    over = np.flatnonzero(room < 0)
-    here = code << np.maximum(room, 0).astype(np.uint64)
-    here[over] = code[over] >> (-room[over]).astype(np.uint64)
-    starts = np.flatnonzero(np.diff(word, prepend=-1))  # a code begins in every word
-    out = np.zeros(int(word[-1]) + 2, np.uint64)
-    out[: len(starts)] = np.bitwise_or.reduceat(here, starts)
-    out[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-    return at[::block].astype("<u4"), out.astype(">u8").tobytes()[: int(end[-1] + 7) >> 3]
+def encoded(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int, step: int = 1 << 15) -> tuple[np.ndarray, bytes]:
+    """The first bit of each block and the payload. Codes of at most 32 bits gather in words of 64, highest bit first.
+
+    Ids are taken in steps that a processor's cache holds.
+    """
+    size = lengths[ids]
+    total = int(size.sum(dtype=np.int64))
+    out = np.zeros((total >> 6) + 2, np.uint64)
+    first = np.zeros(-(-len(ids) // block), "<u4")
+    begin = 0
+    for i in range(0, len(ids), step):
+        n = size[i : i + step].astype(np.int64)
+        end = np.cumsum(n) + begin
+        at = end - n
+        word = at >> 6
+        room = 64 - (at & 63) - n  # bits left in the word; below 0: the code goes on in the next
+        code = codes[ids[i : i + step]].astype(np.uint64)
+        over = np.flatnonzero(room < 0)
+        here = code << np.maximum(room, 0).astype(np.uint64)
+        here[over] = code[over] >> (-room[over]).astype(np.uint64)
+        starts = np.flatnonzero(np.diff(word, prepend=-1))  # a code begins in every word
+        out[int(word[0]) : int(word[-1]) + 1] |= np.bitwise_or.reduceat(here, starts)
+        out[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
+        lead = -i % block  # of the first block that begins in this step
+        first[-(-i // block) : -(-min(i + step, len(ids)) // block)] = at[lead::block]
+        begin = int(end[-1])
+    return first, out.astype(">u8").tobytes()[: (total + 7) >> 3]
 
 
 def decoded(n: int, block: int, first: np.ndarray, payload: bytes, table: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
