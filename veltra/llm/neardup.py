@@ -55,14 +55,20 @@ def _darts(seed: np.ndarray, low: np.ndarray, width: np.ndarray, weight: np.ndar
     """
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     at, rank, step = np.arange(len(seed)), np.zeros(len(seed)), 0
+    part = low + width > weight  # regions that the weight fills in part: darts above it miss
+    partly = bool(part.any())
     while len(at):
         h = mix(seed[at] + np.uint64(step), 5)
         rank = rank - np.log(_uniform(h)) / width[at]
-        near = rank <= reach[at]
-        at, rank, h = at[near], rank[near], h[near]
-        dart = mix(h, 7)
-        hit = low[at] + width[at] * _uniform(mix(dart, 11)) < weight[at]
-        found.append((coordinate[at[hit]] + (dart[hit] % np.uint64(k)).astype(np.int64), rank[hit], dart[hit]))
+        near = np.flatnonzero(rank <= reach[at])
+        at, rank = at[near], rank[near]
+        dart = mix(h[near], 7)
+        key = coordinate[at] + ((dart >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+        if partly:
+            hit = np.flatnonzero(~part[at] | (low[at] + width[at] * _uniform(mix(dart, 11)) < weight[at]))
+            found.append((key[hit], rank[hit], dart[hit]))
+        else:
+            found.append((key, rank, dart))
         step += 1
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint64))
 
@@ -90,11 +96,9 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n
             width = np.where(cell == 0, 1.0, low)
             seed = mix(e[rep] ^ (cell.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), 3)
             key, rank, dart = _darts(seed, low, width, w[rep], reach[o[rep]], o[rep] * k, k)
-            # the earliest dart of each coordinate; of equal keys the last write stays
-            late = np.argsort(-rank, kind="stable")
-            key, rank, dart = key[late], rank[late], dart[late]
-            new = rank < best[key]
-            best[key[new]], value[key[new]] = rank[new], dart[new] | np.uint64(1)
+            np.minimum.at(best, key, rank)  # the earliest dart of each coordinate
+            first = np.flatnonzero(rank == best[key])
+            value[key[first]] = dart[first] | np.uint64(1)
         open_ = todo & np.isinf(best.reshape(n, k)).any(1)  # an empty coordinate: look further up
         reach = np.where(open_, reach * 2, reach)
         todo = open_
