@@ -5,7 +5,7 @@ sample; a rotation keeps distances, so the sample decides speed only) give the l
 distance <= sqrt(2 - 2c) =: epsilon. Vectors are put in epsilon grid order: by label and length, then by the grid cells
 of the leading dimensions, one after the other. The order is cut into intervals, whose boxes in the leading dimensions
 say which pairs of intervals may hold partners. Pairs meet through cells of width epsilon on the first two axes, and
-provably distant ones are skipped; the others are joined by halving both intervals again and again, skipping distant
+provably distant ones are skipped; of the others, the vectors that come near the partner's box are joined by halving both intervals again and again, skipping distant
 halves, down to small blocks that a matrix product compares. A found pair is then checked in double precision on the
 given components, scaled by a power of two, which changes no digit.
 
@@ -176,23 +176,30 @@ def near_vectors(table: DataFrame, cosine: float = 0.98, interval: int = 1024, m
     own = W.partitionBy("part", *kind).orderBy("cells", "cid")
     ordered = ordered.withColumn("interval", F.concat_ws("/", *kind, "part", F.floor((F.row_number().over(own) - 1) / interval)))
     ordered = staged(ordered, "ordered")
-    box = [f(F.col("lead")[i]).alias(f"{k}{i}") for i in range(LEADING) for k, f in (("lo", F.min), ("hi", F.max))]
-    boxes = staged(ordered.groupBy(*kind, "interval").agg(*box), "boxes")
+    side_of = lambda f: F.array(*[f(F.col("lead")[i]) for i in range(LEADING)])
+    boxes = staged(ordered.groupBy(*kind, "interval").agg(side_of(F.min).alias("lo"), side_of(F.max).alias("hi")), "boxes")
 
     def in_cells(side: str, margin: float) -> DataFrame:
         """The boxes by every cell that they reach into, with a margin on all sides."""
         out = boxes.select(*[F.col(c).alias(f"{side}_{c}") for c in boxes.columns])
         for i in range(CELL_AXES):
-            out = out.withColumn(f"{side}_cell{i}", F.explode(F.sequence(F.floor((F.col(f"{side}_lo{i}") - margin) / eps), F.floor((F.col(f"{side}_hi{i}") + margin) / eps))))
+            out = out.withColumn(f"{side}_cell{i}", F.explode(F.sequence(F.floor((F.col(f"{side}_lo")[i] - margin) / eps), F.floor((F.col(f"{side}_hi")[i] + margin) / eps))))
         return out
 
-    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"x_lo{i}") - F.col(f"y_hi{i}"), F.col(f"y_lo{i}") - F.col(f"x_hi{i}")), 2.0) for i in range(LEADING)), F.lit(0.0))
+    def apart(lo: str, hi: str, other_lo: str, other_hi: str):
+        """The square of the distance between two boxes."""
+        gap = lambda i: F.greatest(F.lit(0.0), F.col(lo)[i] - F.col(other_hi)[i], F.col(other_lo)[i] - F.col(hi)[i])
+        return sum((gap(i) * gap(i) for i in range(LEADING)), F.lit(0.0))
+
     same = [F.col(f"x_{c}") == F.col(f"y_{c}") for c in (*kind, *(f"cell{i}" for i in range(CELL_AXES)))]
-    near = in_cells("x", eps).join(in_cells("y", 0.0), [*same, F.col("x_interval") <= F.col("y_interval"), gap <= eps * eps])
-    pairs = staged(near.select(F.col("x_interval").alias("x"), F.col("y_interval").alias("y")).distinct(), "pairs")
-    # every pair's vectors meet under the pair's key
-    sides = pairs.withColumn("interval", F.explode(F.array_distinct(F.array("x", "y"))))
-    meet = sides.join(ordered.select("interval", "cells", "cid", "n", "v"), "interval").select("x", "y", "interval", "cells", "cid", "n", "v")
+    near = in_cells("x", eps).join(in_cells("y", 0.0), [*same, F.col("x_interval") <= F.col("y_interval"), apart("x_lo", "x_hi", "y_lo", "y_hi") <= eps * eps])
+    pairs = staged(near.select(F.col("x_interval").alias("x"), F.col("y_interval").alias("y"), "x_lo", "x_hi", "y_lo", "y_hi").dropDuplicates(["x", "y"]), "pairs")
+    # a pair's vectors meet under the pair's key: of either interval those that come within epsilon of the other's box
+    own_side = F.struct(F.col("x").alias("interval"), F.col("y_lo").alias("lo"), F.col("y_hi").alias("hi"))
+    other_side = F.struct(F.col("y").alias("interval"), F.col("x_lo").alias("lo"), F.col("x_hi").alias("hi"))
+    sides = pairs.select("x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array(own_side)).otherwise(F.array(own_side, other_side))).alias("side")).select("x", "y", "side.*")
+    meet = sides.join(ordered.select("interval", "cells", "lead", "cid", "n", "v"), "interval").where(apart("lead", "lead", "lo", "hi") <= eps * eps)
+    meet = meet.select("x", "y", "interval", "cells", "cid", "n", "v")
 
     def links(batches):
         """Rows of a partition, sorted by pair: each pair is at most two intervals of one length."""
@@ -201,6 +208,8 @@ def near_vectors(table: DataFrame, cosine: float = 0.98, interval: int = 1024, m
 
         def done():
             x, y = key
+            if x != y and len(held) < 2:  # nothing of one of them is near the other
+                return pa.RecordBatch.from_arrays([pa.nulls(0, pa.int64())] * 3, ["a", "b", "n"])
             sides = [[np.concatenate(c) for c in zip(*held[i], strict=True)] for i in dict.fromkeys((x, y))]
             vec, cid, n = (np.concatenate(c) for c in zip(*sides, strict=True))
             vec = scaled(vec)
