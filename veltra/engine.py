@@ -152,8 +152,10 @@ class Engine:
         lanes = R.argument_lanes(q) if q.aggregation else R.output_lanes(q)
         fault = first_fault(*(x.fault for x in lanes if x is not None))
         fold = made.options.accumulation == "ordered" and any(map(adds_doubles, q.aggregates))
-        careful = fold or fault is not None or q.where is not None and q.where.may_fail
-        got, n = self._carefully(made, lanes, fault, fold) if careful else self._directly(made, lanes)
+        if fault is not None or q.where is not None and q.where.may_fail:
+            got, n = self._carefully(made, lanes, fault, fold)
+        else:
+            got, n = self._directly(made, lanes, fold)
         if q.limit is not None:
             got = got[: q.limit]
         size = held + sum(len(v.encode()) if isinstance(v, str) else 9 for r in got for v in r)
@@ -167,16 +169,28 @@ class Engine:
             out.filtered_rows = next(o["output_rows"] for o in reversed(out.operators) if o["stage"] in ("Scan", "Filter", "InnerHashJoin"))
         return out
 
-    def _directly(self, made: Plan, lanes) -> tuple[list[tuple], int | None]:
-        """Nothing can fail before the end: one job, which gives a row more than the cap if there are more."""
+    def _directly(self, made: Plan, lanes, fold: bool) -> tuple[list[tuple], int | None]:
+        """Nothing can fail before the end: one job, which gives a row more than the cap if there are more.
+
+        Only if there are too many groups does it matter whether a sum in order turned infinite before the last of them.
+        """
         q, cap = made.bound, self.result_limit
-        rows = self._rows(made, False)
+        rows = self._rows(made, fold)
+        limit = q.limit if cap is None else cap + 1  # with a cap all rows count, whatever LIMIT leaves
         if q.aggregation:
-            rows, lanes = R.grouped(q, rows), R.output_lanes(q)
-        out = f"SELECT {', '.join(R.output_columns(lanes))}{', n' if q.aggregation else ''} FROM ({rows})"
-        # with a cap all rows count, whatever LIMIT leaves
-        got = [tuple(r) for r in self.spark.sql(R.ordered(q, out, q.limit if cap is None else cap + 1)).collect()]
+            lanes = R.output_lanes(q)
+        outputs = R.output_columns(lanes)
+        if fold:
+            done = R.grouped_rows(q, self.spark.sql(rows), R.ordinal(q)).selectExpr(*outputs, "n")
+            done = done.orderBy(*map(_sort_key, q.order)) if q.order else done
+            done = done if limit is None or limit >= 2**31 else done.limit(limit)
+        else:
+            rows = f"SELECT {', '.join(outputs)}, n FROM ({R.grouped(q, rows)})" if q.aggregation else f"SELECT {', '.join(outputs)} FROM ({rows})"
+            done = self.spark.sql(R.ordered(q, rows, limit))
+        got = [tuple(r) for r in done.collect()]
         if cap is not None and len(got) > cap:
+            if fold:
+                return self._carefully(made, lanes, None, fold)
             raise EngineError("RESOURCE", f"more than {cap} {'groups' if q.aggregation else 'result rows'}")
         n = len(lanes)
         if bad := next((r[n] for r in got if r[n] is not None), None):

@@ -151,6 +151,7 @@ def in_order(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (rows.repartition(n, *keys) if keys else rows.coalesce(1)).sortWithinPartitions(*keys, "o").select(*keys, *values)
@@ -166,13 +167,19 @@ def in_order(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
             names, kinds = b.schema.names, b.schema.types
             if not b.num_rows:
                 continue
-            held = list(zip(*(b[k].to_pylist() for k in keys), strict=True)) if keys else [()] * b.num_rows
-            cuts = [0, *(i for i in range(1, len(held)) if held[i] != held[i - 1]), len(held)]
+            change = np.zeros(b.num_rows, bool)
+            for k in keys:  # where a key differs from the one above it
+                c = b[k]
+                null = c.is_null().to_numpy(zero_copy_only=False)
+                unlike = pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)), False).to_numpy(zero_copy_only=False)
+                change[1:] |= unlike | (null[1:] != null[:-1])
+            cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if key != held[lo]:
+                held = tuple(b[k][lo].as_py() for k in keys)
+                if key != held:
                     if key is not None:
                         yield row()
-                    key, sums = held[lo], [None] * len(values)
+                    key, sums = held, [None] * len(values)
                 for j, v in enumerate(values):
                     own = b[v].slice(lo, hi - lo).drop_null().to_numpy()
                     if len(own):
