@@ -75,8 +75,9 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return [(tuple(p), q) for group in open_.values() for p, q in group]
 
 
-def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...]]:
-    """All undominated fillings of ``room``, the fullest first; of as full ones, those with the larger pieces.
+def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated fillings of ``room``, the fullest first; of as full ones, those with the larger pieces. None stands
+    for one that was found dominated, so that the caller can count the work.
 
     A filling is dominated if one of its pieces, or nothing, could give way to a larger piece that is left and still fits.
     Sums that pieces can make are known beforehand, one bit each, so every step taken ends in a filling. Fillings come
@@ -116,12 +117,12 @@ def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...]]:
     for total in range(room, -1, -1):
         if reach[-1] >> total & 1:
             for f in exact(len(sizes), total):
-                if total == room or not dominated(f, room - total):
-                    yield f
+                yield f if total == room or not dominated(f, room - total) else None
 
 
 def pack(counts: np.ndarray, capacity: int, nodes: int = 20_000) -> list[Pattern]:
-    """Patterns that use up the histogram; optimal if they meet the lower bound or the search ends, else the best of ``nodes``.
+    """Patterns that use up the histogram; optimal if they meet the lower bound or the search ends, else the best found
+    while ``nodes`` fillings were looked at.
 
     A node takes the largest length left and one filling of the room beside it, for as many sequences as the pieces
     make; it is pruned when the waste so far leaves no packing better than the incumbent.
@@ -132,7 +133,7 @@ def pack(counts: np.ndarray, capacity: int, nodes: int = 20_000) -> list[Pattern
     best = best_fit(counts, capacity)
     bins = sum(q for _, q in best)
     left, path, used, waste, spent = counts.copy(), [], 0, 0, 0
-    tried: list[int] = []  # fillings that each depth has taken
+    tried: list[int] = []  # how far each depth has come among its fillings
     down = True
     while bins > least and spent < nodes:
         if down:
@@ -149,12 +150,16 @@ def pack(counts: np.ndarray, capacity: int, nodes: int = 20_000) -> list[Pattern
             used, waste = used - q, waste - q * (capacity - sum(items))
         else:
             break  # every filling of every node was tried
-        spent += 1
         largest = int(np.flatnonzero(left)[-1])
         left[largest] -= 1
-        filling = next(islice(fillings(left, capacity - largest), tried[-1], None), None)
+        filling = None
+        for f in islice(fillings(left, capacity - largest), tried[-1], None):
+            tried[-1] += 1
+            spent += 1
+            if f is not None or spent >= nodes:
+                filling = f
+                break
         left[largest] += 1
-        tried[-1] += 1
         if filling is None:
             tried.pop()
             down = False
