@@ -70,6 +70,7 @@ def positions(sizes: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = sizes.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = staged(sizes, "sizes")  # texts are read once; the sample for the ranges takes the sizes
     order = [F.col("doc_id").asc_nulls_first(), "size", *(c for c in sizes.columns if c not in ("doc_id", "size", "source"))]
     ranged = sizes.repartitionByRange(n, F.col("source").asc_nulls_first(), *order).withColumn("part", F.spark_partition_id())
     ranged = staged(ranged, "ranged")
