@@ -23,13 +23,14 @@ from veltra.errors import EngineError  # noqa: E402
 HEADLINE = ["flagship", *(q for q in catalogue.QUERIES if q.startswith("bench_"))]
 
 
-def median(run, rounds: int = 7) -> float:
+def median(run, rounds: int = 7, warm: int = 5) -> float:
+    """Of ``rounds`` runs, after some that compile code."""
     took = []
-    for _ in range(rounds):
+    for _ in range(warm + rounds):
         begin = time.perf_counter()
         run()
         took.append(time.perf_counter() - begin)
-    return round(statistics.median(took[2:]), 4)
+    return round(statistics.median(took[warm:]), 4)
 
 
 def main() -> None:
@@ -42,6 +43,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.enabled", "false")  # resident tables of known size: nothing to plan anew between stages
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -59,7 +61,7 @@ def main() -> None:
             engine.query(sql)
         except EngineError:  # more rows than the cap
             engine.result_limit = None
-        whole[name] = median(lambda: engine.query(sql), 5)  # noqa: B023
+        whole[name] = median(lambda: engine.query(sql), 3, 2)  # noqa: B023
     floor = median(lambda: spark.range(1).toArrow())
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 4), "unit": "sec", "queries": seconds, "by_query": whole, "floor": floor, "sf": Path(sf_dir).name.removeprefix("sf")}))
 
