@@ -266,12 +266,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         comp = staged(components(links.unionByName(versions.select("a", "b"))), "components")
     out = out.join(comp, F.col("rep") == F.col("id"), "left")
     component = F.coalesce("component", "rep")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    done = staged(out, "near_duplicates")
+    removed(spark, base)
+    removed(spark, classes)
+    return done
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: of its smallest doc_id, of equal ids the least text."""
-    found = staged(near_duplicates(docs, **options), "found")
+    found = near_duplicates(docs, **options)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     twice = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
