@@ -712,6 +712,36 @@ def test_long_texts_of_every_shape(spark):
     assert clear[0] == texts[0] and clear[3] == "[SECRET] " * 15_000 and clear[4] == "é " * 50_000 + "[SECRET]"
 
 
+# ---------------------------------------------------------------- long texts
+
+
+def test_texts_of_megabytes(spark, ids_of):
+    """One text of 400,000 words, one word of 300,000 letters, and a copy of the first: whole, in every operator."""
+    rng = random.Random(27)
+    long, word = words(rng, 400_000, 50_000), "".join(rng.choice("abcdé") for _ in range(300_000))
+    texts = [long, word, long, "short one"]
+    d = documents(spark, texts, ["a", "b", "a", "b"])
+    count = [len(t.split()) for t in texts]
+    by = lambda df: {r["doc_id"]: r for r in df.collect()}
+    q = by(quality.judged(d, spark.createDataFrame([(3, 1)], "doc_id long, quality int")))
+    assert [q[i]["n_words"] for i in range(4)] == count and q[1]["word_chars"] == 300_000
+    near = by(neardup.near_duplicates(d))
+    assert [near[i]["component_id"] for i in range(4)] == [0, 1, 0, 3]
+    cut = by(substrings.deduplicated(d))
+    assert (cut[2]["n_removed"], cut[2]["n_spans"], cut[0]["n_bytes"]) == (len(long), 1, len(long)) and cut[0]["kept_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    want = {i: [*ids_of(t), 0] for i, t in enumerate(texts)}
+    files = by(tokenfiles.read_token_files(tokenfiles.write_token_files(d, TOKENIZER)))
+    assert all((files[i]["n_tokens"], files[i]["ids_crc32"]) == (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items())
+    pieces = packing.packed(d, TOKENIZER).collect()
+    assert Counter({i: len(x) for i, x in want.items()}) == sum((Counter({r["doc_id"]: r["length"]}) for r in pieces), Counter())
+    mix = by(mixing.mix_documents(d))
+    assert [mix[i]["size"] for i in range(4)] == count
+    model = toxicity.fit([words(rng, 60) for _ in range(60)] + [f"{words(rng, 30)} worthless idiot" for _ in range(60)], np.array([0] * 60 + [1] * 60))
+    scores = by(toxicity.scored(documents(spark, [long, word, f"{long} worthless idiot"]), model))
+    assert all(0 <= scores[i]["score"] <= 1 for i in range(3)) and scores[2]["toxic_spans"].endswith(f"{len(long) + 11}:{len(long) + 16}")
+    assert by(secrets.secret_report(d))[0]["n_hex"] == 0
+
+
 # ---------------------------------------------------------------- pipeline
 
 
