@@ -53,9 +53,12 @@ def test_pieces_are_the_librarys(ids_of):
     known = common.TokenIds(TOKENIZER, most=200)
     alphabet = list(" \n\t.,!abzéñß's'll012-_#$\x1c\xa0　漢\U0001f600ʼ\r\x85²ªk̈") + ["<|endoftext|>", "don't", " We'll", "  "]
     alphabet += [" word", "Été", " naïve", "***", "(", ")", "abcж", "e\u0301", "A"]
-    for _ in range(6000):
-        x = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
-        assert np.frombuffer(known.of([x])[0], "<u4").tolist() == ids_of(x), repr(x)
+    narrow = [c for c in alphabet if c not in ("\xa0", "\u3000", "\x85", "<|endoftext|>")] + [chr(c) for c in range(0xC0, 0x180)] + ["'s", "\n\n", "a1b2", "×", "÷", "\x00", "İ"]
+    for some in (alphabet, narrow):
+        for _ in range(60):
+            xs = ["".join(rng.choice(some) if rng.random() < 0.95 else chr(rng.choice([rng.randrange(0xA0, 0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randint(0, 30))) for _ in range(100)]
+            for x, got in zip(xs, known.of(xs), strict=True):
+                assert np.frombuffer(got, "<u4").tolist() == ids_of(x), repr(x)
 
 
 def test_components(spark):

@@ -221,8 +221,10 @@ class TokenIds(dict):
         others = [b for b in range(256) if b not in plain]
         as_char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.space = as_char[32]
-        # letters that two bytes hold, C3 80 to C3 BF, but for the signs of multiplication and division
-        self.wide = [(c, "".join(as_char[b] for b in c.encode())) for c in map(chr, range(0xC0, 0x100)) if c.isalpha()]
+        # letters that two bytes hold, C3 80 to C3 BF, but for the signs of multiplication and division; what stands for
+        # their first byte is such a letter itself, and so comes first
+        letters = sorted((c for c in map(chr, range(0xC0, 0x100)) if c.isalpha()), key=lambda c: c != as_char[0xC3])
+        self.wide = [(c, "".join(as_char[b] for b in c.encode())) for c in letters]
 
     def _cut(self, raw: bytes, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces begin in texts put end to end, and whether each is a word of plain letters, maybe behind a space."""
