@@ -187,7 +187,7 @@ class Engine:
         else:
             rows = f"SELECT {', '.join(outputs)}, n FROM ({R.grouped(q, rows)})" if q.aggregation else f"SELECT {', '.join(outputs)} FROM ({rows})"
             done = self.spark.sql(R.ordered(q, rows, limit))
-        got = [tuple(r) for r in done.collect()]
+        got = _tuples(done)
         if cap is not None and len(got) > cap:
             if fold:
                 return self._carefully(made, lanes, None, fold)
@@ -211,7 +211,7 @@ class Engine:
                 done = done.orderBy(*map(_sort_key, q.order))
             if q.limit is not None and q.limit < 2**31:
                 done = done.limit(q.limit)
-            return [tuple(r)[: len(q.outputs)] for r in done.collect()], n
+            return [r[: len(q.outputs)] for r in _tuples(done)], n
         finally:
             rows.unpersist()
 
@@ -312,6 +312,11 @@ def _reason(bad: DataFrame, fault: str) -> str:
     return FAULTS[bad.selectExpr(f"{fault} AS f").first()["f"]]
 
 
+def _tuples(df: DataFrame) -> list[tuple]:
+    """All rows, column by column through Arrow: much faster than row objects."""
+    return list(zip(*(c.to_pylist() for c in df.toArrow().columns), strict=True))
+
+
 def _estimate(df: DataFrame) -> int | None:
     """Spark's estimate of a frame's bytes; None where the session has no plan to ask."""
     inner = getattr(df, "_jdf", None)
