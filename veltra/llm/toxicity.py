@@ -273,12 +273,15 @@ def marking_forms(docs: list[np.ndarray], forms: list[str], labels: np.ndarray,
 
 def fit(texts: list[str], labels: np.ndarray, rates: tuple[float, float] = (1.0, 1.0), epochs: int = 12, span: int = 64) -> Model | None:
     """The chain and the document function. ``rates``: how many documents a clean and a toxic row stand for."""
-    forms, which, sizes = tokens(texts)
     vocabulary: dict[str, int] = {}
-    number = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in forms], np.int32)
+    words: list[np.ndarray] = []  # of each text the numbers of its tokens' forms
+    for i in range(0, len(texts), 256):
+        forms, which, sizes = tokens(texts[i : i + 256])
+        number = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in forms], np.int32)
+        words += np.split(number[which] if len(forms) else np.zeros(0, np.int32), np.cumsum(sizes)[:-1])
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
     names = list(vocabulary)
-    words = [number[x] for x in np.split(which, np.cumsum(sizes)[:-1])] if len(texts) else []
-    del forms, which, number
+    del vocabulary
     bad = marking_forms(words, names, labels)
     if not bad.any():
         return None
@@ -330,15 +333,18 @@ def fit(texts: list[str], labels: np.ndarray, rates: tuple[float, float] = (1.0,
     return model
 
 
-def _expected_pairs(scores: np.ndarray, sizes: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _expected_pairs(scores: np.ndarray, sizes: np.ndarray, trans: np.ndarray, first: np.ndarray, step: int = 1 << 16) -> np.ndarray:
     """Expected counts of the four transitions, from forward ratios and those of the rest of each text."""
-    flip = np.concatenate([np.arange(e - 1, s - 1, -1) for s, e in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True)]) if len(sizes) else np.zeros(0, np.int64)
+    flip = np.repeat(2 * np.cumsum(sizes) - sizes - 1, sizes) - np.arange(len(scores))  # each text backwards
     f = _forward(scores, sizes, trans)
-    b = _forward(scores[flip], sizes, trans.T)[np.argsort(flip)]  # with the token's own score
-    here = np.flatnonzero(~first[1:])
-    w = np.stack([np.full(len(here), trans[0, 0]), trans[0, 1] + b[here + 1], trans[1, 0] + f[here], trans[1, 1] + f[here] + b[here + 1]])
-    w = np.exp(w - w.max(0))
-    return (w / w.sum(0)).sum(1).reshape(2, 2)
+    b = _forward(scores[flip], sizes, trans.T)[flip]  # with the token's own score
+    total = np.zeros(4)
+    for i in range(0, len(scores) - 1, step):
+        here = np.flatnonzero(~first[i + 1 : i + 1 + step]) + i
+        w = np.stack([np.full(len(here), trans[0, 0]), trans[0, 1] + b[here + 1], trans[1, 0] + f[here], trans[1, 1] + f[here] + b[here + 1]])
+        w = np.exp(w - w.max(0))
+        total += (w / w.sum(0)).sum(1)
+    return total.reshape(2, 2)
 
 
 def _forward(scores: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> np.ndarray:
