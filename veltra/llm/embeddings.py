@@ -34,6 +34,7 @@ from veltra.llm.common import components, removed, staged, tidy
 LEADING = 6  # grid dimensions
 CELL_AXES = 2  # those by whose cells intervals meet
 SAMPLE_VALUES = 4_000_000  # components of the sample that fits the axes
+INTERVAL_VALUES = 1 << 19  # components in an interval: 4 MB
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -137,8 +138,12 @@ def block_links(a: np.ndarray, b: np.ndarray | None, lead_a: np.ndarray, lead_b:
                 yield p[ok], q[ok]
 
 
-def near_vectors(table: DataFrame, cosine: float = 0.98, interval: int = 1024, most_sample: int = 10_000) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every vector."""
+def near_vectors(table: DataFrame, cosine: float = 0.98, interval: int | None = None, most_sample: int = 10_000) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector.
+
+    ``interval``: vectors in an interval, else as many as hold ``INTERVAL_VALUES`` components. A task holds two intervals;
+    the larger they are, the fewer pairs of them there are, and the less often a vector moves.
+    """
     spark = table.sparkSession
     given = table.schema["embedding"].dataType
     value = "float" if isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType) else "double"  # what holds every component
@@ -174,7 +179,8 @@ def near_vectors(table: DataFrame, cosine: float = 0.98, interval: int = 1024, m
     kind = ("label", "size")
     ordered = rows.repartitionByRange(n_parts, *kind, "cells", "cid").withColumn("part", F.spark_partition_id())
     own = W.partitionBy("part", *kind).orderBy("cells", "cid")
-    ordered = ordered.withColumn("interval", F.concat_ws("/", *kind, "part", F.floor((F.row_number().over(own) - 1) / interval)))
+    most = F.lit(interval) if interval else F.greatest(F.lit(1), F.floor(F.lit(INTERVAL_VALUES) / F.col("size")))
+    ordered = ordered.withColumn("interval", F.concat_ws("/", *kind, "part", F.floor((F.row_number().over(own) - 1) / most)))
     ordered = staged(ordered, "ordered")
     side_of = lambda f: F.array(*[f(F.col("lead")[i]) for i in range(LEADING)])
     boxes = staged(ordered.groupBy(*kind, "interval").agg(side_of(F.min).alias("lo"), side_of(F.max).alias("hi")), "boxes")
