@@ -34,7 +34,7 @@ from veltra.llm.common import components, removed, staged, tidy
 LEADING = 6  # grid dimensions
 CELL_AXES = 2  # those by whose cells intervals meet
 SAMPLE_VALUES = 4_000_000  # components of the sample that fits the axes
-INTERVAL_VALUES = 1 << 19  # components in an interval: 4 MB
+INTERVAL_VALUES = 1 << 20  # components in an interval: 8 MB
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
